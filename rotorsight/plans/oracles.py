@@ -205,3 +205,222 @@ e1 AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVE
 e2 AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS seg FROM e1)""",
        """SELECT user_id, CAST(seg AS BIGINT) AS seg_index, any_value(event_type) AS state, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS start_time,
   strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS end_time, CAST(count(*) AS BIGINT) AS data_points FROM e2 GROUP BY 1, 2""")
+
+
+# ---- cases -----------------------------------------------------------------------------------------
+
+CASES = T + f""",
+cb AS (SELECT device_id AS dev_id, dev, CAST(floor(epoch(timestamp) / 1800) AS BIGINT) AS b FROM t GROUP BY 1, 2, 3),
+cs AS (SELECT *, b + dev AS k, dev_id || '-' || b AS trace_id,
+    CASE WHEN (b + dev) % 11 = 5 THEN '' ELSE dev_id END AS device_id,
+    to_timestamp(b * 1800 + CASE WHEN (b + dev) % 7 = 3 THEN 600 ELSE 0 END)::TIMESTAMP AS start_ts,
+    to_timestamp((b + 1) * 1800 + CASE WHEN (b + dev) % 7 = 3 THEN 600 ELSE 0 END)::TIMESTAMP AS end_ts,
+    {listed(["", "驱动端轴承温度偏高", "机封处有漏液", "入口压力低，疑似气蚀", "   ", "routine check"])}[(b + dev) % 6 + 1] AS user_query,
+    CASE (b + dev) % 4 WHEN 1 THEN 'bearing high' WHEN 2 THEN 'TAH-101' WHEN 3 THEN '' END AS alarm_code,
+    (b + dev) % 5 = 2 AS degraded FROM cb),
+cf AS (SELECT cs.trace_id, t.* FROM cs JOIN t ON t.device_id = cs.device_id AND t.timestamp BETWEEN start_ts AND end_ts),
+cq AS (SELECT cs.*, coalesce(n, 0) AS total_points, CAST(floor(epoch(end_ts - start_ts) / 5) AS BIGINT) + 1 AS expected_points
+    FROM cs LEFT JOIN (SELECT trace_id, CAST(count(*) AS BIGINT) AS n FROM cf GROUP BY 1) USING (trace_id)),
+cd AS (SELECT *, total_points / expected_points * 100 AS coverage_pct,
+    CASE WHEN device_id = '' OR total_points = 0 THEN 'EMPTY' WHEN total_points / expected_points * 100 < 90 THEN 'PARTIAL' ELSE 'OK' END AS data_status,
+    CASE WHEN trim(user_query) = '' THEN 'EMPTY' ELSE 'RECORDED' END AS text_status, trim(user_query) AS text FROM cq)"""
+
+oracle("case_windows", CASES, f"""SELECT trace_id, device_id, {iso('start_ts')} AS start_time, {iso('end_ts')} AS end_time, total_points AS frames,
+  first_frame, last_frame FROM cd LEFT JOIN (SELECT trace_id, {iso('min(timestamp)')} AS first_frame, {iso('max(timestamp)')} AS last_frame
+  FROM cf GROUP BY 1) USING (trace_id)""")
+oracle("coverage_quality", CASES, f"""SELECT trace_id, total_points, expected_points, {rnd('coverage_pct', 6)} AS coverage_pct, data_status,
+  CASE WHEN device_id = '' THEN '无设备码：未提供设备编号，跳过时序数据分析' WHEN total_points = 0 THEN '指定时间窗口内无 SCADA 记录'
+       WHEN data_status = 'PARTIAL' THEN printf('窗口内缺失约 %.0f%% 的数据（理论 %d 点，实际 %d 点）', 100 - coverage_pct, expected_points, total_points)
+       ELSE '' END AS data_reason FROM cd""")
+
+PHOTOS = """
+ph0 AS (SELECT device_id AS dev_id, CAST(floor(epoch(timestamp) / 1800) AS BIGINT) + dev AS k,
+    device_id || '-' || CAST(floor(epoch(timestamp) / 1800) AS BIGINT) AS trace_id, event_type AS kind, count(*) AS n, max(value) AS mv
+    FROM t GROUP BY 1, 2, 3, 4),
+ph AS (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], kind) - 1 AS pos,
+    CASE WHEN kind = 'signup' THEN '' ELSE trace_id || '/' || kind END AS image_id, k % 13 = 4 AS failed,
+    CASE WHEN mv > 240 THEN 'SEVERE' WHEN mv > 215 THEN 'MODERATE' WHEN mv > 195 THEN 'MINOR' END AS severity,
+    CASE WHEN n % 5 = 0 THEN '' ELSE kind || ' x' || n END AS evidence,
+    CASE WHEN kind = 'purchase' THEN '' ELSE 'part-' || kind END AS location,
+    CASE kind WHEN 'click' THEN 'LEAK' WHEN 'error' THEN 'CRACK' WHEN 'purchase' THEN 'SCALE' WHEN 'signup' THEN 'WEAR' ELSE 'leak' END AS defect_type,
+    CASE WHEN mv / 300 >= 0.8 THEN 'HIGH' WHEN mv / 300 >= 0.5 THEN 'MEDIUM' WHEN mv > 0 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence
+    FROM ph0 WHERE k % 3 <> 1),
+ab AS (SELECT *, severity IS NOT NULL AND evidence <> '' AS complete FROM ph WHERE mv > 190 AND NOT failed),
+fnd AS (SELECT * FROM ab WHERE complete),
+vs AS (SELECT trace_id, count(*) AS images, bool_and(failed) AS all_failed FROM ph GROUP BY 1),
+vf AS (SELECT trace_id, count(*) AS n_findings, bool_or(upper(defect_type) = 'LEAK') AS leak,
+    bool_or(upper(defect_type) = 'LEAK' AND severity IN ('MODERATE', 'SEVERE')) AS leak_ms,
+    bool_or(upper(defect_type) = 'LEAK' AND severity = 'SEVERE') AS leak_severe,
+    arg_min(location, pos) FILTER (upper(defect_type) = 'LEAK' AND severity = 'SEVERE') AS leak_place,
+    bool_or(severity IN ('MODERATE', 'SEVERE')) AS serious, bool_or(severity = 'MINOR') AS minor FROM fnd GROUP BY 1),
+vv AS (SELECT cs.trace_id, coalesce(images, 0) AS images, coalesce(n_findings, 0) AS n_findings, coalesce(leak, false) AS leak,
+    coalesce(leak_ms, false) AS leak_ms, coalesce(leak_severe, false) AS leak_severe, leak_place, coalesce(serious, false) AS serious,
+    coalesce(minor, false) AS minor,
+    CASE WHEN images IS NULL THEN 'NO_IMAGE' WHEN all_failed THEN 'FAILED' WHEN n_findings > 0 THEN 'DEFECT_FOUND' ELSE 'NO_DEFECT' END AS vision_status
+    FROM cs LEFT JOIN vs USING (trace_id) LEFT JOIN vf USING (trace_id))"""
+oracle("findings", T + "," + PHOTOS.split("vs AS")[0].rstrip().rstrip(","),
+       "SELECT trace_id, pos, CAST(0 AS BIGINT) AS obs_pos, image_id, defect_type, severity, location, confidence, evidence FROM fnd")
+oracle("rejected_observations", T + "," + PHOTOS.split("fnd AS")[0].rstrip().rstrip(","),
+       "SELECT trace_id, pos, CAST(0 AS BIGINT) AS obs_pos, image_id, '「' || location || '」的异常缺少完整的缺陷要素（defect_type/severity/evidence），未计入 findings' AS note FROM ab WHERE NOT complete")
+oracle("vision_status", CASES + "," + PHOTOS, "SELECT trace_id, images, vision_status, n_findings FROM vv")
+oracle("vision_summary", T + "," + PHOTOS.split("vs AS")[0].rstrip().rstrip(",") + """,
+vl AS (SELECT *, '[图' || (pos + 1) || '] ' || kind || '.png' AS named,
+    CASE WHEN failed THEN '（本图识别失败，未产生视觉结论：timeout）' WHEN n % 6 = 0 THEN '' ELSE '照片 ' || kind END AS body,
+    concat_ws('；', CASE WHEN n % 4 = 0 THEN '反光' END,
+      CASE WHEN mv > 190 AND NOT failed AND (severity IS NULL OR evidence = '')
+           THEN '「' || location || '」的异常缺少完整的缺陷要素（defect_type/severity/evidence），未计入 findings' END) AS limits FROM ph),
+vt AS (SELECT trace_id,
+    string_agg(CASE WHEN body <> '' THEN named || chr(10) || body || CASE WHEN limits <> '' THEN chr(10) || '本图未核验：' || limits ELSE '' END END, chr(10) || chr(10) ORDER BY pos) AS a,
+    '未核验汇总：' || chr(10) || string_agg(CASE WHEN limits <> '' THEN '- ' || named || '：' || limits END, chr(10) ORDER BY pos) AS z FROM vl GROUP BY 1)""",
+       "SELECT trace_id, concat_ws(chr(10) || chr(10), a, z) AS summary FROM vt")
+
+EVIDENCE = CASES + "," + PHOTOS + "," + segment_ctes("cf", "trace_id", "k_") + f""",
+ko AS (SELECT trace_id, max(temp_de) AS max_temp_de, max(vib_rms_de) AS max_vib_de, max(vib_rms_nde) AS max_vib_nde, avg(flow_rate) AS avg_flow,
+    min(press_in) AS min_press_in, arg_min(operating_state, timestamp) AS start_state, arg_max(operating_state, timestamp) AS end_state,
+    bool_or(operating_state = 'TRIP_SHUTDOWN') AS has_shutdown,
+    array_to_string(list_sort(list_distinct(flatten(list(string_split(alarm_code, ';')) FILTER (alarm_code <> 'NONE')))), ';') AS effective,
+    arg_max(alarm_code, timestamp) FILTER (alarm_code <> 'NONE') AS last FROM cf GROUP BY 1),
+kc AS (SELECT trace_id, count(*) AS phase_count FROM k_seg GROUP BY 1),
+kf AS (SELECT trace_id, list(code ORDER BY seg_index, pos) AS flags FROM (
+    SELECT trace_id, code, min(seg_index) AS seg_index, min(list_position({listed(L.RULE_ORDER)}, code)) AS pos
+    FROM (SELECT trace_id, seg_index, unnest(rule_hits) AS code FROM k_seg) GROUP BY 1, 2) GROUP BY 1),
+ev AS (SELECT cd.*, phase_count, coalesce(flags, CAST([] AS VARCHAR[])) AS flags, coalesce(effective, '') AS effective, coalesce(last, '') AS last,
+    start_state, end_state, has_shutdown, max_temp_de, max_vib_de, max_vib_nde, avg_flow, min_press_in, vv.* EXCLUDE (trace_id)
+    FROM cd JOIN vv USING (trace_id) LEFT JOIN ko USING (trace_id) LEFT JOIN kc USING (trace_id) LEFT JOIN kf USING (trace_id))"""
+oracle("case_evidence", EVIDENCE, f"""SELECT trace_id, data_status, text_status, vision_status, total_points, CAST(phase_count AS BIGINT) AS phase_count,
+  array_to_string(flags, ';') AS flags, effective, last, start_state, end_state, has_shutdown, max_temp_de, max_vib_de, max_vib_nde, min_press_in,
+  {rnd('avg_flow', 6)} AS avg_flow FROM ev""")
+DESCRIBED = EVIDENCE + """,
+od AS (SELECT trace_id, CAST(pos - 1 AS BIGINT) AS pos, 'THRESHOLD' AS kind, '离线规则计算命中 ' || flags[pos] || '；未调用语言模型。' AS description, flags[pos] AS evidence
+    FROM (SELECT trace_id, flags, unnest(range(1, len(flags) + 1)) AS pos FROM ev WHERE data_status <> 'EMPTY')
+    UNION ALL SELECT trace_id, 0, 'OTHER', '离线规则计算未命中阈值；未调用语言模型。', '' FROM ev WHERE data_status <> 'EMPTY' AND len(flags) = 0)"""
+oracle("offline_descriptions", DESCRIBED, "SELECT * FROM od")
+oracle("description_warnings", DESCRIBED, """SELECT trace_id, chars, char_limit, chars > char_limit AS too_long FROM (
+  SELECT trace_id, CAST(sum(length(description)) AS BIGINT) AS chars,
+    CAST(least(1000, 500 + 40 * greatest(0, any_value(phase_count) - 1)
+      + 20 * CASE WHEN any_value(effective) = '' THEN 0 ELSE len(string_split(any_value(effective), ';')) END) AS BIGINT) AS char_limit
+  FROM od JOIN ev USING (trace_id) GROUP BY 1)""")
+oracle("evidence_whitelist", EVIDENCE, """SELECT trace_id, array_to_string([q FOR q IN ['max_temp_de', 'invented_metric', 'VIB_DE_TRIP', 'FLOW_DEV', 'cv_flow']
+  IF (total_points > 0 AND q IN ('max_temp_de', 'cv_flow')) OR list_contains(flags, q)], ';') AS evidence FROM ev""")
+
+TOPIC_ROWS = "topics AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, " + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+                          for v in (t[0], t[1], t[2], t[3], t[7], t[8], t[9], t[10])) + ")"
+    for i, t in enumerate(L.MANUAL_TOPICS)) + ") AS v(ord, topic, chunk, section, page, requirement, action, priority, mechanism))"
+MANUAL = EVIDENCE + f""",
+tp AS (SELECT *, list_has_any(flags, {listed(L.BEARING_CODES)}) OR coalesce(upper(alarm_code), '') LIKE '%BEARING%'
+      OR user_query LIKE '%轴承%' OR user_query LIKE '%振动%' OR user_query LIKE '%温度%' AS t_bearing,
+    list_has_any(flags, ['PRESS_IN_TRIP', 'PRESS_IN_LOW', 'CV_UNSTABLE', 'FLOW_DEV']) OR coalesce(upper(alarm_code), '') LIKE '%CAVITATION%'
+      OR user_query LIKE '%气蚀%' OR user_query LIKE '%压力%' AS t_cavitation,
+    leak OR user_query LIKE '%漏%' AS t_seal, list_has_any(flags, ['CURRENT_HIGH', 'CURRENT_LOW']) AS t_motor FROM ev),
+{TOPIC_ROWS},
+mt AS (SELECT trace_id, topics.* FROM tp JOIN topics ON (topic = 'bearing' AND t_bearing) OR (topic = 'cavitation' AND t_cavitation)
+    OR (topic = 'seal' AND t_seal) OR (topic = 'motor' AND t_motor)
+    OR (topic = 'general' AND NOT (t_bearing OR t_cavitation OR t_seal OR t_motor)))"""
+oracle("builtin_manual", MANUAL, """SELECT trace_id, string_agg(chunk, ';' ORDER BY ord) AS chunks, coalesce(string_agg(requirement, ';' ORDER BY ord), '') AS requirements,
+  string_agg(action, ';' ORDER BY ord) AS actions, string_agg(mechanism, '；' ORDER BY ord) AS mechanism FROM mt GROUP BY 1""")
+
+
+def clause_values() -> str:
+    from .standin import CLAUSES
+    rows = []
+    for doc, chunk, _, _, _, codes, words, _, action, mechanism in CLAUSES:
+        cell = lambda v: "NULL" if v is None else f"'{v}'"
+        rows.append(f"('{doc}', '{chunk}', {listed(codes + words)}, {cell(action)}, {cell(mechanism)})")
+    return "clauses AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(doc_id, chunk_id, terms, action, mechanism))"
+
+
+MATCHED = EVIDENCE + "," + clause_values() + """,
+cm AS (SELECT trace_id, doc_id, chunk_id, action, mechanism, CAST(len(terms) AS BIGINT) AS n_terms,
+    CAST(len([z FOR z IN terms IF list_contains(flags, z) OR contains(text || ' ' || coalesce(alarm_code, ''), z)]) AS BIGINT) AS hits FROM ev CROSS JOIN clauses),
+cr AS (SELECT *, hits / n_terms AS score, row_number() OVER (PARTITION BY trace_id ORDER BY hits / n_terms DESC, chunk_id) AS rank FROM cm WHERE hits > 0)"""
+oracle("clause_match", MATCHED, f"SELECT trace_id, rank, doc_id, chunk_id, hits, n_terms, {rnd('score', 6)} AS score FROM cr WHERE rank <= 5")
+oracle("clause_evidence", MATCHED, """SELECT trace_id, CASE WHEN count(chunk_id) > 0 THEN 'HIT' ELSE 'NO_HIT' END AS manual_status,
+  coalesce(string_agg(chunk_id, ';' ORDER BY rank), '') AS chunks, coalesce(string_agg(action, ';' ORDER BY rank), '') AS actions,
+  coalesce(string_agg(mechanism, '；' ORDER BY rank), '') AS mechanism FROM cs LEFT JOIN cr USING (trace_id) GROUP BY 1""")
+
+ATTRIBUTED = MANUAL + f""",
+a0 AS (SELECT *, [z FOR z IN [CASE WHEN data_status IN ('OK', 'PARTIAL') THEN 'DATA' END,
+      CASE WHEN vision_status IN ('DEFECT_FOUND', 'NO_DEFECT') AND n_findings > 0 THEN 'VISION' END, 'MANUAL',
+      CASE WHEN text_status = 'RECORDED' THEN 'ENGINEER_TEXT' END] IF z IS NOT NULL] AS sources FROM ev),
+a1 AS (SELECT *, list_has_any(flags, {listed(L.BEARING_CODES_ATTRIBUTION)}) AS is_b, list_has_any(flags, {listed(L.CAVITATION_CODES)}) AS is_c FROM a0),
+a2 AS (SELECT *, CASE WHEN is_b THEN 'BEARING_DEGRADATION' WHEN is_c THEN 'CAVITATION' WHEN leak THEN 'SEAL_LEAK' ELSE 'NORMAL' END AS proposal_mode,
+    CASE WHEN is_b OR is_c THEN CASE WHEN len(sources) >= 2 THEN 'HIGH' ELSE 'MEDIUM' END WHEN leak THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+    data_status = 'EMPTY' AS insufficient,
+    CASE WHEN list_has_any(flags, ['BEARING_TEMP_DE_TRIP', 'VIB_DE_TRIP']) AND vision_status = 'NO_DEFECT' THEN '{L.CONFLICT_TEXT}' ELSE '' END AS conflicts FROM a1)"""
+oracle("attribution", ATTRIBUTED, f"""SELECT trace_id, proposal_mode, confidence, array_to_string(sources, ';') AS sources, insufficient, conflicts,
+  CASE WHEN is_b THEN array_to_string(list_sort(list_intersect(flags, {listed(L.BEARING_CODES_ATTRIBUTION)})), ';')
+       WHEN is_c THEN array_to_string(list_sort(list_intersect(flags, {listed(L.CAVITATION_CODES)})), ';')
+       WHEN leak THEN (SELECT string_agg(CASE WHEN image_id <> '' THEN image_id ELSE 'vision_finding_' || r END, ';' ORDER BY r) FROM (
+            SELECT trace_id, image_id, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS r FROM fnd WHERE upper(defect_type) = 'LEAK') q WHERE q.trace_id = a2.trace_id)
+       ELSE '' END AS support,
+  CASE WHEN proposal_mode = 'NORMAL' THEN '综合【' || array_to_string(sources, ', ') || '】，未见明显恶化异常，各项参数在允许波动范围内。'
+       ELSE '综合【' || array_to_string(sources, ', ') || '】得出初步判断：' || CASE proposal_mode
+         WHEN 'BEARING_DEGRADATION' THEN '{L.FAILURE_MODE_LABELS["BEARING_DEGRADATION"]}' WHEN 'CAVITATION' THEN '{L.FAILURE_MODE_LABELS["CAVITATION"]}'
+         ELSE '{L.FAILURE_MODE_LABELS["SEAL_LEAK"]}' END || '。' END AS summary FROM a2""")
+
+RANK = "CASE {0} WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
+MODE_RANK = "CASE failure_mode " + " ".join(
+    f"WHEN '{m}' THEN {L.RISK_LEVELS.index(r)}" for m, r in L.FAILURE_MODE_RISK.items()) + " ELSE 1 END"
+VERDICT = ATTRIBUTED + "," + CATALOG + f""",
+w0 AS (SELECT *, list_sort(list_intersect(flags, {listed(L.TRIP_RULES)})) AS trips FROM a2),
+w1 AS (SELECT *,
+    coalesce(max_temp_de >= 80, false) AND NOT list_contains(trips, 'BEARING_TEMP_DE_TRIP') AS x_temp, coalesce(max_vib_de >= 4.5, false) AND NOT list_contains(trips, 'VIB_DE_TRIP') AS x_de,
+    coalesce(max_vib_nde >= 4.5, false) AND NOT list_contains(trips, 'VIB_NDE_TRIP') AS x_nde, coalesce(min_press_in <= -0.055, false) AND NOT list_contains(trips, 'PRESS_IN_TRIP') AS x_press,
+    vision_status = 'FAILED' AS failed, vision_status = 'NO_IMAGE' AND data_status = 'EMPTY' AND text_status = 'EMPTY' AS vacuum,
+    conflicts <> '' OR (list_contains(flags, 'CURRENT_HIGH') AND (coalesce(avg_flow < 85, false) OR list_contains(flags, 'PRESS_IN_LOW'))) AS conflict FROM w0),
+w2 AS (SELECT *, len(trips) > 0 OR x_temp OR x_de OR x_nde OR x_press OR leak_severe AS trip, failed OR vacuum AS stop,
+    data_status = 'PARTIAL' AND NOT (failed OR vacuum) AS partial,
+    CASE WHEN list_has_any(flags, {listed(L.BEARING_CODES)}) THEN 'BEARING_DEGRADATION' WHEN is_c THEN 'CAVITATION' WHEN leak_ms THEN 'SEAL_LEAK'
+         WHEN list_contains(flags, 'CURRENT_HIGH') THEN 'MOTOR_OVERLOAD' WHEN NOT insufficient THEN proposal_mode ELSE 'NORMAL' END AS failure_mode FROM w1),
+w3 AS (SELECT *, CASE WHEN trip THEN 4 ELSE greatest({MODE_RANK}, CASE WHEN list_has_any(flags, {listed(L.WARN_RULES)}) OR serious OR conflict THEN 3
+      WHEN minor OR list_has_any(flags, ['FLOW_DEV', 'PRESS_OUT_DEV']) OR data_status = 'PARTIAL' THEN 2 ELSE 1 END) END AS lv FROM w2),
+w4 AS (SELECT *, {listed(L.RISK_LEVELS)}[lv + 1] AS risk_level,
+    CASE WHEN lv = 4 THEN 'BLOCK' WHEN stop THEN 'INSUFFICIENT_DATA' WHEN conflict OR (data_status = 'PARTIAL' AND confidence IN ('LOW', 'UNKNOWN')) OR lv = 3 THEN 'MANUAL_REVIEW'
+         WHEN lv = 2 THEN CASE WHEN confidence = 'HIGH' AND NOT degraded THEN 'PASS' ELSE 'MANUAL_REVIEW' END ELSE 'PASS' END AS decision,
+    list_sort(list_distinct(list_concat(trips, [z FOR z IN [CASE WHEN x_temp THEN 'BEARING_TEMP_DE_TRIP' END, CASE WHEN x_de THEN 'VIB_DE_TRIP' END,
+      CASE WHEN x_nde THEN 'VIB_NDE_TRIP' END, CASE WHEN x_press THEN 'PRESS_IN_TRIP' END, CASE WHEN leak_severe THEN 'RULE_SEVERE_LEAK_TRIP' END,
+      CASE WHEN failed THEN 'RULE_EVIDENCE_FAILURE_GUARD' WHEN vacuum THEN 'RULE_EMPTY_INPUT_GUARD' END, CASE WHEN partial THEN 'RULE_DATA_PARTIAL_GUARD' END,
+      CASE WHEN conflict THEN 'RULE_EVIDENCE_CONFLICT' END] IF z IS NOT NULL]))) AS rule_hits FROM w3)"""
+oracle("verdict", VERDICT, f"""SELECT w4.trace_id, decision, risk_level, failure_mode, array_to_string(rule_hits, ';') AS rule_hits, '1.0.0' AS rule_version,
+  coalesce(nullif(concat_ws('|',
+    (SELECT string_agg('触发紧急停机线/急剧恶化判据【' || code || '】: ' || label || ' (依据: ' || source || ')。', '|' ORDER BY code)
+       FROM (SELECT trace_id, unnest(trips) AS code FROM w4) q JOIN catalog USING (code) WHERE q.trace_id = w4.trace_id),
+    CASE WHEN x_temp THEN printf('实测驱动端最高温度 %.1f℃ 越过停机线 (80.0℃)，强制停机拦截。', max_temp_de) END,
+    CASE WHEN x_de THEN printf('实测驱动端最高振动 %.2fmm/s 越过停机线 (4.5mm/s)，强制停机拦截。', max_vib_de) END,
+    CASE WHEN x_nde THEN printf('实测非驱动端最高振动 %.2fmm/s 越过停机线 (4.5mm/s)，强制停机拦截。', max_vib_nde) END,
+    CASE WHEN x_press THEN printf('实测入口吸上压力 %.3fMPa 低于脱流停机线 (-0.055MPa)，气蚀毁泵先兆。', min_press_in) END,
+    CASE WHEN leak_severe THEN '视觉检出严重介质喷淋泄漏 (' || leak_place || ')，触发一级安全阻断。' END,
+    CASE WHEN failed THEN '{L.REASON_FAILED}' WHEN vacuum THEN '{L.REASON_EMPTY}' END,
+    CASE WHEN partial AND confidence IN ('LOW', 'UNKNOWN') THEN '{L.REASON_PARTIAL}' END,
+    CASE WHEN conflicts <> '' THEN '归因引擎检出跨模态冲突: ' || conflicts WHEN conflict THEN '{L.REASON_HYDRAULIC}' END), ''), '{L.REASON_GREEN}') AS reasons FROM w4""")
+oracle("service_levels", VERDICT + ", matrix AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{b}', '{c}', CAST({d} AS DOUBLE))" for a, b, c, d in L.RISK_MATRIX) + ") AS v(risk_level, name, default_decision, sla_hours))",
+       "SELECT risk_level, name, default_decision, sla_hours, decision, CAST(count(*) AS BIGINT) AS cases FROM w4 JOIN matrix USING (risk_level) GROUP BY 1, 2, 3, 4, 5")
+GUARDS = "guards AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', {b}, '{c}', '{d}', '{e}')" for a, b, c, d, e in L.GUARD_ACTIONS) + ") AS v(decision, ord, action, priority, source_id))"
+oracle("protected_actions", VERDICT + "," + GUARDS, f"""SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY grp, ord) - 1 AS BIGINT) AS pos, action, priority, source_id FROM (
+  SELECT trace_id, 0 AS grp, ord, action, priority, source_id FROM w4 JOIN guards USING (decision)
+  UNION ALL SELECT trace_id, 1, mt.ord, action, priority, '{L.MANUAL_DOC}#' || chunk FROM mt JOIN w4 USING (trace_id) WHERE decision IN ('MANUAL_REVIEW', 'PASS'))""")
+CHAIN = VERDICT + f""",
+ch AS (SELECT trace_id, 0 AS grp, i AS ord, 'THRESHOLD' AS kind, flags[i] AS id, 'data.threshold_flags @ ' || {iso('start_ts')} || '~' || {iso('end_ts')} AS locator
+      FROM (SELECT *, unnest(range(1, len(flags) + 1)) AS i FROM w4)
+    UNION ALL SELECT trace_id, 1, r, 'VISION', CASE WHEN image_id <> '' THEN image_id ELSE 'img_' || r END, CASE WHEN location <> '' THEN location ELSE 'pump_body' END
+      FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS r FROM fnd) JOIN w4 USING (trace_id)
+    UNION ALL SELECT trace_id, 2, ord, 'MANUAL', '{L.MANUAL_DOC}#' || chunk, 'page ' || page || ' · ' || section FROM mt
+    UNION ALL SELECT trace_id, 3, i, 'RULE', rule_hits[i], 'verdict rules' FROM (SELECT *, unnest(range(1, len(rule_hits) + 1)) AS i FROM w4))"""
+oracle("evidence_chain", CHAIN, "SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY grp, ord) - 1 AS BIGINT) AS pos, kind, id, locator FROM ch")
+oracle("dispatch", CHAIN, """SELECT trace_id, 'dispatch://' || CASE decision WHEN 'BLOCK' THEN 'emergency_shutdown' WHEN 'INSUFFICIENT_DATA' THEN 'resurvey_checklist'
+    WHEN 'MANUAL_REVIEW' THEN 'manual_review_draft' ELSE 'closed_loop_order' END || '/' || device_id || '/' || trace_id AS address, true AS hashed,
+  (SELECT CAST(count(*) AS BIGINT) FROM ch WHERE ch.trace_id = w4.trace_id) AS chain_length FROM w4""")
+oracle("latest_reviews", "", """SELECT o_custkey AS trace_id, arg_max(CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'REWORK' ELSE 'REJECTED' END, key) AS decision,
+  arg_max(reviewer, key) AS reviewer, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS reviewed_at, CAST(count(*) AS BIGINT) AS reviews FROM (
+    SELECT *, o_orderpriority || '/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS reviewer,
+      strftime(o_orderdate, '%Y%m%d') || o_orderpriority || '/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key FROM orders) GROUP BY 1""")
+oracle("telemetry_violations", T + f""",
+z AS (SELECT *, CASE WHEN rn % 113 = 5 THEN timestamp - INTERVAL 5 SECOND ELSE timestamp END AS ts2 FROM t)""", f"""
+SELECT 'not_numeric' AS "check", device_id, {iso('ts2')} AS timestamp, 'temp_de' AS detail FROM z WHERE rn % 101 = 7
+UNION ALL SELECT 'not_finite', device_id, {iso('ts2')}, 'temp_de' FROM z WHERE rn % 103 = 9 AND rn % 101 <> 7
+UNION ALL SELECT 'not_finite', device_id, {iso('ts2')}, 'press_in' FROM z WHERE rn % 107 = 3
+UNION ALL SELECT 'unknown_state', device_id, {iso('ts2')}, 'OFFLINE' FROM z WHERE rn % 109 = 4
+UNION ALL SELECT 'duplicate_time', device_id, {iso('ts2')}, CAST(count(*) AS VARCHAR) FROM z GROUP BY device_id, ts2 HAVING count(*) > 1""")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import limits as L
 from ..functions.scalars import alarm_from_readings, iso, stable_round
-from ..operators import alarms as A, measures as M, rules as R, runs as U, segments as S
+from ..operators import (alarms as A, attribution, cases as C, delivery as D, manual as K,
+                         measures as M, rules as R, runs as U, safety, segments as S, vision as V)
 from ..session import configure
-from . import standin as N
+from ..sources import telemetry as TS
+from ..sources.config import risk_matrix
+from . import diagnosis as X, standin as N
 
 QUERIES = {}
 
@@ -170,3 +173,200 @@ def event_segments(spark, sf_dir):
     seg = U.segments_of_states(events, series)
     return longs(seg.select("user_id", "seg_index", "state", F.col("start").alias("start_time"),
                             F.col("end").alias("end_time"), "data_points"))
+
+
+# ---- cases -----------------------------------------------------------------------------------------
+
+def case_inputs(spark, sf_dir):
+    frames = N.load_telemetry(spark, sf_dir)
+    return N.cases(frames), frames, N.images(frames)
+
+
+def verdicts(spark, sf_dir):
+    return X.diagnose(*case_inputs(spark, sf_dir))
+
+
+def joined(column, field=None, sep=";"):
+    value = F.col(column) if field is None else F.transform(column, lambda x: x[field])
+    return F.array_join(value, sep)
+
+
+@query
+def case_windows(spark, sf_dir):
+    cases, frames, _ = case_inputs(spark, sf_dir)
+    placed = C.default_windows(cases)
+    inside = C.case_frames(placed, frames).groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("timestamp").alias("first_frame"),
+        F.max("timestamp").alias("last_frame"))
+    return longs(placed.join(inside, "trace_id", "left").select(
+        "trace_id", "device_id", "start_time", "end_time",
+        F.coalesce("frames", F.lit(0)).alias("frames"), "first_frame", "last_frame"))
+
+
+@query
+def coverage_quality(spark, sf_dir):
+    cases, frames, _ = case_inputs(spark, sf_dir)
+    placed = C.default_windows(cases)
+    points = C.case_frames(placed, frames).groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("total_points"))
+    return longs(C.coverage(placed.join(points, "trace_id", "left")).select(
+        "trace_id", "total_points", "expected_points",
+        stable_round("coverage_pct", 6).alias("coverage_pct"), "data_status", "data_reason"))
+
+
+@query
+def case_evidence(spark, sf_dir):
+    return longs(X.gather(*case_inputs(spark, sf_dir)).select(
+        "trace_id", "data_status", "text_status", "vision_status", "total_points", "phase_count",
+        "flags", "effective", "last", "start_state", "end_state", "has_shutdown", "max_temp_de",
+        "max_vib_de", "max_vib_nde", "min_press_in",
+        stable_round("avg_flow", 6).alias("avg_flow")))
+
+
+@query
+def offline_descriptions(spark, sf_dir):
+    evidence = X.gather(*case_inputs(spark, sf_dir))
+    return longs(C.offline_descriptions(evidence))
+
+
+@query
+def description_warnings(spark, sf_dir):
+    evidence = X.gather(*case_inputs(spark, sf_dir))
+    return longs(C.description_warnings(C.offline_descriptions(evidence), evidence))
+
+
+@query
+def evidence_whitelist(spark, sf_dir):
+    """Names quoted by a description that really occur in the case's material."""
+    evidence = X.gather(*case_inputs(spark, sf_dir))
+    quoted = F.array(F.lit("max_temp_de"), F.lit("invented_metric"), F.lit("VIB_DE_TRIP"),
+                     F.lit("FLOW_DEV"), F.lit("cv_flow"))
+    names = F.when(F.col("total_points") > 0, F.array(*[
+        F.lit(n) for n in [*L.OVERALL_UNITS, *L.SEGMENT_UNITS]])) \
+        .otherwise(F.array().cast("array<string>"))
+    return longs(evidence.select("trace_id", C.known_evidence(
+        quoted, F.concat(names, F.col("flags"))).alias("evidence")))
+
+
+@query
+def findings(spark, sf_dir):
+    _, _, images = case_inputs(spark, sf_dir)
+    return longs(V.findings(images))
+
+
+@query
+def rejected_observations(spark, sf_dir):
+    _, _, images = case_inputs(spark, sf_dir)
+    return longs(V.rejected(images))
+
+
+@query
+def vision_status(spark, sf_dir):
+    cases, _, images = case_inputs(spark, sf_dir)
+    return longs(V.status(cases, images, V.findings(images)).select(
+        "trace_id", "images", "vision_status", F.size("findings").alias("n_findings")))
+
+
+@query
+def vision_summary(spark, sf_dir):
+    _, _, images = case_inputs(spark, sf_dir)
+    return V.summaries(V.with_notes(images))
+
+
+@query
+def builtin_manual(spark, sf_dir):
+    evidence = K.builtin_topics(X.gather(*case_inputs(spark, sf_dir)))
+    return evidence.select(
+        "trace_id", joined("evidences", "chunk_id").alias("chunks"),
+        joined("requirements", "requirement").alias("requirements"),
+        joined("actions", "action").alias("actions"), "mechanism")
+
+
+@query
+def clause_match(spark, sf_dir):
+    evidence = X.gather(*case_inputs(spark, sf_dir))
+    return longs(K.match_clauses(evidence, N.clauses(spark)).select(
+        "trace_id", "rank", "doc_id", "chunk_id", "hits", "n_terms",
+        stable_round("score", 6).alias("score")))
+
+
+@query
+def clause_evidence(spark, sf_dir):
+    evidence = K.clause_evidence(X.gather(*case_inputs(spark, sf_dir)), N.clauses(spark))
+    return evidence.select("trace_id", "manual_status",
+                           joined("evidences", "chunk_id").alias("chunks"),
+                           joined("actions", "action").alias("actions"), "mechanism")
+
+
+@query
+def attribution_(spark, sf_dir):
+    cases = attribution.attribute(K.builtin_topics(X.gather(*case_inputs(spark, sf_dir))))
+    return cases.select("trace_id", "proposal_mode", "confidence",
+                        joined("evidence_sources").alias("sources"), "insufficient",
+                        joined("conflicts").alias("conflicts"),
+                        joined("support_refs", "id").alias("support"), "summary")
+
+
+QUERIES["attribution"] = QUERIES.pop("attribution_")
+
+
+@query
+def verdict(spark, sf_dir):
+    return verdicts(spark, sf_dir).select(
+        "trace_id", "decision", "risk_level", "failure_mode", joined("rule_hits").alias("rule_hits"),
+        joined("reasons", sep="|").alias("reasons"), "rule_version")
+
+
+@query
+def service_levels(spark, sf_dir):
+    rated = safety.with_service_level(verdicts(spark, sf_dir), risk_matrix(spark))
+    return rated.groupBy("risk_level", "name", "default_decision", "sla_hours", "decision").agg(
+        F.count(F.lit(1)).alias("cases"))
+
+
+@query
+def protected_actions(spark, sf_dir):
+    return verdicts(spark, sf_dir).select(
+        "trace_id", F.posexplode("actions").alias("pos", "a")).select(
+        "trace_id", F.col("pos").cast("long").alias("pos"), "a.action", "a.priority",
+        F.col("a.source_ref.id").alias("source_id"))
+
+
+@query
+def dispatch(spark, sf_dir):
+    return verdicts(spark, sf_dir).select(
+        "trace_id", F.substring_index("report_uri", "?", 1).alias("address"),
+        (F.length("report_sha256") == 64).alias("hashed"),
+        F.size("traceability").cast("long").alias("chain_length"))
+
+
+@query
+def evidence_chain(spark, sf_dir):
+    return longs(D.chain_rows(verdicts(spark, sf_dir)))
+
+
+@query
+def latest_reviews(spark, sf_dir):
+    """Orders as reviews: customer = case, status = outcome, priority = reviewer."""
+    orders = N.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("trace_id"), F.col("o_orderdate").alias("reviewed_at"),
+        F.concat("o_orderpriority", F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+        .alias("reviewer"),
+        F.when(F.col("o_orderstatus") == "F", "APPROVED").when(F.col("o_orderstatus") == "O", "REWORK")
+        .otherwise("REJECTED").alias("decision"))
+    return longs(D.latest_reviews(orders))
+
+
+@query
+def telemetry_violations(spark, sf_dir):
+    """Frames read as text, with faults put in by position."""
+    frames = N.load_telemetry(spark, sf_dir)
+    n = F.col("rn")
+    dirty = frames.withColumns({
+        "temp_de": F.when(n % 101 == 7, "n/a").when(n % 103 == 9, "NaN")
+        .otherwise(F.col("temp_de").cast("string")),
+        "press_in": F.when(n % 107 == 3, None).otherwise(F.col("press_in").cast("string")),
+        "operating_state": F.when(n % 109 == 4, "OFFLINE").otherwise(F.col("operating_state")),
+        "timestamp": F.date_format(F.when(n % 113 == 5, F.col("timestamp") - F.expr(
+            "INTERVAL 5 SECONDS")).otherwise(F.col("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")})
+    return longs(TS.violations(dirty))

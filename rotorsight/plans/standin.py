@@ -60,3 +60,86 @@ def telemetry(events: DataFrame) -> DataFrame:
 
 def load_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(table(spark, sf_dir, "events"))
+
+
+# ---- cases and photos ------------------------------------------------------------------------------
+
+NOTES = ["", "驱动端轴承温度偏高", "机封处有漏液", "入口压力低，疑似气蚀", "   ", "routine check"]
+DEFECTS = {"click": "LEAK", "error": "CRACK", "purchase": "SCALE", "signup": "WEAR",
+           "view": "leak "}
+
+
+def _half_hours(frames: DataFrame, *extra: str) -> DataFrame:
+    keyed = frames.withColumn("b", F.expr(f"unix_seconds(timestamp) div {CASE_SECONDS}"))
+    return keyed.groupBy("device_id", "dev", "b", *extra).agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("mv")).withColumns({
+            "k": F.col("b") + F.col("dev"),
+            "trace_id": F.concat("device_id", F.lit("-"), F.col("b").cast("string"))})
+
+
+def cases(frames: DataFrame) -> DataFrame:
+    """One case per device and half hour; some lack a device, a window or a note."""
+    at = lambda seconds: F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("k")
+    no_window = k % 7 == 3
+    return _half_hours(frames).select(
+        "trace_id", F.when(k % 11 == 5, "").otherwise(F.col("device_id")).alias("device_id"),
+        F.when(no_window, "").otherwise(at(F.col("b") * CASE_SECONDS)).alias("start_time"),
+        at((F.col("b") + 1) * CASE_SECONDS).alias("end_time"),
+        F.timestamp_seconds((F.col("b") + 1) * CASE_SECONDS + 600).alias("reported_at"),
+        F.element_at(F.array(*[F.lit(n) for n in NOTES]), (k % 6 + 1).cast("int"))
+        .alias("user_query"),
+        F.when(k % 4 == 1, "bearing high").when(k % 4 == 2, "TAH-101").when(k % 4 == 3, "")
+        .alias("alarm_code"),
+        F.when(k % 5 == 2, F.array(F.lit("vision"))).otherwise(F.array().cast("array<string>"))
+        .alias("degraded_steps"))
+
+
+def images(frames: DataFrame) -> DataFrame:
+    """One photo per case and event type, for two cases out of three."""
+    k, mv, n, kind = F.col("k"), F.col("mv"), F.col("n"), F.col("event_type")
+    defects = F.create_map(*[F.lit(x) for kv in DEFECTS.items() for x in kv])
+    failed = k % 13 == 4
+    observation = F.struct(
+        F.when(kind == "purchase", "").otherwise(F.concat(F.lit("part-"), kind)).alias("target"),
+        F.concat(F.lit("seen "), kind).alias("finding"),
+        F.when(mv > 190, "abnormal").when(mv > 150, "normal").otherwise("unknown")
+        .alias("polarity"),
+        F.element_at(defects, kind).alias("defect_type"),
+        F.when(mv > 240, "SEVERE").when(mv > 215, "MODERATE").when(mv > 195, "MINOR")
+        .alias("severity"),
+        F.least(F.lit(1.0), mv / 300).alias("confidence"),
+        F.when(n % 5 == 0, "").otherwise(F.concat(kind, F.lit(" x"), n.cast("string")))
+        .alias("evidence"))
+    none = F.array().cast("array<struct<target:string,finding:string,polarity:string,"
+                          "defect_type:string,severity:string,confidence:double,evidence:string>>")
+    return _half_hours(frames, "event_type").filter(k % 3 != 1).select(
+        "trace_id", (F.array_position(F.array(*[F.lit(x) for x in sorted(DEFECTS)]), kind) - 1)
+        .alias("pos"),
+        F.when(kind == "signup", "").otherwise(F.concat("trace_id", F.lit("/"), kind))
+        .alias("image_id"),
+        F.concat(F.lit("https://photos.example/"), "device_id", F.lit("/"), kind, F.lit(".png"))
+        .alias("uri"),
+        F.when(failed, "（本图识别失败，未产生视觉结论：timeout）").when(n % 6 == 0, "")
+        .otherwise(F.concat(F.lit("照片 "), kind)).alias("description"),
+        F.when(n % 4 == 0, F.array(F.lit("反光"), F.lit(" ")))
+        .otherwise(F.array().cast("array<string>")).alias("limitations"),
+        F.when(failed, none).otherwise(F.array(observation)).alias("observations"))
+
+
+CLAUSES = [
+    ("DEMO-MANUAL", "bearing-01", "1. 驱动端轴承温振异常", "驱动端轴承温度达到80℃或振动达到4.5mm/s触发停机线。", 3,
+     ["BEARING_TEMP_DE_WARN", "BEARING_TEMP_DE_TRIP", "VIB_DE_WARN", "VIB_DE_TRIP"], ["轴承"],
+     "达到停机线时应隔离设备。", "隔离、冷却后检查润滑状态与游隙。", "轴承与润滑异常可伴随温度、振动同步升高。"),
+    ("DEMO-MANUAL", "cavitation-01", "2. 气蚀", "入口压力降低或流量显著波动时应核验吸入条件。", None,
+     ["PRESS_IN_TRIP", "CV_UNSTABLE"], ["气蚀"], None, None, None),
+    ("DEMO-MANUAL", "seal-01", "3. 密封", "机械密封允许微量外渗。", 5, [], ["漏", "机封"], None,
+     "更换机械密封。", "密封面贴合失效。"),
+    ("DEMO-MANUAL", "motor-01", "4. 电机", "持续过流会烧毁绝缘。", 7, ["CURRENT_HIGH", "CURRENT_LOW"],
+     ["check", "TAH"], "核对负载。", None, None),
+]
+
+
+def clauses(spark: SparkSession) -> DataFrame:
+    from ..sources.config import CLAUSE_SCHEMA
+    return spark.createDataFrame(CLAUSES, CLAUSE_SCHEMA)
