@@ -83,11 +83,12 @@ def clause_scores(cases: DataFrame, clauses: DataFrame) -> DataFrame:
                            .alias("n_terms"))
     lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect() if r[0])
     note = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("alarm_code", F.lit("")))
-    pieces = [F.transform(
-        F.when(F.length("note") >= n, F.sequence(F.lit(1), F.length("note") - (n - 1)))
-        .otherwise(F.array().cast("array<int>")),
-        lambda i, n=n: F.substring(F.col("note"), i, F.lit(n))) for n in lengths]
-    grams = F.array_distinct(F.concat("flags", *pieces))
+    def substrings(n):
+        starts = F.when(F.length("note") >= n, F.sequence(F.lit(1), F.length("note") - (n - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
+                           lambda i: F.substring(F.col("note"), i, F.lit(n)))
+
+    grams = F.array_distinct(F.concat("flags", *[substrings(n) for n in lengths]))
     probes = (cases.withColumn("note", note)
               .select("trace_id", F.explode(grams).alias("term")))
     if terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:

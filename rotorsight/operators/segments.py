@@ -16,33 +16,33 @@ CENTRE = {"flow_rate": L.RATED_FLOW, "press_out": L.RATED_PRESS_OUT, "temp_de":
 MAXIMA = ["temp_de", "temp_nde", "vib_rms_de", "vib_rms_nde", "motor_current"]
 
 
-def rolling_cv(value: str, window) -> Column:
-    """Coefficient of variation (%) of the trailing frame; 0 when its mean is not positive."""
-    enough = F.count(value).over(window) >= L.CV_MIN_ROWS
-    mean = F.avg(value).over(window)
-    return F.when(enough & (mean > 1e-6), F.stddev_samp(value).over(window) / mean * 100)
+def rolling_stats(rows: DataFrame, part: list[str], ts: str) -> DataFrame:
+    """Add ``cv_flow``, ``cv_press`` and ``ramp``: trailing variation and temperature slope.
 
-
-def rolling_slope(value: str, minutes: str, window) -> Column:
-    """Least-squares slope per minute over a full trailing frame, else null."""
-    full = F.count(value).over(window) == L.SLOPE_WINDOW_ROWS
-    return F.when(full, F.regr_slope(F.col(value), F.col(minutes)).over(window))
+    Frames stay inside a run. Each window function is computed once as a column of its own;
+    readings are never null (see ``sources.telemetry.violations``), so ``rn`` is the frame size.
+    """
+    in_run = W.partitionBy(*part, "run").orderBy(ts)
+    cv_window = in_run.rowsBetween(-(L.CV_WINDOW_ROWS - 1), 0)
+    slope_window = in_run.rowsBetween(-(L.SLOPE_WINDOW_ROWS - 1), 0)
+    values = {"flow": "flow_rate", "press": "press_out"}
+    moments = {f"_{k}_mean": F.avg(v).over(cv_window) for k, v in values.items()}
+    moments |= {f"_{k}_sd": F.stddev_samp(v).over(cv_window) for k, v in values.items()}
+    moments["_slope"] = F.regr_slope("temp_de", "x").over(slope_window)
+    cv = {f"cv_{k}": F.when((F.col("rn") >= L.CV_MIN_ROWS) & (F.col(f"_{k}_mean") > 1e-6),
+                            F.col(f"_{k}_sd") / F.col(f"_{k}_mean") * 100) for k in values}
+    cv["ramp"] = F.when(F.col("rn") >= L.SLOPE_WINDOW_ROWS, F.col("_slope"))
+    return rows.withColumns(moments).withColumns(cv).drop(*moments)
 
 
 def telemetry_runs(frames: DataFrame, series: Series = Series(), alarms: bool = False) -> DataFrame:
     """Reduce frames to runs of one state within a slice. One shuffle; written out once."""
     part = [*series.keys, "slice"]
-    in_run = W.partitionBy(*part, "run").orderBy(series.ts)
-    cv_window = in_run.rowsBetween(-(L.CV_WINDOW_ROWS - 1), 0)
-    slope_window = in_run.rowsBetween(-(L.SLOPE_WINDOW_ROWS - 1), 0)
     minutes = (F.unix_micros(series.ts)
                - F.col("slice") * F.lit(series.slice_seconds * 1_000_000)) / 60e6
-    rows = (number_runs(frames, series)
-            .withColumn("last_run", F.max("run").over(W.partitionBy(*part)))
-            .withColumn("x", minutes)
-            .withColumn("cv_flow", rolling_cv("flow_rate", cv_window))
-            .withColumn("cv_press", rolling_cv("press_out", cv_window))
-            .withColumn("ramp", rolling_slope("temp_de", "x", slope_window)))
+    rows = number_runs(frames, series).withColumns(
+        {"last_run": F.max("run").over(W.partitionBy(*part)), "x": minutes})
+    rows = rolling_stats(rows, part, series.ts)
 
     n = F.count(F.lit(1))
     edge_row = F.struct(F.col(series.ts).alias("t"), F.col("flow_rate").alias("flow"),

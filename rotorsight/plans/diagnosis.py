@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import alarm_codes
 from ..operators import attribution, cases as C, delivery, manual, rules, safety, segments, vision
+from ..session import materialise
 from ..sources.config import RiskConfig
 
 OVERALL = ["total_points", "phase_count", "max_temp_de", "max_vib_de", "max_temp_nde",
@@ -19,7 +20,8 @@ def analyse_telemetry(cases: DataFrame, frames: DataFrame) -> DataFrame:
     """
     series = C.CASE_SERIES
     runs = segments.telemetry_runs(C.case_frames(cases, frames), series, alarms=True)
-    seg = rules.judge(segments.segment_metrics(runs, series))
+    # A few rows per case, read by the overall figures and by the rule list.
+    seg = materialise(rules.judge(segments.segment_metrics(runs, series)))
     overall = segments.overall_metrics(runs, seg, series).select("trace_id", *OVERALL)
     codes = rules.window_codes(seg, ["trace_id"]).withColumnRenamed("rule_codes", "flags")
     alarms = runs.groupBy("trace_id").agg(
@@ -52,4 +54,5 @@ def diagnose(cases: DataFrame, frames: DataFrame, images: DataFrame,
     informed = manual.builtin_topics(evidence) if clauses is None \
         else manual.clause_evidence(evidence, clauses)
     verdicts = safety.evaluate(attribution.attribute(informed), config)
-    return delivery.deliver(safety.protect_actions(verdicts), F.col("reported_at"))
+    # One row per case: written out so that exploding its lists does not repeat the verdict logic.
+    return materialise(delivery.deliver(safety.protect_actions(verdicts), F.col("reported_at")))

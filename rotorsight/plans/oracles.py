@@ -103,8 +103,8 @@ def segment_ctes(src: str, key: str, pre: str = "") -> str:
       {rnd('avg(flow_rate)', 2)} AS avg_flow, {rnd('avg(press_out)', 3)} AS avg_press_out, {rnd('avg(press_in)', 3)} AS avg_press_in,
       {rnd('coalesce(stddev_samp(flow_rate) / avg(flow_rate) * 100, 0)', 2)} AS cv_flow,
       {rnd('coalesce(stddev_samp(press_out) / avg(press_out) * 100, 0)', 2)} AS cv_press,
-      {rnd('coalesce(regr_slope(temp_de, x), 0)', 3)} AS slope_temp_de, {rnd('max(temp_de)', 1)} AS max_temp_de, {rnd('max(temp_nde)', 1)} AS max_temp_nde,
-      {rnd('coalesce(regr_slope(vib_rms_de, x), 0)', 3)} AS slope_vib_de, {rnd('max(vib_rms_de)', 2)} AS max_vib_de, {rnd('max(vib_rms_nde)', 2)} AS max_vib_nde,
+      {rnd('CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(temp_de, x) END', 3)} AS slope_temp_de, {rnd('max(temp_de)', 1)} AS max_temp_de, {rnd('max(temp_nde)', 1)} AS max_temp_nde,
+      {rnd('CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(vib_rms_de, x) END', 3)} AS slope_vib_de, {rnd('max(vib_rms_de)', 2)} AS max_vib_de, {rnd('max(vib_rms_nde)', 2)} AS max_vib_nde,
       {rnd('avg(motor_current)', 2)} AS avg_motor_current, {rnd('max(motor_current)', 2)} AS max_motor_current,
       {rnd('max(rcv_flow)', 2)} AS cv_flow_peak, {rnd('max(rcv_press)', 2)} AS cv_press_peak,
       min(CASE WHEN rslope >= 0.8 THEN timestamp END) AS ramp_start_time
@@ -210,11 +210,11 @@ e2 AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS seg FRO
 # ---- cases -----------------------------------------------------------------------------------------
 
 CASES = T + f""",
-cb AS (SELECT device_id AS dev_id, dev, CAST(floor(epoch(timestamp) / 1800) AS BIGINT) AS b FROM t GROUP BY 1, 2, 3),
+cb AS (SELECT device_id AS dev_id, dev, CAST(floor(epoch(timestamp) / 240) AS BIGINT) AS b FROM t GROUP BY 1, 2, 3),
 cs AS (SELECT *, b + dev AS k, dev_id || '-' || b AS trace_id,
     CASE WHEN (b + dev) % 11 = 5 THEN '' ELSE dev_id END AS device_id,
-    to_timestamp(b * 1800 + CASE WHEN (b + dev) % 7 = 3 THEN 600 ELSE 0 END)::TIMESTAMP AS start_ts,
-    to_timestamp((b + 1) * 1800 + CASE WHEN (b + dev) % 7 = 3 THEN 600 ELSE 0 END)::TIMESTAMP AS end_ts,
+    to_timestamp(CASE WHEN (b + dev) % 7 = 3 THEN (b + 1) * 240 - 1200 ELSE b * 240 END)::TIMESTAMP AS start_ts,
+    to_timestamp((b + 1) * 240 + CASE WHEN (b + dev) % 7 = 3 THEN 600 ELSE 0 END)::TIMESTAMP AS end_ts,
     {listed(["", "驱动端轴承温度偏高", "机封处有漏液", "入口压力低，疑似气蚀", "   ", "routine check"])}[(b + dev) % 6 + 1] AS user_query,
     CASE (b + dev) % 4 WHEN 1 THEN 'bearing high' WHEN 2 THEN 'TAH-101' WHEN 3 THEN '' END AS alarm_code,
     (b + dev) % 5 = 2 AS degraded FROM cb),
@@ -234,18 +234,18 @@ oracle("coverage_quality", CASES, f"""SELECT trace_id, total_points, expected_po
        ELSE '' END AS data_reason FROM cd""")
 
 PHOTOS = """
-ph0 AS (SELECT device_id AS dev_id, CAST(floor(epoch(timestamp) / 1800) AS BIGINT) + dev AS k,
-    device_id || '-' || CAST(floor(epoch(timestamp) / 1800) AS BIGINT) AS trace_id, event_type AS kind, count(*) AS n, max(value) AS mv
+ph0 AS (SELECT device_id AS dev_id, CAST(floor(epoch(timestamp) / 240) AS BIGINT) + dev AS k,
+    device_id || '-' || CAST(floor(epoch(timestamp) / 240) AS BIGINT) AS trace_id, event_type AS kind, count(*) AS n, max(value) AS mv
     FROM t GROUP BY 1, 2, 3, 4),
 ph AS (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], kind) - 1 AS pos,
     CASE WHEN kind = 'signup' THEN '' ELSE trace_id || '/' || kind END AS image_id, k % 13 = 4 AS failed,
-    CASE WHEN mv > 240 THEN 'SEVERE' WHEN mv > 215 THEN 'MODERATE' WHEN mv > 195 THEN 'MINOR' END AS severity,
+    CASE WHEN mv > 160 THEN 'SEVERE' WHEN mv > 130 THEN 'MODERATE' WHEN mv > 105 THEN 'MINOR' END AS severity,
     CASE WHEN n % 5 = 0 THEN '' ELSE kind || ' x' || n END AS evidence,
     CASE WHEN kind = 'purchase' THEN '' ELSE 'part-' || kind END AS location,
     CASE kind WHEN 'click' THEN 'LEAK' WHEN 'error' THEN 'CRACK' WHEN 'purchase' THEN 'SCALE' WHEN 'signup' THEN 'WEAR' ELSE 'leak' END AS defect_type,
-    CASE WHEN mv / 300 >= 0.8 THEN 'HIGH' WHEN mv / 300 >= 0.5 THEN 'MEDIUM' WHEN mv > 0 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence
+    CASE WHEN mv / 200 >= 0.8 THEN 'HIGH' WHEN mv / 200 >= 0.5 THEN 'MEDIUM' WHEN mv > 0 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence
     FROM ph0 WHERE k % 3 <> 1),
-ab AS (SELECT *, severity IS NOT NULL AND evidence <> '' AS complete FROM ph WHERE mv > 190 AND NOT failed),
+ab AS (SELECT *, severity IS NOT NULL AND evidence <> '' AS complete FROM ph WHERE mv > 100 AND NOT failed),
 fnd AS (SELECT * FROM ab WHERE complete),
 vs AS (SELECT trace_id, count(*) AS images, bool_and(failed) AS all_failed FROM ph GROUP BY 1),
 vf AS (SELECT trace_id, count(*) AS n_findings, bool_or(upper(defect_type) = 'LEAK') AS leak,
@@ -267,7 +267,7 @@ oracle("vision_summary", T + "," + PHOTOS.split("vs AS")[0].rstrip().rstrip(",")
 vl AS (SELECT *, '[图' || (pos + 1) || '] ' || kind || '.png' AS named,
     CASE WHEN failed THEN '（本图识别失败，未产生视觉结论：timeout）' WHEN n % 6 = 0 THEN '' ELSE '照片 ' || kind END AS body,
     concat_ws('；', CASE WHEN n % 4 = 0 THEN '反光' END,
-      CASE WHEN mv > 190 AND NOT failed AND (severity IS NULL OR evidence = '')
+      CASE WHEN mv > 100 AND NOT failed AND (severity IS NULL OR evidence = '')
            THEN '「' || location || '」的异常缺少完整的缺陷要素（defect_type/severity/evidence），未计入 findings' END) AS limits FROM ph),
 vt AS (SELECT trace_id,
     string_agg(CASE WHEN body <> '' THEN named || chr(10) || body || CASE WHEN limits <> '' THEN chr(10) || '本图未核验：' || limits ELSE '' END END, chr(10) || chr(10) ORDER BY pos) AS a,
@@ -424,3 +424,61 @@ UNION ALL SELECT 'not_finite', device_id, {iso('ts2')}, 'temp_de' FROM z WHERE r
 UNION ALL SELECT 'not_finite', device_id, {iso('ts2')}, 'press_in' FROM z WHERE rn % 107 = 3
 UNION ALL SELECT 'unknown_state', device_id, {iso('ts2')}, 'OFFLINE' FROM z WHERE rn % 109 = 4
 UNION ALL SELECT 'duplicate_time', device_id, {iso('ts2')}, CAST(count(*) AS VARCHAR) FROM z GROUP BY device_id, ts2 HAVING count(*) > 1""")
+
+
+# ---- retrieval -------------------------------------------------------------------------------------
+
+def search_ctes(parts: int, pre: str = "") -> str:
+    means = ", ".join(f"avg(embedding[{i}])" for i in range(1, 65))
+    return f"""
+{pre}q0 AS (SELECT CAST(label AS BIGINT) AS case_id, vec_id % {parts} AS query_pos, [{means}] AS v FROM embeddings GROUP BY 1, 2),
+{pre}q AS (SELECT case_id, query_pos, 'label ' || case_id || ' part ' || query_pos AS query_text,
+    [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS qv FROM {pre}q0),
+{pre}sc AS (SELECT case_id, query_pos, query_text, vec_id AS chunk_id, round(greatest(-1, least(1, list_dot_product(qv, CAST(embedding AS DOUBLE[])))), 9) AS score,
+    round(list_dot_product(qv[1:32], CAST(embedding[1:32] AS DOUBLE[])), 9) AS rerank, label FROM {pre}q CROSS JOIN embeddings),
+{pre}rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, query_pos ORDER BY score DESC, chunk_id) - 1 AS rank FROM {pre}sc),
+{pre}rc AS (SELECT rk.*, text, '/manuals/' || source || '.md' AS source FROM {pre}rk AS rk JOIN documents ON chunk_id = doc_id WHERE rank < 15),
+{pre}rp AS (SELECT case_id, query_pos, any_value(query_text) AS query_text, count(*) AS returned, max(score) AS top1, avg(score) AS mean, min(score) AS lowest,
+    coalesce(max(score) - max(score) FILTER (rank = 1), 0) AS head_gap, count(DISTINCT source) AS distinct_sources, max(score) < 0.5 AS low_confidence FROM {pre}rc GROUP BY 1, 2),
+{pre}rr AS (SELECT * FROM (SELECT rc.*, row_number() OVER (PARTITION BY case_id, query_pos ORDER BY rerank DESC, rank) - 1 AS rerank_rank
+    FROM {pre}rc AS rc SEMI JOIN (SELECT * FROM {pre}rp WHERE NOT low_confidence) p USING (case_id, query_pos)) WHERE rerank_rank < 3),
+{pre}mg AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rerank DESC, chunk_id) AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY rerank DESC, query_pos) AS pick FROM {pre}rr) WHERE pick = 1)"""
+
+
+SEARCH = search_ctes(4)
+oracle("topk_cosine", SEARCH, f"SELECT case_id, query_pos, chunk_id, rank, {rnd('score', 6)} AS score FROM rk WHERE rank < 5")
+oracle("min_score_hits", SEARCH, "SELECT case_id, query_pos, chunk_id, rank FROM rk WHERE rank < 15 AND score >= 0.45")
+oracle("retrieval_report", SEARCH, f"""SELECT case_id, query_pos, returned, {rnd('top1', 6)} AS top1, {rnd('mean', 6)} AS mean, {rnd('lowest', 6)} AS lowest,
+  {rnd('head_gap', 6)} AS head_gap, distinct_sources, low_confidence FROM rp""")
+oracle("gated_retrieval", SEARCH, f"SELECT case_id, query_pos, chunk_id, rank, rerank_rank, {rnd('score', 6)} AS score, {rnd('rerank', 6)} AS rerank FROM rr")
+oracle("merged_retrieval", SEARCH, f"SELECT case_id, chunk_id, position, query_text AS hit_by, {rnd('rerank', 6)} AS rerank FROM mg")
+oracle("two_round_retrieval", SEARCH + "," + search_ctes(3, "z"), f"""SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY r DESC, chunk_id) AS position, hit_by, round, {rnd('r', 6)} AS rerank FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY r DESC, round, query_pos) AS pick FROM (
+    SELECT case_id, chunk_id, query_pos, query_text AS hit_by, rerank AS r, CAST(1 AS BIGINT) AS round FROM rr
+    UNION ALL SELECT case_id, chunk_id, query_pos, query_text, rerank, 2 FROM zrr)) WHERE pick = 1""")
+oracle("retrieval_rules", SEARCH, """SELECT case_id, docs, total, refused, concat_ws(';', CASE WHEN docs = 0 THEN 'empty' END,
+    CASE WHEN refused >= total THEN 'all_refused' WHEN total >= 2 AND refused / total >= 0.5 THEN 'majority_refused' END,
+    CASE WHEN docs > 0 AND top1 >= 0.5 AND top1 < 0.6 THEN 'grey_zone' END) AS rules FROM (
+  SELECT case_id, total, refused, coalesce(docs, 0) AS docs, top1 FROM (SELECT case_id, count(*) AS total, CAST(sum(CAST(low_confidence AS INT)) AS BIGINT) AS refused FROM rp GROUP BY 1)
+  LEFT JOIN (SELECT case_id, count(*) AS docs, max(score) AS top1 FROM mg GROUP BY 1) USING (case_id))""")
+oracle("retrieval_summary", SEARCH, f"""SELECT case_id, docs, sources, {rnd('gap_before', 6)} AS gap_before, {rnd('gap_after', 6)} AS gap_after FROM
+  (SELECT case_id, count(*) AS docs, count(DISTINCT source) AS sources FROM mg GROUP BY 1) LEFT JOIN
+  (SELECT case_id, avg(rp.head_gap) AS gap_before, avg(g.gap) AS gap_after FROM rp JOIN (
+     SELECT case_id, query_pos, coalesce(max(rerank) - max(rerank) FILTER (rerank_rank = 1), 0) AS gap FROM rr GROUP BY 1, 2) g USING (case_id, query_pos) GROUP BY 1) USING (case_id)""")
+BLOCKS = SEARCH + f""",
+bl AS (SELECT *, chr(10) || printf('[%d] 重排分 %.3f｜', position, rerank) || string_split(source, '/')[-1] || ' | chapter ' || label || chr(10) || '    命中查询：' || query_text || chr(10)
+    || CASE WHEN length(text) > 1200 THEN substring(text, 1, 1200) || '{L.TRUNCATED_MARK}' ELSE text END AS block FROM mg),
+bs AS (SELECT *, sum(length(block)) OVER (PARTITION BY case_id ORDER BY position) <= 4000 AS shown FROM bl)"""
+oracle("context_budget", BLOCKS, "SELECT case_id, position, chunk_id, length(block) AS block_chars, shown FROM bs")
+oracle("context_text", BLOCKS, """SELECT case_id, count(*) AS hits, count(*) FILTER (NOT shown) AS left_out, md5(concat_ws(chr(10), coalesce(string_agg(block, chr(10) ORDER BY position) FILTER (shown), ''),
+  CASE WHEN count(*) FILTER (NOT shown) > 0 THEN chr(10) || printf('（其余 %d 条超出上下文预算，未展示）', count(*) FILTER (NOT shown)) END)) AS context_md5 FROM bs GROUP BY 1""")
+oracle("refusals", SEARCH, """SELECT case_id, query_pos, '知识库中没有找到与问题相关的内容。' || chr(10) || '查询：' || query_text || chr(10) || printf('检索到的最高相似度 %.3f，低于置信度阈值 ', top1)
+  || '0.5——按约定此时不提供片段，以免基于不相关内容编造答案。' || chr(10) || '请如实告知用户知识库中没有相关资料，并可以建议用户换个说法或补充背景信息；不要凭已有知识作答。' AS message FROM rp WHERE low_confidence""")
+oracle("query_cleanup", r"""
+u AS (SELECT conv_id AS case_id, turn, trim(text) AS text, regexp_replace(regexp_replace(text, '[\s\p{Z}]+', '', 'g'), '[？?。.！!；;，,]+$', '') AS key FROM conversations WHERE role = 'user'),
+o AS (SELECT case_id, arg_min(text, turn) AS text, arg_min(key, turn) AS key FROM u GROUP BY 1),
+d AS (SELECT case_id, key, min(turn) AS turn, arg_min(text, turn) AS text FROM u WHERE text <> '' GROUP BY 1, 2),
+n AS (SELECT d.*, row_number() OVER (PARTITION BY d.case_id ORDER BY d.turn) AS n FROM d ANTI JOIN o ON d.case_id = o.case_id AND d.key = o.key)""".replace("\\", "\"),
+       """SELECT o.case_id, coalesce(n.n, 1) AS n, md5(coalesce(n.text, o.text)) AS query_md5, n.text IS NULL AS degraded
+  FROM o LEFT JOIN (SELECT * FROM n WHERE n <= 4) n ON o.case_id = n.case_id""")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import limits as L
 from ..functions.scalars import alarm_from_readings, iso, stable_round
 from ..operators import (alarms as A, attribution, cases as C, delivery as D, manual as K,
-                         measures as M, rules as R, runs as U, safety, segments as S, vision as V)
+                         measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S, vision as V)
 from ..session import configure
 from ..sources import telemetry as TS
 from ..sources.config import risk_matrix
-from . import diagnosis as X, standin as N
+from . import diagnosis as X, search, standin as N
 
 QUERIES = {}
 
@@ -370,3 +370,105 @@ def telemetry_violations(spark, sf_dir):
         "timestamp": F.date_format(F.when(n % 113 == 5, F.col("timestamp") - F.expr(
             "INTERVAL 5 SECONDS")).otherwise(F.col("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")})
     return longs(TS.violations(dirty))
+
+
+# ---- retrieval -------------------------------------------------------------------------------------
+
+def search_result(spark, sf_dir, parts=4):
+    return search.retrieve(N.chunks(spark, sf_dir), N.centroid_queries(spark, sf_dir, parts),
+                           N.half_cosine)
+
+
+@query
+def topk_cosine(spark, sf_dir):
+    vectors = N.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    found = Q.top_k(vectors, N.centroid_queries(spark, sf_dir, 4), L.DEFAULT_TOP_K)
+    return longs(found.select("case_id", "query_pos", "chunk_id", "rank",
+                              stable_round("score", 6).alias("score")))
+
+
+@query
+def min_score_hits(spark, sf_dir):
+    vectors = N.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    found = Q.top_k(vectors, N.centroid_queries(spark, sf_dir, 4), L.DEFAULT_RECALL_K)
+    return longs(Q.at_least_score(found, 0.45).select("case_id", "query_pos", "chunk_id", "rank"))
+
+
+def rounded_report(report):
+    return longs(report.select("case_id", "query_pos", "returned", *[
+        stable_round(c, 6).alias(c) for c in ("top1", "mean", "lowest", "head_gap")],
+        "distinct_sources", "low_confidence"))
+
+
+@query
+def retrieval_report(spark, sf_dir):
+    return rounded_report(search_result(spark, sf_dir).reports)
+
+
+@query
+def gated_retrieval(spark, sf_dir):
+    return longs(search_result(spark, sf_dir).kept.select(
+        "case_id", "query_pos", "chunk_id", "rank", "rerank_rank",
+        stable_round("score", 6).alias("score"), stable_round("rerank_score", 6).alias("rerank")))
+
+
+@query
+def merged_retrieval(spark, sf_dir):
+    return longs(search_result(spark, sf_dir).merged.select(
+        "case_id", "chunk_id", "position", "hit_by",
+        stable_round("rerank_score", 6).alias("rerank")))
+
+
+@query
+def two_round_retrieval(spark, sf_dir):
+    merged = search.merge_rounds(search_result(spark, sf_dir), search_result(spark, sf_dir, 3))
+    return longs(merged.select("case_id", "chunk_id", "position", "hit_by", "round",
+                               stable_round("rerank_score", 6).alias("rerank")))
+
+
+@query
+def retrieval_rules(spark, sf_dir):
+    found = search_result(spark, sf_dir)
+    cases = found.queries.select("case_id").distinct()
+    return longs(Q.sufficiency_rules(cases, found.merged, found.reports).select(
+        "case_id", "docs", "total", "refused", "rules"))
+
+
+@query
+def retrieval_summary(spark, sf_dir):
+    found = search_result(spark, sf_dir)
+    return longs(Q.retrieval_summary(found.merged, found.reports, found.rerank_reports).select(
+        "case_id", "docs", "sources", stable_round("gap_before", 6).alias("gap_before"),
+        stable_round("gap_after", 6).alias("gap_after")))
+
+
+@query
+def context_budget(spark, sf_dir):
+    blocks = Q.context_blocks(search_result(spark, sf_dir).merged, "rerank_score", True)
+    return longs(blocks.select("case_id", "position", "chunk_id",
+                               F.length("block").alias("block_chars"), "shown"))
+
+
+@query
+def context_text(spark, sf_dir):
+    blocks = Q.context_blocks(search_result(spark, sf_dir).merged, "rerank_score", True)
+    return longs(Q.context_text(blocks).select(
+        "case_id", "hits", "left_out", F.md5("context").alias("context_md5")))
+
+
+@query
+def refusals(spark, sf_dir):
+    return longs(Q.refusal_text(search_result(spark, sf_dir).reports))
+
+
+@query
+def query_cleanup(spark, sf_dir):
+    """User turns as proposed sub-queries; the first user turn is the original question."""
+    turns = N.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        F.col("conv_id").alias("case_id"), F.col("turn").alias("query_pos"),
+        F.col("text").alias("query_text"))
+    original = turns.groupBy("case_id").agg(
+        F.min_by("query_text", "query_pos").alias("query_text"))
+    cleaned = Q.clean_queries(turns, original, L.DEFAULT_SUB_QUESTIONS)
+    return longs(Q.with_fallback(original, cleaned).select(
+        "case_id", "n", F.md5("query_text").alias("query_md5"), "degraded"))

@@ -13,7 +13,7 @@ from .. import limits as L
 from ..functions.scalars import alarm_from_readings
 
 BASE_SECONDS = 1789257725      # 2026-09-13 00:02:05 UTC
-CASE_SECONDS = 1800
+CASE_SECONDS = 240
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +38,17 @@ def telemetry(events: DataFrame) -> DataFrame:
         "cast(CASE ph " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items())
         + f" ELSE {other} END AS double)")
     frames = phased.withColumns({
-        "flow_rate": by_phase({4: "75D + 3.0D*j", 3: "0.05D", 7: "42D + 0.1D*j"}, "100D + 0.2D*j"),
-        "press_out": by_phase({4: "0.25D", 3: "0.001D", 7: "0.131D"}, "0.312D"),
-        "press_in": by_phase({4: "-0.045D + 0.003D*j", 3: "0D"}, "0.02D"),
-        "temp_de": by_phase({1: "60D + 0.03D*p", 2: "68D + 0.3D*p", 3: "60D - 0.3D*p",
-                             5: "72D + 0.01D*j"}, "45D + 0.1D*j"),
-        "temp_nde": by_phase({2: "55D", 5: "60D"}, "43D"),
-        "vib_rms_de": by_phase({1: "2.5D", 2: "3.6D + 0.03D*p", 3: "0.1D", 4: "5.4D", 5: "3.8D",
-                                6: "2.5D"}, "1.45D + 0.01D*j"),
-        "vib_rms_nde": by_phase({2: "2.9D", 3: "0.05D", 4: "5.1D", 5: "3.9D", 6: "5.5D"},
-                                "1.35D"),
-        "motor_current": by_phase({3: "0.05D", 4: "19D", 5: "30D", 6: "15.5D"}, "22.5D"),
+        "flow_rate": by_phase({4: "75 + 3.0*j", 3: "0.05", 7: "42 + 0.1*j"}, "100 + 0.2*j"),
+        "press_out": by_phase({4: "0.25", 3: "0.001", 7: "0.131"}, "0.312"),
+        "press_in": by_phase({4: "-0.045 + 0.003*j", 3: "0"}, "0.02"),
+        "temp_de": by_phase({1: "60 + 0.03*p", 2: "68 + 0.3*p", 3: "60 - 0.3*p",
+                             5: "72 + 0.01*j"}, "45 + 0.1*j"),
+        "temp_nde": by_phase({2: "55", 5: "60"}, "43"),
+        "vib_rms_de": by_phase({1: "2.5", 2: "3.6 + 0.03*p", 3: "0.1", 4: "5.4", 5: "3.8",
+                                6: "2.5"}, "1.45 + 0.01*j"),
+        "vib_rms_nde": by_phase({2: "2.9", 3: "0.05", 4: "5.1", 5: "3.9", 6: "5.5"},
+                                "1.35"),
+        "motor_current": by_phase({3: "0.05", 4: "19", 5: "30", 6: "15.5"}, "22.5"),
         "operating_state": F.expr(
             "CASE ph WHEN 1 THEN 'DEGRADING' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'TRIP_SHUTDOWN' "
             "WHEN 4 THEN 'CRITICAL_CAVITATION' WHEN 5 THEN 'WARNING' "
@@ -69,7 +69,7 @@ DEFECTS = {"click": "LEAK", "error": "CRACK", "purchase": "SCALE", "signup": "WE
            "view": "leak "}
 
 
-def _half_hours(frames: DataFrame, *extra: str) -> DataFrame:
+def _case_windows(frames: DataFrame, *extra: str) -> DataFrame:
     keyed = frames.withColumn("b", F.expr(f"unix_seconds(timestamp) div {CASE_SECONDS}"))
     return keyed.groupBy("device_id", "dev", "b", *extra).agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("mv")).withColumns({
@@ -78,11 +78,11 @@ def _half_hours(frames: DataFrame, *extra: str) -> DataFrame:
 
 
 def cases(frames: DataFrame) -> DataFrame:
-    """One case per device and half hour; some lack a device, a window or a note."""
+    """One case per device and four minutes; some lack a device, a window or a note."""
     at = lambda seconds: F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
     k = F.col("k")
     no_window = k % 7 == 3
-    return _half_hours(frames).select(
+    return _case_windows(frames).select(
         "trace_id", F.when(k % 11 == 5, "").otherwise(F.col("device_id")).alias("device_id"),
         F.when(no_window, "").otherwise(at(F.col("b") * CASE_SECONDS)).alias("start_time"),
         at((F.col("b") + 1) * CASE_SECONDS).alias("end_time"),
@@ -103,17 +103,17 @@ def images(frames: DataFrame) -> DataFrame:
     observation = F.struct(
         F.when(kind == "purchase", "").otherwise(F.concat(F.lit("part-"), kind)).alias("target"),
         F.concat(F.lit("seen "), kind).alias("finding"),
-        F.when(mv > 190, "abnormal").when(mv > 150, "normal").otherwise("unknown")
+        F.when(mv > 100, "abnormal").when(mv > 70, "normal").otherwise("unknown")
         .alias("polarity"),
         F.element_at(defects, kind).alias("defect_type"),
-        F.when(mv > 240, "SEVERE").when(mv > 215, "MODERATE").when(mv > 195, "MINOR")
+        F.when(mv > 160, "SEVERE").when(mv > 130, "MODERATE").when(mv > 105, "MINOR")
         .alias("severity"),
-        F.least(F.lit(1.0), mv / 300).alias("confidence"),
+        F.least(F.lit(1.0), mv / 200).alias("confidence"),
         F.when(n % 5 == 0, "").otherwise(F.concat(kind, F.lit(" x"), n.cast("string")))
         .alias("evidence"))
     none = F.array().cast("array<struct<target:string,finding:string,polarity:string,"
                           "defect_type:string,severity:string,confidence:double,evidence:string>>")
-    return _half_hours(frames, "event_type").filter(k % 3 != 1).select(
+    return _case_windows(frames, "event_type").filter(k % 3 != 1).select(
         "trace_id", (F.array_position(F.array(*[F.lit(x) for x in sorted(DEFECTS)]), kind) - 1)
         .alias("pos"),
         F.when(kind == "signup", "").otherwise(F.concat("trace_id", F.lit("/"), kind))
@@ -143,3 +143,40 @@ CLAUSES = [
 def clauses(spark: SparkSession) -> DataFrame:
     from ..sources.config import CLAUSE_SCHEMA
     return spark.createDataFrame(CLAUSES, CLAUSE_SCHEMA)
+
+
+# ---- retrieval -------------------------------------------------------------------------------------
+
+DIMENSIONS = 64
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as chunks; the document of the same number supplies text and source."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text", F.concat(F.lit("/manuals/"), "source",
+                                                            F.lit(".md")).alias("source"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), "embedding",
+        F.concat(F.lit("chapter "), F.col("label").cast("string")).alias("section_path"),
+        F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("sheet_name"))
+    return vectors.join(documents, "chunk_id")
+
+
+def centroid_queries(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """Per label (= case) the unit centroids of ``parts`` groups of its vectors, as queries."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.groupBy(F.col("label").cast("long").alias("case_id"),
+                      (F.col("vec_id") % parts).alias("query_pos")).agg(
+        F.array(*[F.avg(F.col("embedding")[i]) for i in range(DIMENSIONS)]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return means.withColumn("norm", norm).select(
+        "case_id", "query_pos", F.format_string("label %d part %d", "case_id", "query_pos")
+        .alias("query_text"), F.transform("v", lambda x: x / F.col("norm")).alias("query_vec"))
+
+
+def half_cosine(hits: DataFrame):
+    """Stand-in pair score: dot product of the first half of both vectors."""
+    half = DIMENSIONS // 2
+    return F.aggregate(F.zip_with(F.slice("query_vec", 1, half), F.slice("embedding", 1, half),
+                                  lambda a, b: a * b.cast("double")), F.lit(0.0),
+                       lambda s, v: s + v)
