@@ -16,6 +16,15 @@ def text_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+# White space as a text library strips it (not only the blank).
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"
+
+
+def strip(value) -> Column:
+    """Both ends without white space of any kind."""
+    return F.btrim(col(value), F.lit(WHITE))
+
+
 # ---- numbers -----------------------------------------------------------------------------------
 
 def at_least(value, threshold) -> Column:

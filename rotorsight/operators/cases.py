@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import limits as L
-from ..functions.scalars import iso, parse_time
+from ..functions.scalars import iso, parse_time, strip
 from .runs import Series, time_slice
 
 # Case frames are cut into slices of the default case length: a case touches one or two.
@@ -14,7 +14,7 @@ CASE_SERIES = Series(keys=("device_id", "trace_id"), slice_seconds=CASE_SLICE)
 
 
 def _blank(column) -> Column:
-    return F.coalesce(F.trim(column) == "", F.lit(True))
+    return F.coalesce(strip(column) == "", F.lit(True))
 
 
 def default_windows(cases: DataFrame, now: Column | str = "reported_at") -> DataFrame:
@@ -22,8 +22,8 @@ def default_windows(cases: DataFrame, now: Column | str = "reported_at") -> Data
     moment = F.col(now) if isinstance(now, str) else now
     missing = _blank("start_time") | _blank("end_time")
     start = F.when(missing, iso(moment - F.expr(f"INTERVAL {L.DEFAULT_WINDOW_MINUTES} MINUTES"))) \
-        .otherwise(F.trim("start_time"))
-    end = F.when(missing, iso(moment)).otherwise(F.trim("end_time"))
+        .otherwise(strip("start_time"))
+    end = F.when(missing, iso(moment)).otherwise(strip("end_time"))
     return cases.withColumns({"start_time": start, "end_time": end}).withColumns(
         {"start_ts": parse_time("start_time"), "end_ts": parse_time("end_time")})
 
@@ -79,7 +79,7 @@ def coverage(cases: DataFrame) -> DataFrame:
 
 def engineer_text(cases: DataFrame) -> DataFrame:
     """Status and text of the operator's note."""
-    note = F.trim(F.coalesce("user_query", F.lit("")))
+    note = strip(F.coalesce("user_query", F.lit("")))
     return cases.withColumns({
         "text_status": F.when(note == "", "EMPTY").otherwise("RECORDED"), "text": note})
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import limits as L
-from ..functions.scalars import query_key, stable_round, tail_name
+from ..functions.scalars import query_key, stable_round, strip, tail_name
 
 MAX_BROADCAST_QUERIES = 4096        # 4096 x 1024 doubles = 32 MB
 QUERIES_PER_BLOCK = 1024
@@ -47,7 +47,7 @@ def distinct_queries(queries: DataFrame, limit: int = L.MAX_QUERIES) -> DataFram
 
     The cap is part of the interface: callers see in ``dropped_queries`` what was left out.
     """
-    text = F.trim(F.coalesce("query_text", F.lit("")))
+    text = strip(F.coalesce("query_text", F.lit("")))
     first = (queries.withColumn("query_text", text).filter(F.col("query_text") != "")
              .groupBy("case_id", "query_text")
              .agg(F.min("query_pos").alias("query_pos"),
@@ -58,7 +58,7 @@ def distinct_queries(queries: DataFrame, limit: int = L.MAX_QUERIES) -> DataFram
 
 def dropped_queries(queries: DataFrame, kept: DataFrame) -> DataFrame:
     """Queries beyond the cap, so that the caller knows what was not searched."""
-    named = queries.withColumn("query_text", F.trim("query_text")).filter("query_text <> ''")
+    named = queries.withColumn("query_text", strip("query_text")).filter("query_text <> ''")
     return named.join(kept.select("case_id", "query_text"), ["case_id", "query_text"], "left_anti")
 
 
@@ -170,7 +170,7 @@ def reports(hits: DataFrame, queries: DataFrame, score: str = "score", rank: str
 
 def term_overlap(query, text) -> Column:
     """Default pair score: share of the query's distinct words that occur in the text."""
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
+    words = lambda c: F.array_distinct(F.split(F.lower(strip(c)), r"\s+"))
     return F.size(F.array_intersect(words(query), words(text))) / F.size(words(query))
 
 
@@ -296,7 +296,7 @@ def clean_queries(proposed: DataFrame, exclude: DataFrame, limit: int) -> DataFr
     by partial aggregation before any ordering, and the row-number filter is applied as a group
     limit before the shuffle, so a case with very many proposals stays cheap.
     """
-    keyed = proposed.withColumn("query_text", F.trim(F.coalesce("query_text", F.lit("")))) \
+    keyed = proposed.withColumn("query_text", strip(F.coalesce("query_text", F.lit("")))) \
         .filter(F.col("query_text") != "").withColumn("key", query_key("query_text"))
     first = keyed.groupBy("case_id", "key").agg(
         F.min("query_pos").alias("query_pos"),

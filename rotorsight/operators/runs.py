@@ -135,35 +135,35 @@ def segment_number(run: str = "run") -> Column:
     return F.col("seg_base") + F.col(run) - 1 - F.col("continues").cast("int")
 
 
-def prefix_last(units: DataFrame, keys: list[str], order: str, values: list[str],
-                block: int = SLICES_PER_BLOCK) -> DataFrame:
-    """For every unit the last non-null value of each column in earlier units (two levels)."""
-    blocked = units.withColumn("block", F.expr(f"{order} div {int(block)}"))
+def prefix(units: DataFrame, keys: list[str], order: str, ops: dict[str, str],
+           block: int = SLICES_PER_BLOCK) -> DataFrame:
+    """For every unit, each column combined over the earlier units of its key (two levels).
+
+    ``ops`` maps a column to ``sum`` (0 when there is none), ``min`` or ``last`` (last non-null).
+    ``units`` is read by two branches: pass a small or materialised table.
+    """
+    take = {"sum": F.sum, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    total = {"sum": F.sum, "min": F.min,
+             "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+            "min": F.least, "last": F.coalesce}
+    blocked = units.select(*keys, order, *ops, F.expr(f"{order} div {int(block)}").alias("block"))
     inside = W.partitionBy(*keys, "block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     inner = blocked.select(*keys, order, "block",
-                           *[F.last(v, ignorenulls=True).over(inside).alias(v) for v in values])
+                           *[take[op](c).over(inside).alias(c) for c, op in ops.items()])
     across = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    totals = blocked.groupBy(*keys, "block").agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
-    outer = totals.select(*keys, "block",
-                          *[F.last(v, ignorenulls=True).over(across).alias(f"_{v}")
-                            for v in values])
+    outer = (blocked.groupBy(*keys, "block")
+             .agg(*[total[op](c).alias(c) for c, op in ops.items()])
+             .select(*keys, "block", *[take[op](c).over(across).alias(f"_{c}")
+                                       for c, op in ops.items()]))
     return inner.join(outer, [*keys, "block"]).select(
-        *keys, order, *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+        *keys, order, *[join[op](F.col(c), F.col(f"_{c}")).alias(c) for c, op in ops.items()])
 
 
-def prefix_sum(units: DataFrame, keys: list[str], order: str, value: str,
-               block: int = SLICES_PER_BLOCK) -> DataFrame:
-    """For every unit the sum of ``value`` over earlier units (two levels), as ``value``."""
-    blocked = units.withColumn("block", F.expr(f"{order} div {int(block)}"))
-    inside = W.partitionBy(*keys, "block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    inner = blocked.select(*keys, order, "block",
-                           F.coalesce(F.sum(value).over(inside), F.lit(0)).alias("_in"))
-    across = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    outer = (blocked.groupBy(*keys, "block").agg(F.sum(value).alias("_t"))
-             .select(*keys, "block", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_out")))
-    return inner.join(outer, [*keys, "block"]).select(
-        *keys, order, (F.col("_in") + F.col("_out")).alias(value))
+def prefix_last(units: DataFrame, keys: list[str], order: str, values: list[str],
+                block: int = SLICES_PER_BLOCK) -> DataFrame:
+    """For every unit the last non-null value of each column in earlier units."""
+    return prefix(units, keys, order, dict.fromkeys(values, "last"), block)
 
 
 def segments_of_states(rows: DataFrame, series: Series) -> DataFrame:

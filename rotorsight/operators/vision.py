@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import limits as L
-from ..functions.scalars import confidence_band, tail_name
+from ..functions.scalars import confidence_band, strip, tail_name
 
 OBSERVATION = ("struct<target:string,finding:string,polarity:string,defect_type:string,"
                "severity:string,confidence:double,evidence:string>")
@@ -39,7 +39,7 @@ def failed_image(error: str):
 def _abnormal(images: DataFrame) -> DataFrame:
     rows = images.select("trace_id", "pos", "image_id",
                          F.posexplode("observations").alias("obs_pos", "o"))
-    filled = lambda c: F.coalesce(F.trim(F.col(f"o.{c}")) != "", F.lit(False))
+    filled = lambda c: F.coalesce(strip(F.col(f"o.{c}")) != "", F.lit(False))
     return rows.filter(F.col("o.polarity") == "abnormal").withColumn(
         "complete", filled("defect_type") & filled("severity") & filled("evidence"))
 
@@ -48,9 +48,9 @@ def findings(images: DataFrame) -> DataFrame:
     """One row per complete abnormal observation."""
     return _abnormal(images).filter("complete").select(
         "trace_id", "pos", "obs_pos", "image_id",
-        F.trim("o.defect_type").alias("defect_type"), F.col("o.severity").alias("severity"),
+        strip("o.defect_type").alias("defect_type"), F.col("o.severity").alias("severity"),
         F.col("o.target").alias("location"), confidence_band(F.col("o.confidence"))
-        .alias("confidence"), F.trim("o.evidence").alias("evidence"))
+        .alias("confidence"), strip("o.evidence").alias("evidence"))
 
 
 def rejected(images: DataFrame) -> DataFrame:
@@ -65,9 +65,9 @@ def rejected(images: DataFrame) -> DataFrame:
 def with_notes(images: DataFrame) -> DataFrame:
     """Append the notes of rejected observations to the limitations. Row-local."""
     incomplete = F.filter("observations", lambda o: (o["polarity"] == "abnormal") & ~(
-        F.coalesce(F.trim(o["defect_type"]) != "", F.lit(False))
-        & F.coalesce(F.trim(o["severity"]) != "", F.lit(False))
-        & F.coalesce(F.trim(o["evidence"]) != "", F.lit(False))))
+        F.coalesce(strip(o["defect_type"]) != "", F.lit(False))
+        & F.coalesce(strip(o["severity"]) != "", F.lit(False))
+        & F.coalesce(strip(o["evidence"]) != "", F.lit(False))))
     notes = F.transform(incomplete, lambda o: F.concat(
         F.lit("「"), o["target"],
         F.lit("」的异常缺少完整的缺陷要素（defect_type/severity/evidence），未计入 findings")))
@@ -96,9 +96,9 @@ def status(cases: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
 def summaries(images: DataFrame) -> DataFrame:
     """Text per case: a block per image in order, then the list of what was not verified."""
     named = F.format_string("[图%d] %s", F.col("pos") + 1, tail_name("uri"))
-    limits = F.array_join(F.filter(F.transform("limitations", lambda x: F.trim(x)),
+    limits = F.array_join(F.filter(F.transform("limitations", lambda x: strip(x)),
                                    lambda x: x != ""), "；")
-    body = F.trim(F.coalesce("description", F.lit("")))
+    body = strip(F.coalesce("description", F.lit("")))
     block = F.when(body != "", F.concat(named, F.lit("\n"), body, F.when(
         limits != "", F.concat(F.lit("\n本图未核验："), limits)).otherwise("")))
     line = F.when(limits != "", F.concat(F.lit("- "), named, F.lit("："), limits))

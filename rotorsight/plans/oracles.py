@@ -479,6 +479,87 @@ oracle("query_cleanup", r"""
 u AS (SELECT conv_id AS case_id, turn, trim(text) AS text, regexp_replace(regexp_replace(text, '[\s\p{Z}]+', '', 'g'), '[？?。.！!；;，,]+$', '') AS key FROM conversations WHERE role = 'user'),
 o AS (SELECT case_id, arg_min(text, turn) AS text, arg_min(key, turn) AS key FROM u GROUP BY 1),
 d AS (SELECT case_id, key, min(turn) AS turn, arg_min(text, turn) AS text FROM u WHERE text <> '' GROUP BY 1, 2),
-n AS (SELECT d.*, row_number() OVER (PARTITION BY d.case_id ORDER BY d.turn) AS n FROM d ANTI JOIN o ON d.case_id = o.case_id AND d.key = o.key)""".replace("\\", "\"),
+n AS (SELECT d.*, row_number() OVER (PARTITION BY d.case_id ORDER BY d.turn) AS n FROM d ANTI JOIN o ON d.case_id = o.case_id AND d.key = o.key)""",
        """SELECT o.case_id, coalesce(n.n, 1) AS n, md5(coalesce(n.text, o.text)) AS query_md5, n.text IS NULL AS degraded
   FROM o LEFT JOIN (SELECT * FROM n WHERE n <= 4) n ON o.case_id = n.case_id""")
+
+
+# ---- documents ---------------------------------------------------------------------------------
+
+WS = r"chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288) || chr(8232) || chr(8233) || chr(133)"
+
+
+def folded(x: str) -> str:
+    """White space folding of a text, as SQL."""
+    x = f"regexp_replace({x}, '\\\\([_*#\\[\\]()~`])', '\\1', 'g')"
+    x = f"regexp_replace({x}, '(?m)[ \\t]+$', '', 'g')"
+    x = f"regexp_replace({x}, '[\\t\\f\\r\\x0b  　 ]+', ' ', 'g')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"trim({x}, {WS})"
+
+
+oracle("text_normalise", "", f"""SELECT doc_id, length(z) AS chars, md5(z) AS text_md5 FROM (SELECT doc_id,
+  {folded("replace(text, ', ', ' ' || chr(92) || '_ ' || chr(9) || ' ') || ' ' || repeat(chr(10), 4) || ' x '")} AS z FROM documents)""")
+oracle("repeated_lines", f"""
+p AS (SELECT doc_id, [trim(l, {WS}) FOR l IN string_split({folded('text')}, chr(10))] AS ls FROM documents),
+c AS (SELECT unnest(list_distinct(list_concat(ls[1:3], ls[greatest(1, len(ls) - 2):len(ls)]))) AS line FROM p)""",
+       """SELECT md5(line) AS line_md5, count(*) AS pages, (SELECT count(*) FROM p) AS n_pages,
+  count(*) >= 0.6 * (SELECT count(*) FROM p) AND length(line) <= 60 AS is_header FROM c WHERE line <> '' GROUP BY line""")
+oracle("text_quality", "", f"""SELECT *, chars >= 24 AND digits >= 4 AND (units <> '' OR tags <> '' OR keys <> '') AS credible FROM (
+  SELECT doc_id, length(regexp_replace(text, '[\\s 　]+', '', 'g')) AS chars, length(regexp_replace(text, '\\D', '', 'g')) AS digits,
+    array_to_string(list_sort(list_distinct([lower(z) FOR z IN regexp_extract_all(text, '{L.QUALITY_UNIT_PATTERN}', 1)])), ';') AS units,
+    array_to_string(list_sort(list_distinct([upper(z) FOR z IN regexp_extract_all(text, '{L.QUALITY_TAG_PATTERN}', 1)])), ';') AS tags,
+    array_to_string(list_sort(list_distinct([upper(z) FOR z IN regexp_extract_all(text, '{L.QUALITY_KEY_PATTERN}', 1)])), ';') AS keys FROM documents)""")
+
+LINES = f"""
+d0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+d1 AS (SELECT *, (doc_id * 7 + i * 13) % 17 AS h, regexp_replace(substring(line, 1, 12), '[^A-Za-z ]', '', 'g') AS w, doc_id % 3 <> 0 AS md FROM d0),
+d2 AS (SELECT doc_id, source, i, trim(CASE h
+    WHEN 0 THEN CASE WHEN md THEN '# ' || substring(line, 1, 20) ELSE '1 x' || w END WHEN 1 THEN CASE WHEN md THEN '## ' || substring(line, 1, 20) ELSE '2 x' || w END
+    WHEN 2 THEN CASE WHEN md THEN '### ' || substring(line, 1, 20) ELSE '3 x' || w END WHEN 3 THEN (i % 5) || '.2 x' || w
+    WHEN 4 THEN '- ' || line WHEN 5 THEN '| ' || substring(line, 1, 30) || ' |' WHEN 6 THEN '|---|---|' WHEN 7 THEN '' WHEN 8 THEN '附录A 标题' ELSE line END, {WS}) AS line FROM d1),
+l0 AS (SELECT *, regexp_matches(line, '{L.MD_HEADING_PATTERN}') AS is_md, regexp_matches(line, '^\\|') AS is_pipe, regexp_matches(line, '{L.TABLE_SEPARATOR_PATTERN}') AS is_sep,
+    regexp_matches(line, '{L.LIST_ITEM_PATTERN}') AS is_item, regexp_extract(line, '{L.NUMBER_HEADING_PATTERN}', 1) AS num, regexp_extract(line, '{L.NUMBER_HEADING_PATTERN}', 2) AS rest
+    FROM d2 WHERE line <> ''),
+l1 AS (SELECT *, CASE WHEN is_md THEN length(regexp_extract(line, '{L.MD_HEADING_PATTERN}', 1)) WHEN length(line) > 30 THEN NULL
+    WHEN num <> '' THEN CASE WHEN NOT (regexp_matches(rest, '\\d') OR regexp_matches(rest, '{L.UNIT_PATTERN}') OR contains(rest, '□') OR regexp_matches(rest, '{L.SENTENCE_END_PATTERN}')
+        OR (NOT contains(num, '.') AND length(line) > 20)) THEN len(string_split(num, '.')) END
+    WHEN (regexp_matches(line, '{L.APPENDIX_HEADING_PATTERN}') OR regexp_matches(line, '{L.CHINESE_HEADING_PATTERN}')) AND NOT regexp_matches(line, '{L.SENTENCE_END_PATTERN}') THEN 1 END AS lvl FROM l0),
+l2 AS (SELECT *, sum(CASE WHEN lvl = lag(lvl) OVER w THEN 0 ELSE 1 END) OVER w AS toc, sum(CASE WHEN is_pipe AND lag(is_pipe) OVER w AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END) OVER w AS pr,
+    bool_or(is_md) OVER (PARTITION BY doc_id) AS page_md FROM (SELECT * FROM l1) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l3 AS (SELECT *, lvl IS NOT NULL AND (page_md OR count(*) OVER (PARTITION BY doc_id, toc) < 3) AS heading, bool_or(is_sep) OVER (PARTITION BY doc_id, pr) AS has_sep FROM l2),
+l4 AS (SELECT *, CASE WHEN heading THEN 'text' WHEN is_pipe AND has_sep THEN 'table' WHEN is_item THEN 'list' ELSE 'text' END AS type FROM l3),
+l5 AS (SELECT *, sum(CASE WHEN heading OR type IS DISTINCT FROM pt THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block,
+    sum(CAST(heading AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS heading_no FROM (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY i) AS pt FROM l4))""".replace(
+    "sum(CASE WHEN lvl = lag(lvl) OVER w THEN 0 ELSE 1 END) OVER w AS toc, sum(CASE WHEN is_pipe AND lag(is_pipe) OVER w AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END) OVER w AS pr",
+    "sum(CASE WHEN lvl = pl THEN 0 ELSE 1 END) OVER w AS toc, sum(CASE WHEN is_pipe AND pp AND pi = i - 1 THEN 0 ELSE 1 END) OVER w AS pr").replace(
+    "FROM (SELECT * FROM l1)", "FROM (SELECT *, lag(lvl) OVER (PARTITION BY doc_id ORDER BY i) AS pl, lag(is_pipe) OVER (PARTITION BY doc_id ORDER BY i) AS pp, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS pi FROM l1)")
+PATHS = LINES + f""",
+hd AS (SELECT source, doc_id, i, heading_no, lvl, trim(regexp_replace(trim(regexp_replace(line, '{L.MD_HEADING_PATTERN}', '\\2'), {WS}), '^[*_`]+|[*_`]+$', '', 'g'), {WS}) AS title,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS j FROM l5 WHERE heading),
+st(source, j, stack) AS (SELECT DISTINCT source, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM documents
+    UNION ALL SELECT hd.source, hd.j, list_append(stack[1:least(len(stack), lvl - 1)], title) FROM st JOIN hd ON hd.source = st.source AND hd.j = st.j + 1)"""
+ORACLES["table_runs"] = f"""WITH {LINES} SELECT source, doc_id AS part, type, count(*) AS lines, count(DISTINCT block) AS blocks, CAST(sum(CAST(heading AS INT)) AS BIGINT) AS headings
+  FROM l5 GROUP BY 1, 2, 3"""
+ORACLES["heading_paths"] = f"""WITH RECURSIVE {PATHS} SELECT hd.source, doc_id AS part, CAST(heading_no AS BIGINT) AS heading_no, CAST(lvl AS BIGINT) AS level, title,
+  CAST(len(stack) AS BIGINT) AS depth, array_to_string(stack, ' > ') AS path FROM hd JOIN st ON hd.source = st.source AND hd.j = st.j"""
+RECORDS = PATHS + """,
+b0 AS (SELECT source, doc_id, block, any_value(type) AS content_type, min(i) AS i0, string_agg(line, chr(10) ORDER BY i) AS raw_text FROM l5 GROUP BY 1, 2, 3),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, block) AS ordinal FROM b0),
+b2 AS (SELECT b1.*, coalesce((SELECT max(j) FROM hd WHERE hd.source = b1.source AND (hd.doc_id < b1.doc_id OR (hd.doc_id = b1.doc_id AND hd.i <= b1.i0))), 0) AS j FROM b1),
+b3 AS (SELECT b2.*, stack, md5(b2.source || chr(31) || '{"page": ' || doc_id || '}' || chr(31) || ordinal) AS rec_id FROM b2 JOIN st ON st.source = b2.source AND st.j = b2.j WHERE length(raw_text) >= 8),
+rec AS (SELECT * FROM b3 WHERE len(stack) > 0 OR source NOT IN (SELECT source FROM b3 WHERE len(stack) > 0))"""
+ORACLES["doc_blocks"] = f"""WITH RECURSIVE {RECORDS} SELECT rec_id AS doc_id, source, doc_id AS part, ordinal, content_type, length(raw_text) AS char_count,
+  array_to_string(stack, ' > ') AS section_path, md5(raw_text) AS text_md5 FROM rec"""
+ORACLES["short_record_chunks"] = f"""WITH RECURSIVE {RECORDS} SELECT md5(rec_id || '::0::' || substring(raw_text, 1, 64)) AS chunk_id, rec_id AS doc_id,
+  CAST(0 AS BIGINT) AS chunk_index, length(raw_text) AS char_count FROM rec WHERE length(raw_text) <= 500"""
+oracle("csv_segments", T + """,
+v0 AS (SELECT device_id || '.csv' AS source, rn + 1 AS row_no, operating_state AS s, strftime(timestamp, '%H:%M:%S') || ' | ' || printf('%.2f', temp_de) || ' | ' || operating_state AS line FROM t),
+v1 AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (PARTITION BY source ORDER BY row_no) THEN 1 ELSE 0 END AS c FROM v0),
+v2 AS (SELECT *, sum(c) OVER (PARTITION BY source ORDER BY row_no) AS seg FROM v1),
+v3 AS (SELECT *, (row_number() OVER (PARTITION BY source, seg ORDER BY row_no) - 1) // 50 AS piece FROM v2)""",
+       """SELECT source, min(row_no) AS part, any_value(s) AS segment_value, count(*) AS row_count,
+  md5('timestamp | temp_de | operating_state' || chr(10) || string_agg(line, chr(10) ORDER BY row_no)) AS text_md5 FROM v3 GROUP BY source, seg, piece""")
+oracle("sheet_text", "", """SELECT source, md5(z) AS text_md5, length(z) AS chars FROM (SELECT l_orderkey AS source,
+  string_agg(l_partkey || ' | ' || l_returnflag || CASE WHEN l_linestatus = 'F' THEN '' ELSE ' | ' || l_linestatus END, chr(10)
+    ORDER BY l_linenumber || '/' || l_partkey, l_partkey || ' | ' || l_returnflag || CASE WHEN l_linestatus = 'F' THEN '' ELSE ' | ' || l_linestatus END) AS z FROM lineitem GROUP BY 1)""")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import limits as L
 from ..functions.scalars import alarm_from_readings, iso, stable_round
-from ..operators import (alarms as A, attribution, cases as C, delivery as D, manual as K,
+from ..functions import text as TX
+from ..operators import (alarms as A, attribution, cases as C, chunking, delivery as D,
+                         documents as P, manual as K,
                          measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S, vision as V)
 from ..session import configure
-from ..sources import telemetry as TS
+from ..sources import documents as DS, telemetry as TS
 from ..sources.config import risk_matrix
-from . import diagnosis as X, search, standin as N
+from . import diagnosis as X, knowledge, search, standin as N
 
 QUERIES = {}
 
@@ -472,3 +474,106 @@ def query_cleanup(spark, sf_dir):
     cleaned = Q.clean_queries(turns, original, L.DEFAULT_SUB_QUESTIONS)
     return longs(Q.with_fallback(original, cleaned).select(
         "case_id", "n", F.md5("query_text").alias("query_md5"), "degraded"))
+
+
+# ---- documents ---------------------------------------------------------------------------------
+
+def pages_of(spark, sf_dir):
+    return N.manual_pages(N.table(spark, sf_dir, "documents"))
+
+
+@query
+def text_normalise(spark, sf_dir):
+    documents = N.table(spark, sf_dir, "documents")
+    spaced = F.concat(F.lit("\ufeff"), F.replace("text", F.lit(", "), F.lit(" \\_ \t ")), F.lit(" \n\n\n\n x "))
+    clean = documents.select("doc_id", TX.normalise(spaced).alias("text"))
+    return longs(clean.select("doc_id", F.length("text").alias("chars"),
+                              F.md5("text").alias("text_md5")))
+
+
+@query
+def repeated_lines(spark, sf_dir):
+    pages = N.table(spark, sf_dir, "documents").select(
+        F.lit("pdf").alias("file_type"), TX.fold_space(F.col("text")).alias("text"))
+    total = pages.agg(F.count(F.lit(1))).scalar()
+    counts = P.edge_line_counts(pages).withColumn("n_pages", total)
+    return longs(counts.select(
+        F.md5("line").alias("line_md5"), "pages", "n_pages",
+        ((F.col("pages") >= L.HEADER_MIN_RATIO * F.col("n_pages"))
+         & (F.length("line") <= L.HEADER_MAX_LEN)).alias("is_header")))
+
+
+@query
+def text_quality(spark, sf_dir):
+    documents = N.table(spark, sf_dir, "documents")
+    rows = documents.withColumns(TX.quality_features("text"))
+    return longs(rows.withColumn("credible", TX.credible()).select(
+        "doc_id", "chars", "digits", "units", "tags", "keys", "credible"))
+
+
+@query
+def heading_paths(spark, sf_dir):
+    lines = P.classify_lines(pages_of(spark, sf_dir))
+    return longs(P.heading_paths(lines).select(
+        "source", "part", "heading_no", "level", "title", "depth",
+        F.array_join("path", " > ").alias("path")))
+
+
+@query
+def table_runs(spark, sf_dir):
+    lines = P.classify_lines(pages_of(spark, sf_dir))
+    return longs(lines.groupBy("source", "part", "type").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("block").alias("blocks"),
+        F.sum(F.col("heading").cast("int")).alias("headings")))
+
+
+@query
+def doc_blocks(spark, sf_dir):
+    return longs(P.records(pages_of(spark, sf_dir)).select(
+        "doc_id", "source", "part", "ordinal", "content_type", "char_count",
+        F.array_join("section_path", " > ").alias("section_path"),
+        F.md5("raw_text").alias("text_md5")))
+
+
+@query
+def chunks(spark, sf_dir):
+    _, _, pieces = knowledge.build(pages_of(spark, sf_dir))
+    return longs(chunking.flat_metadata(pieces))
+
+
+@query
+def chunk_upsert(spark, sf_dir):
+    """A second build of the same pages leaves the number of chunks unchanged."""
+    _, records, pieces = knowledge.build(pages_of(spark, sf_dir))
+    table = chunking.upsert(pieces, chunking.chunks(records))
+    return longs(table.groupBy("source", "content_type").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("char_count").alias("chars")))
+
+
+@query
+def short_record_chunks(spark, sf_dir):
+    """Chunks of the records that fit whole, with their ids."""
+    records = P.records(pages_of(spark, sf_dir))
+    return longs(chunking.chunks(records.filter(f"char_count <= {L.CHUNK_SIZE}")).select(
+        "chunk_id", "doc_id", "chunk_index", "char_count"))
+
+
+@query
+def csv_segments(spark, sf_dir):
+    rows = N.csv_rows(N.load_telemetry(spark, sf_dir))
+    return longs(DS.csv_pages(rows).select("source", "part", "segment_value", "row_count",
+                                           F.md5("text").alias("text_md5")))
+
+
+@query
+def sheet_text(spark, sf_dir):
+    """Order lines as sheet rows: one sheet per order."""
+    items = N.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("source"), F.lit(0).alias("sheet_no"),
+        F.lit("lines").alias("sheet_name"),
+        F.format_string("%d/%d", "l_linenumber", "l_partkey").alias("row_no"),
+        F.array(F.concat(F.lit(" "), F.col("l_partkey").cast("string")), F.col("l_returnflag"),
+                F.when(F.col("l_linestatus") == "F", F.lit("")).otherwise(F.col("l_linestatus")))
+        .alias("cells"))
+    return longs(DS.sheet_pages(items).select("source", F.md5("text").alias("text_md5"),
+                                              F.length("text").alias("chars")))

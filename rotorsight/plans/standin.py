@@ -180,3 +180,47 @@ def half_cosine(hits: DataFrame):
     return F.aggregate(F.zip_with(F.slice("query_vec", 1, half), F.slice("embedding", 1, half),
                                   lambda a, b: a * b.cast("double")), F.lit(0.0),
                        lambda s, v: s + v)
+
+
+# ---- documents ---------------------------------------------------------------------------------
+
+def manual_pages(documents: DataFrame) -> DataFrame:
+    """Documents as pages of their source, some of their lines turned into structure.
+
+    The driver's texts have no headings, lists or tables. Every line keeps its words; a fixed
+    rule on document and line number decides which lines become headings, items or table rows.
+    """
+    lines = F.split("text", "\n")
+    words = lambda x: F.regexp_replace(F.substring(x, 1, 12), "[^A-Za-z ]", "")
+
+    def dressed(line, i):
+        h = (F.col("doc_id") * 7 + i * 13) % 17
+        marked = F.col("doc_id") % 3 != 0
+        level = lambda md, plain: F.when(marked, F.concat(F.lit(md), F.substring(line, 1, 20))) \
+            .otherwise(F.concat(F.lit(plain), words(line)))
+        return (F.when(h == 0, level("# ", "1 x")).when(h == 1, level("## ", "2 x"))
+                .when(h == 2, level("### ", "3 x"))
+                .when(h == 3, F.concat((i % 5).cast("string"), F.lit(".2 x"), words(line)))
+                .when(h == 4, F.concat(F.lit("- "), line))
+                .when(h == 5, F.concat(F.lit("| "), F.substring(line, 1, 30), F.lit(" |")))
+                .when(h == 6, "|---|---|").when(h == 7, "").when(h == 8, "附录A 标题")
+                .otherwise(line))
+
+    return documents.select(
+        "source", F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("markdown").alias("file_type"),
+        F.col("doc_id").alias("part"), F.col("doc_id").cast("int").alias("page"),
+        F.lit(None).cast("string").alias("sheet_name"),
+        F.array_join(F.transform(lines, dressed), "\n").alias("text"))
+
+
+def csv_rows(frames: DataFrame) -> DataFrame:
+    """Telemetry as rows of one CSV file per device, with a header row."""
+    names = ["timestamp", "temp_de", "operating_state"]
+    header = frames.select(F.concat("device_id", F.lit(".csv")).alias("source"),
+                           F.lit(0).cast("long").alias("row_no"),
+                           F.array(*[F.lit(n) for n in names]).alias("cells")).distinct()
+    body = frames.select(
+        F.concat("device_id", F.lit(".csv")).alias("source"), (F.col("rn") + 1).alias("row_no"),
+        F.array(F.date_format("timestamp", "HH:mm:ss"),
+                F.format_string("%.2f", "temp_de"), F.col("operating_state")).alias("cells"))
+    return header.unionByName(body)
