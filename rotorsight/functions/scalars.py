@@ -78,16 +78,16 @@ def alarm_from_readings(is_trip: Column | None = None) -> Column:
     hottest = F.greatest("temp_de", "temp_nde")
     shaking = F.greatest("vib_rms_de", "vib_rms_nde")
     current = F.col("motor_current")
-    codes = F.array_compact(F.array(
-        F.when(F.col("flow_rate") < L.FLOW_WARN_LOW, "FAL-104"),
+    # Listed in alphabetical order, so joining the non-null ones gives the sorted string.
+    joined = F.concat_ws(
+        ";", F.when(F.col("flow_rate") < L.FLOW_WARN_LOW, "FAL-104"),
         F.when(current >= L.CURRENT_HIGH, "IAH-106")
          .when(current < L.CURRENT_LOW_ALARM, "IAL-105"),
         F.when(F.col("press_in") < L.PRESS_IN_WARN, "PAL-103"),
         F.when(hottest >= L.TEMP_TRIP, "TAHH-101").when(hottest >= L.TEMP_WARN, "TAH-101"),
-        F.when(shaking > L.VIB_TRIP, "VAHH-102").when(shaking > L.VIB_WARN, "VAH-102"),
-    ))
-    joined = F.when(F.size(codes) == 0, "NONE").otherwise(F.array_join(F.array_sort(codes), ";"))
-    return joined if is_trip is None else F.when(is_trip, "NONE").otherwise(joined)
+        F.when(shaking > L.VIB_TRIP, "VAHH-102").when(shaking > L.VIB_WARN, "VAH-102"))
+    codes = F.when(joined == "", "NONE").otherwise(joined)
+    return codes if is_trip is None else F.when(is_trip, "NONE").otherwise(codes)
 
 
 def parse_time(text) -> Column:

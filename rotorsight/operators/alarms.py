@@ -12,14 +12,19 @@ from .runs import Series, prefix_last, time_slice
 SPECIAL_STATES = ["TRIP_SHUTDOWN", "CRITICAL_CAVITATION", "UNBALANCE_MISALIGNMENT"]
 
 
+def code_rows(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per frame and alarm code."""
+    parts = frames.select(*keys, F.explode(F.split("alarm_code", ";")).alias("code"))
+    return parts.withColumn("code", F.trim("code")).filter(~F.col("code").isin(L.NO_ALARM))
+
+
 def alarm_sets(frames: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFrame:
     """Distinct codes of the window and the codes of its last alarmed frame, per key.
 
     Both are partial aggregates: a code list per key is only as long as the code vocabulary.
     """
     valid = frames.filter(is_alarm("alarm_code"))
-    codes = (valid.select(*keys, F.explode(alarm_codes("alarm_code")).alias("code")).distinct()
-             .groupBy(*keys).agg(F.array_sort(F.collect_list("code")).alias("effective")))
+    codes = (code_rows(valid, keys).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("code")).alias("effective")))
     last = valid.groupBy(*keys).agg(alarm_codes(F.max_by("alarm_code", ts)).alias("last"))
     empty = F.array().cast("array<string>")
     joined = codes.join(last, keys, "full").select(
@@ -36,8 +41,7 @@ def state_distribution(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def alarm_counts(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Frames per alarm code."""
-    return (frames.select(*keys, F.explode(alarm_codes("alarm_code")).alias("code"))
-            .groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("frames")))
+    return (code_rows(frames, keys).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("frames")))
 
 
 def day_labels(frames: DataFrame, keys: list[str]) -> DataFrame:

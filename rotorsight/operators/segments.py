@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import limits as L
-from ..functions.scalars import alarm_codes, is_alarm, stable_round
+from ..functions.scalars import is_alarm, stable_round
 from ..session import materialise
 from .runs import Series, number_runs, segment_number, stitch
 
@@ -70,8 +70,7 @@ def telemetry_runs(frames: DataFrame, series: Series = Series(), alarms: bool =
     if alarms:
         valid = is_alarm("alarm_code")
         aggs += [
-            F.array_distinct(F.flatten(F.collect_set(F.when(valid, alarm_codes("alarm_code")))))
-             .alias("alarm_set"),
+            F.collect_set(F.when(valid, F.col("alarm_code"))).alias("alarm_set"),
             F.max(F.when(valid, F.struct(F.col(series.ts).alias("t"), "alarm_code")))
              .alias("last_alarm"),
         ]

@@ -25,8 +25,10 @@ def analyse_telemetry(cases: DataFrame, frames: DataFrame) -> DataFrame:
     overall = segments.overall_metrics(runs, seg, series).select("trace_id", *OVERALL)
     codes = rules.window_codes(seg, ["trace_id"]).withColumnRenamed("rule_codes", "flags")
     alarms = runs.groupBy("trace_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("alarm_set")))).alias("effective"),
-        alarm_codes(F.max("last_alarm")["alarm_code"]).alias("last"))
+        F.array_distinct(F.flatten(F.collect_set("alarm_set"))).alias("strings"),
+        alarm_codes(F.max("last_alarm")["alarm_code"]).alias("last")).select(
+        "trace_id", "last", F.array_sort(F.array_distinct(
+            F.flatten(F.transform("strings", lambda s: alarm_codes(s))))).alias("effective"))
     return overall.join(codes, "trace_id", "left").join(alarms, "trace_id", "left")
 
 

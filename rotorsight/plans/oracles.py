@@ -563,3 +563,9 @@ v3 AS (SELECT *, (row_number() OVER (PARTITION BY source, seg ORDER BY row_no) -
 oracle("sheet_text", "", """SELECT source, md5(z) AS text_md5, length(z) AS chars FROM (SELECT l_orderkey AS source,
   string_agg(l_partkey || ' | ' || l_returnflag || CASE WHEN l_linestatus = 'F' THEN '' ELSE ' | ' || l_linestatus END, chr(10)
     ORDER BY l_linenumber || '/' || l_partkey, l_partkey || ' | ' || l_returnflag || CASE WHEN l_linestatus = 'F' THEN '' ELSE ' | ' || l_linestatus END) AS z FROM lineitem GROUP BY 1)""")
+
+oracle("user_value_cv", """u0 AS (SELECT user_id, value, CASE WHEN count(*) OVER f >= 12 THEN stddev_samp(value) OVER f / avg(value) OVER f * 100 ELSE 0 END AS c1,
+    CASE WHEN count(*) OVER f >= 12 THEN stddev_samp(value + 100) OVER f / avg(value + 100) OVER f * 100 ELSE 0 END AS c2
+  FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))""", f"""
+SELECT user_id, CAST(0 AS BIGINT) AS seg_index, count(*) AS data_points, {rnd('avg(value)', 2)} AS avg_flow, {rnd('coalesce(stddev_samp(value) / avg(value) * 100, 0)', 2)} AS cv_flow,
+  {rnd('max(c1)', 2)} AS cv_flow_peak, {rnd('max(c2)', 2)} AS cv_press_peak FROM u0 GROUP BY 1""")

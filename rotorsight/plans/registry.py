@@ -577,3 +577,21 @@ def sheet_text(spark, sf_dir):
         .alias("cells"))
     return longs(DS.sheet_pages(items).select("source", F.md5("text").alias("text_md5"),
                                               F.length("text").alias("chars")))
+
+
+@query
+def user_value_cv(spark, sf_dir):
+    """Rolling variation of the event values of each user, over the user's whole history.
+
+    Users have a few events per day, so almost every window reaches across several slices.
+    """
+    events = N.table(spark, sf_dir, "events").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("ON").alias("state"),
+        F.col("value").alias("flow_rate"), (F.col("value") + 100).alias("press_out"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e12 + F.col("value") / 500).alias("temp_de"),
+        *[F.lit(1.0).alias(c) for c in ("press_in", "temp_nde", "vib_rms_de", "vib_rms_nde",
+                                        "motor_current")])
+    series = U.Series(keys=("user_id",), ts="ts", state="state", slice_seconds=86400, block=8)
+    seg = S.segment_metrics(S.telemetry_runs(events, series), series)
+    return longs(seg.select("user_id", "seg_index", "data_points", "avg_flow", "cv_flow",
+                            "cv_flow_peak", "cv_press_peak"))

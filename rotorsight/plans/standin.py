@@ -34,30 +34,49 @@ def telemetry(events: DataFrame) -> DataFrame:
         "ph": (F.floor(F.col("rn") / 48).cast("long") + F.col("dev")) % 8,
         "timestamp": F.timestamp_seconds(F.lit(BASE_SECONDS) + F.col("rn") * 5),
         "device_id": F.concat(F.lit("PUMP-IS100-"), F.format_string("%05d", "dev"))})
-    by_phase = lambda cases, other: F.expr(
-        "cast(CASE ph " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items())
-        + f" ELSE {other} END AS double)")
-    frames = phased.withColumns({
-        "flow_rate": by_phase({4: "75 + 3.0*j", 3: "0.05", 7: "42 + 0.1*j"}, "100 + 0.2*j"),
-        "press_out": by_phase({4: "0.25", 3: "0.001", 7: "0.131"}, "0.312"),
-        "press_in": by_phase({4: "-0.045 + 0.003*j", 3: "0"}, "0.02"),
-        "temp_de": by_phase({1: "60 + 0.03*p", 2: "68 + 0.3*p", 3: "60 - 0.3*p",
-                             5: "72 + 0.01*j"}, "45 + 0.1*j"),
-        "temp_nde": by_phase({2: "55", 5: "60"}, "43"),
-        "vib_rms_de": by_phase({1: "2.5", 2: "3.6 + 0.03*p", 3: "0.1", 4: "5.4", 5: "3.8",
-                                6: "2.5"}, "1.45 + 0.01*j"),
-        "vib_rms_nde": by_phase({2: "2.9", 3: "0.05", 4: "5.1", 5: "3.9", 6: "5.5"},
-                                "1.35"),
-        "motor_current": by_phase({3: "0.05", 4: "19", 5: "30", 6: "15.5"}, "22.5"),
-        "operating_state": F.expr(
-            "CASE ph WHEN 1 THEN 'DEGRADING' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'TRIP_SHUTDOWN' "
-            "WHEN 4 THEN 'CRITICAL_CAVITATION' WHEN 5 THEN 'WARNING' "
-            "WHEN 6 THEN 'UNBALANCE_MISALIGNMENT' ELSE 'NORMAL' END")})
+    joined = phased.join(F.broadcast(phases(events.sparkSession)), "ph")
+    # Three decimals by integer arithmetic: round() on doubles goes through BigDecimal.
+    reading = lambda c: F.floor((F.col(f"{c}_0") + F.col(f"{c}_j") * F.col("j")
+                                 + F.col(f"{c}_p") * F.col("p")) * 1000 + 0.5) / 1000
+    frames = joined.withColumns({c: reading(c) for c in L.READINGS})
     return frames.withColumn(
         "alarm_code", alarm_from_readings(F.col("operating_state") == L.SHUTDOWN)).select(
         *L.TELEMETRY_COLUMNS, "event_type", "value", "rn", "dev")
 
 
+# Per phase and reading: value, change per step of j, change per frame p. Fixed, eight rows.
+STEADY = {"flow_rate": (100, 0.2, 0), "press_out": (0.312, 0, 0), "press_in": (0.02, 0, 0),
+          "temp_de": (45, 0.1, 0), "temp_nde": (43, 0, 0), "vib_rms_de": (1.45, 0.01, 0),
+          "vib_rms_nde": (1.35, 0, 0), "motor_current": (22.5, 0, 0)}
+PHASES = [
+    ("NORMAL", {}),
+    ("DEGRADING", {"temp_de": (60, 0, 0.03), "vib_rms_de": (2.5, 0, 0)}),
+    ("WARNING", {"temp_de": (68, 0, 0.3), "temp_nde": (55, 0, 0), "vib_rms_de": (3.6, 0, 0.03),
+                 "vib_rms_nde": (2.9, 0, 0)}),
+    ("TRIP_SHUTDOWN", {"flow_rate": (0.05, 0, 0), "press_out": (0.001, 0, 0),
+                       "press_in": (0, 0, 0), "temp_de": (60, 0, -0.3), "vib_rms_de": (0.1, 0, 0),
+                       "vib_rms_nde": (0.05, 0, 0), "motor_current": (0.05, 0, 0)}),
+    ("CRITICAL_CAVITATION", {"flow_rate": (75, 3, 0), "press_out": (0.25, 0, 0),
+                             "press_in": (-0.045, 0.003, 0), "vib_rms_de": (5.4, 0, 0),
+                             "vib_rms_nde": (5.1, 0, 0), "motor_current": (19, 0, 0)}),
+    ("WARNING", {"temp_de": (72, 0.01, 0), "temp_nde": (60, 0, 0), "vib_rms_de": (3.8, 0, 0),
+                 "vib_rms_nde": (3.9, 0, 0), "motor_current": (30, 0, 0)}),
+    ("UNBALANCE_MISALIGNMENT", {"vib_rms_de": (2.5, 0, 0), "vib_rms_nde": (5.5, 0, 0),
+                                "motor_current": (15.5, 0, 0)}),
+    ("NORMAL", {"flow_rate": (42, 0.1, 0), "press_out": (0.131, 0, 0)}),
+]
+
+
+def phases(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(
+        f"({ph}L, '{state}', " + ", ".join(f"{float(x)}D" for c in L.READINGS
+                                           for x in {**STEADY, **own}[c]) + ")"
+        for ph, (state, own) in enumerate(PHASES))
+    names = ", ".join(["ph", "operating_state"]
+                      + [f"{c}_{part}" for c in L.READINGS for part in ("0", "j", "p")])
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v({names})")
+
+
 def load_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(table(spark, sf_dir, "events"))
 
