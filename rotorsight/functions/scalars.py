@@ -86,7 +86,7 @@ def alarm_from_readings(is_trip: Column | None = None) -> Column:
         F.when(F.col("press_in") < L.PRESS_IN_WARN, "PAL-103"),
         F.when(hottest >= L.TEMP_TRIP, "TAHH-101").when(hottest >= L.TEMP_WARN, "TAH-101"),
         F.when(shaking > L.VIB_TRIP, "VAHH-102").when(shaking > L.VIB_WARN, "VAH-102"))
-    codes = F.when(joined == "", "NONE").otherwise(joined)
+    codes = F.coalesce(F.nullif(joined, F.lit("")), F.lit("NONE"))
     return codes if is_trip is None else F.when(is_trip, "NONE").otherwise(codes)
 
 

@@ -30,8 +30,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Each Markdown file is one page; blank files are dropped."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.{md,markdown,MD,Markdown}").text(path))
+    files = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.{md,markdown,MD,Markdown}").text(path, wholetext=True))
     return files.filter(strip("value") != "").select(
         F.input_file_name().alias("source"), F.lit("markdown").alias("file_type"),
         F.lit(0).cast("long").alias("part"), F.lit(None).cast("int").alias("page"),
@@ -127,9 +127,9 @@ def csv_pages(rows: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFram
 def load_report(files: DataFrame, pages: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row: files scanned and skipped, pages loaded, files failed."""
     known = L.PDF_SUFFIXES + L.EXCEL_SUFFIXES + L.MARKDOWN_SUFFIXES
-    counts = files.agg(
-        F.count(F.lit(1)).alias("files_scanned"),
-        F.sum((~F.col("suffix").isin(known)).cast("long")).alias("files_skipped"))
+    supported = F.col("suffix").isin(known)
+    counts = files.agg(F.count_if(supported).alias("files_scanned"),
+                       F.count_if(~supported).alias("files_skipped"))
     loaded = pages.agg(F.count(F.lit(1)).alias("docs_loaded"))
     errors = F.lit(0).cast("long") if failed is None else failed.agg(F.count(F.lit(1))).scalar()
     return counts.withColumns({"docs_loaded": loaded.scalar(), "files_failed": errors})
