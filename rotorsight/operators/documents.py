@@ -82,7 +82,8 @@ def classify_lines(pages: DataFrame) -> DataFrame:
         "level": heading_level("line"), "is_md": matches("line", L.MD_HEADING_PATTERN),
         "is_pipe": matches("line", L.TABLE_ROW_PATTERN),
         "is_sep": matches("line", L.TABLE_SEPARATOR_PATTERN),
-        "is_item": matches("line", L.LIST_ITEM_PATTERN)})
+        "is_item": matches("line", L.LIST_ITEM_PATTERN), "chars": F.length("line")})
+    lines = lines.withColumn("title", F.when(F.col("level").isNotNull(), clean_title("line")))
     here, by_line = W.partitionBy(*PART), W.partitionBy(*PART).orderBy("line_no")
     lag = lambda c: F.lag(c).over(by_line)
     same_level = F.coalesce(F.col("level") == lag("level"), F.lit(False))
@@ -103,20 +104,36 @@ def classify_lines(pages: DataFrame) -> DataFrame:
     return judged.withColumn("starts", starts.cast("int")).withColumns({
         "block": F.sum("starts").over(by_line),
         "heading_no": F.sum(F.col("heading").cast("int")).over(by_line)}).select(
-        *PART, "file_type", "page", "sheet_name", "line_no", "line", "level", "heading", "type",
-        "block", "heading_no")
+        *PART, "file_type", "page", "sheet_name", "line_no", "line", "title", "chars", "level",
+        "heading", "type", "block", "heading_no")
 
 
-def heading_paths(lines: DataFrame) -> DataFrame:
+def outline(lines: DataFrame) -> DataFrame:
+    """One small row per part: number of blocks, its headings, and its longest blocks.
+
+    Reads lines without their text, so only a few flags per line are shuffled. A block starts
+    with at most one heading.
+    """
+    blocks = lines.groupBy(*PART, "block").agg(
+        (F.sum("chars") + F.count(F.lit(1)) - 1).alias("size"),
+        F.max("heading_no").alias("heading_no"),
+        F.max(F.when(F.col("heading"), F.struct("heading_no", "level", "title"))).alias("head"))
+    return materialise(blocks.groupBy(*PART).agg(
+        F.max("block").alias("blocks"), F.array_sort(F.collect_list("head")).alias("heads"),
+        F.max("size").alias("longest"),
+        F.max(F.when(F.col("heading_no") > 0, F.col("size"))).alias("longest_titled")))
+
+
+def heading_paths(parts: DataFrame) -> DataFrame:
     """Section path at every heading: (source, part, heading_no, level, title, depth, path).
 
-    A heading pops the stack to below its level and is pushed, so its depth is
-    ``min(depth before + 1, level)``. Unrolled, the depth of the j-th heading of a source is
-    ``j + min(0, min over i <= j of (level_i - i))``, a running minimum; and the title at each
-    depth is the last one put there. Both are prefix computations over parts.
+    ``parts`` is the result of ``outline``. A heading pops the stack to below its level and is
+    pushed, so its depth is ``min(depth before + 1, level)``. Unrolled, the depth of the j-th
+    heading of a source is ``j + min(0, min over i <= j of (level_i - i))``, a running minimum;
+    and the title at each depth is the last one put there. Both are prefix computations over
+    parts.
     """
-    heads = materialise(lines.filter("heading").select(
-        *PART, "line_no", "heading_no", "level", clean_title("line").alias("title")))
+    heads = parts.select(*PART, F.explode("heads").alias("h")).select(*PART, "h.*")
     key, in_part = ["source"], W.partitionBy(*PART).orderBy("heading_no")
     so_far = in_part.rowsBetween(W.unboundedPreceding, 0)
     units = heads.groupBy(*PART).agg(F.count(F.lit(1)).alias("n"),
@@ -152,36 +169,39 @@ def locator_json() -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Semantic blocks with section path, type, ordinal and stable id."""
-    lines = materialise(classify_lines(pages))
-    paths = materialise(heading_paths(lines))
+    """Semantic blocks with section path, type, ordinal and stable id.
+
+    The text is read twice: once without shuffling it, for the outline, and once to assemble the
+    blocks, which are shuffled by part. Everything carried between parts is small. Blocks before
+    the first heading of a source that has headings (cover, contents) are dropped.
+    """
+    lines = classify_lines(pages)
+    parts = outline(lines)
+    paths = materialise(heading_paths(parts))
+    last_path = paths.groupBy(*PART).agg(F.max_by("path", "heading_no").alias("open_path"))
+    units = materialise(parts.drop("heads").join(last_path, PART, "left"))
+    before = materialise(prefix(units, ["source"], "part", {"blocks": "sum", "open_path": "last"}))
+    # A source is titled when a block that is long enough stands under some heading.
+    under = F.greatest("longest_titled", F.when(F.col("seen").isNotNull(), F.col("longest")))
+    titled = (units.join(before.select(*PART, F.col("open_path").alias("seen")), PART)
+              .groupBy("source").agg(F.coalesce(F.max(under >= L.MIN_RECORD_CHARS), F.lit(False))
+                                     .alias("titled")))
+    context = before.join(titled, "source")
     blocks = lines.groupBy(*PART, "block").agg(
         F.first("file_type").alias("file_type"), F.first("page").alias("page"),
         F.first("sheet_name").alias("sheet_name"), F.first("type").alias("content_type"),
         F.max("heading_no").alias("heading_no"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
                                  lambda x: x["line"]), "\n").alias("raw_text"))
-    parts = lines.groupBy(*PART).agg(F.max("block").alias("blocks"))
-    last_path = paths.groupBy(*PART).agg(F.max_by("path", "heading_no").alias("open_path"))
-    units = materialise(parts.join(last_path, PART, "left"))
-    before = prefix(units, ["source"], "part", {"blocks": "sum", "open_path": "last"})
     empty = F.array().cast("array<string>")
-    numbered = (blocks.join(before, PART)
+    numbered = (blocks.join(context, PART)
                 .join(paths.select(*PART, "heading_no", "path"), [*PART, "heading_no"], "left")
                 .withColumns({"ordinal": F.col("blocks") + F.col("block"),
-                              "section_path": F.coalesce("path", "open_path", empty)}))
-    identified = numbered.withColumns({
-        "char_count": F.length("raw_text"),
-        "doc_id": F.md5(F.concat_ws("\x1f", "source", locator_json(),
-                                    F.col("ordinal").cast("string")))})
-    kept = identified.filter(F.col("char_count") >= L.MIN_RECORD_CHARS).select(
-        "doc_id", *PART, "file_type", "section_path", "content_type", "page", "sheet_name",
-        "ordinal", "raw_text", "char_count")
-    return drop_front_matter(kept)
-
-
-def drop_front_matter(rows: DataFrame) -> DataFrame:
-    """Drop records before the first heading of a source that has headings at all."""
-    titled = rows.filter(F.size("section_path") > 0).select("source").distinct()
-    return rows.filter(F.size("section_path") > 0).unionByName(
-        rows.filter(F.size("section_path") == 0).join(titled, "source", "left_anti"))
+                              "section_path": F.coalesce("path", "open_path", empty),
+                              "char_count": F.length("raw_text")}))
+    kept = numbered.filter((F.col("char_count") >= L.MIN_RECORD_CHARS)
+                           & ((F.size("section_path") > 0) | ~F.col("titled")))
+    return kept.select(
+        F.md5(F.concat_ws("\x1f", "source", locator_json(), F.col("ordinal").cast("string")))
+        .alias("doc_id"), *PART, "file_type", "section_path", "content_type", "page",
+        "sheet_name", "ordinal", "raw_text", "char_count")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import chunking, documents
-from ..session import materialise
 
 
 def build(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean, structure and cut. Returns (clean pages, records, chunks)."""
     clean = documents.drop_header_lines(documents.normalise_pages(pages))
-    records = materialise(documents.records(clean))
+    records = documents.records(clean)
     return clean, records, chunking.chunks(records)

@@ -377,8 +377,8 @@ def telemetry_violations(spark, sf_dir):
 # ---- retrieval -------------------------------------------------------------------------------------
 
 def search_result(spark, sf_dir, parts=4):
-    return search.retrieve(N.chunks(spark, sf_dir), N.centroid_queries(spark, sf_dir, parts),
-                           N.half_cosine)
+    return search.retrieve(N.chunk_vectors(spark, sf_dir), N.centroid_queries(spark, sf_dir, parts),
+                           N.half_cosine, details=N.chunk_details(spark, sf_dir))
 
 
 @query
@@ -514,7 +514,7 @@ def text_quality(spark, sf_dir):
 @query
 def heading_paths(spark, sf_dir):
     lines = P.classify_lines(pages_of(spark, sf_dir))
-    return longs(P.heading_paths(lines).select(
+    return longs(P.heading_paths(P.outline(lines)).select(
         "source", "part", "heading_no", "level", "title", "depth",
         F.array_join("path", " > ").alias("path")))
 

@@ -22,12 +22,14 @@ class Result:
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, scorer=None, k: int | None = None,
-             recall_k: int | None = None, id_type: str = "long") -> Result:
+             recall_k: int | None = None, id_type: str = "long",
+             details: DataFrame | None = None) -> Result:
     """Recall, gate, rerank, merge. ``scorer(hits)`` returns the second score as a column.
 
     ``scorer`` reads the query columns and every chunk column; without one the order of the
-    cosine stands. Recalled candidates are a few rows per query: they are written out once, and
-    joined back to the chunk table (broadcast side) for source, text and vectors.
+    cosine stands. Recalled candidates are a few rows per query. When the queries were counted
+    small, the candidates are the broadcast side of the joins that fetch vectors and (from
+    ``details``, keyed by ``chunk_id``) source and text, so neither big table is shuffled.
     """
     k = R.clamp_k(k, L.DEFAULT_TOP_K_PER_QUERY)
     recall_k = R.clamp_recall(recall_k, k, scorer is not None)
@@ -35,9 +37,11 @@ def retrieve(chunks: DataFrame, queries: DataFrame, scorer=None, k: int | None =
     found = R.top_k(chunks, asked, recall_k, id_type)
     vectors = asked.select("case_id", "query_pos", "query_vec")
     bounded = asked.limit(R.MAX_BROADCAST_QUERIES + 1).count() <= R.MAX_BROADCAST_QUERIES
-    small = F.broadcast(found) if bounded else found
-    recalled = materialise(chunks.join(small, "chunk_id").join(
-        vectors, ["case_id", "query_pos"]))
+    small = F.broadcast if bounded else (lambda df: df)
+    hits = chunks.join(small(found), "chunk_id").join(vectors, ["case_id", "query_pos"])
+    if details is not None:
+        hits = details.join(small(hits), "chunk_id")
+    recalled = materialise(hits)
     reports = R.reports(recalled, asked)
     accepted = R.gate(recalled, reports)
     order = scorer(accepted) if scorer is not None else F.col("score")

@@ -169,16 +169,19 @@ def clauses(spark: SparkSession) -> DataFrame:
 DIMENSIONS = 64
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as chunks; the document of the same number supplies text and source."""
-    documents = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), "text", F.concat(F.lit("/manuals/"), "source",
-                                                            F.lit(".md")).alias("source"))
-    vectors = table(spark, sf_dir, "embeddings").select(
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as chunks."""
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding",
         F.concat(F.lit("chapter "), F.col("label").cast("string")).alias("section_path"),
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("sheet_name"))
-    return vectors.join(documents, "chunk_id")
+
+
+def chunk_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of the same number supplies text and source."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), "text",
+        F.concat(F.lit("/manuals/"), "source", F.lit(".md")).alias("source"))
 
 
 def centroid_queries(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:

@@ -16,6 +16,8 @@ REQUIRED_CONF = {
     # Telemetry compresses well but is costly to compute on: do not coalesce it into one task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes of byte code; let Spark split instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
