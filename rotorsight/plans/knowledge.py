@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import chunking, documents
+from ..session import materialise
 
 
 def build(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Clean, structure and cut. Returns (clean pages, records, chunks)."""
-    clean = documents.drop_header_lines(documents.normalise_pages(pages))
+    """Clean, structure and cut. Returns (clean pages, records, chunks).
+
+    Normalised pages are written once: three later steps read them (repeated lines, outline,
+    blocks), and running the regular expressions again costs more than reading the text back.
+    """
+    normal = materialise(documents.normalise_pages(pages))
+    clean = documents.drop_header_lines(normal)
     records = documents.records(clean)
     return clean, records, chunking.chunks(records)
