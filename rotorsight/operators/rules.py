@@ -59,8 +59,7 @@ def judge(segments: DataFrame) -> DataFrame:
 
 def hit_rows(segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per segment and code with the catalogue's label and the rendered sentence."""
-    hits = segments.withColumn("rule_ord", F.lit(None).cast("int")).select(
-        "*", F.posexplode("rule_hits").alias("pos", "code")).drop("rule_ord", "rule_hits")
+    hits = segments.select("*", F.posexplode("rule_hits").alias("pos", "code")).drop("rule_hits")
     labelled = hits.join(F.broadcast(catalog), "code", "left") \
         .withColumn("label", F.coalesce("label", "code"))
     when = F.when((F.col("extra_field") == "ramp_start_time")

@@ -32,13 +32,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files.
 
-    Used only at narrow waists (per-run or per-slice summaries) that feed more than one branch,
-    so that the wide input is scanned and shuffled once. The files survive executor loss. The
+    Used at narrow waists that feed more than one branch (runs, slice and page summaries, one row
+    per case), so that the wide input is scanned and shuffled once, and for normalised page texts,
+    which cost more to compute than to read back. The files survive executor loss. The
     folder is the cluster's ``spark.checkpoint.dir``; a temporary one is set only when neither
-    that setting nor an earlier ``setCheckpointDir`` is present (local tests).
+    that setting nor an earlier ``setCheckpointDir`` is present and the master is local (tests).
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rotorsight-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="rotorsight-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
