@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, decontaminate, exact_dedup, language, line_dedup, quality, simhash,
+from . import (bpe, decontaminate, exact_dedup, language, line_dedup, lm, quality, simhash,
                suffix_dedup, url_filter)
 from .common import cut, prepare
 
@@ -107,6 +107,11 @@ def op6_simhash(spark, sf_dir):
         "doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_lm_scores(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
