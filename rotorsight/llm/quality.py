@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut
 
 FEATURES = 128
-RIDGE = 1e-4          # per row
+RIDGE = 2.0           # matters where labels are few
 BANDWIDTH = 4.0       # standard deviations
 BINS = 512
 SEED = 7
@@ -146,7 +146,7 @@ def fit(rows: DataFrame) -> Model:
             right[i] = v
         else:
             left[i, j] = left[j, i] = v
-    model.beta = np.linalg.solve(left + RIDGE * n * np.eye(FEATURES + 1), right)
+    model.beta = np.linalg.solve(left + RIDGE * np.eye(FEATURES + 1), right)
     raw = F.pandas_udf(lambda s: pd.Series(model.raw(np.stack(s))), "double")
     scored = rows.select(raw("stats").alias("raw"), "label")
     model.low, model.high = scored.agg(F.min("raw"), F.max("raw")).first()
