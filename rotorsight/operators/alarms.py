@@ -21,13 +21,16 @@ def code_rows(frames: DataFrame, keys: list[str]) -> DataFrame:
 def alarm_sets(frames: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFrame:
     """Distinct codes of the window and the codes of its last alarmed frame, per key.
 
-    Both are partial aggregates: a code list per key is only as long as the code vocabulary.
+    Both are partial aggregates: a code list per key is only as long as the code vocabulary. A
+    key without an alarm has empty lists.
     """
-    valid = frames.filter(is_alarm("alarm_code"))
-    codes = (code_rows(valid, keys).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("code")).alias("effective")))
-    last = valid.groupBy(*keys).agg(alarm_codes(F.max_by("alarm_code", ts)).alias("last"))
+    valid = is_alarm("alarm_code")
+    codes = code_rows(frames.filter(valid), keys).distinct().groupBy(*keys).agg(
+        F.array_sort(F.collect_list("code")).alias("effective"))
+    last = frames.groupBy(*keys).agg(alarm_codes(F.max_by(
+        F.when(valid, F.col("alarm_code")), F.when(valid, F.col(ts)))).alias("last"))
     empty = F.array().cast("array<string>")
-    joined = codes.join(last, keys, "full").select(
+    joined = last.join(codes, keys, "left").select(
         *keys, F.coalesce("effective", empty).alias("effective"),
         F.coalesce("last", empty).alias("last"))
     return joined.withColumn("all", F.col("effective"))

@@ -13,21 +13,28 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import limits as L
 from ..functions.scalars import query_key, stable_round, strip, tail_name
 
-MAX_BROADCAST_QUERIES = 4096        # 4096 x 1024 doubles = 32 MB
-QUERIES_PER_BLOCK = 1024
-CHUNKS_PER_GROUP = 50_000
+QUERY_BLOCK_BYTES = 32 << 20        # query vectors that are sent to the tasks at once
 SCORE_DIGITS = 9                    # scores are compared at this precision, ties go to the id
 
 
-def clamp_k(k: int | None, default: int = L.DEFAULT_TOP_K) -> int:
-    return max(1, min(int(default if k is None else k), L.MAX_TOP_K))
+def checked_k(k: int | None, default: int = L.DEFAULT_TOP_K) -> int:
+    """The number of results asked for; outside 1 to 20 is an error, never a silent cut."""
+    k = int(default if k is None else k)
+    if not 1 <= k <= L.MAX_TOP_K:
+        raise ValueError(f"k is {k}; it must be between 1 and {L.MAX_TOP_K}")
+    return k
 
 
-def clamp_recall(recall_k: int | None, k: int, reranking: bool) -> int:
-    """Candidates per query: at least ``k``, at most 50; just ``k`` when nothing reranks."""
+def checked_recall(recall_k: int | None, k: int, reranking: bool) -> int:
+    """Candidates per query; by default 15, or just ``k`` when nothing reranks.
+
+    Fewer than ``k`` or more than 50 is an error, never a silent change.
+    """
     if recall_k is None:
-        recall_k = L.DEFAULT_RECALL_K if reranking else k
-    return max(k, min(int(recall_k), L.MAX_RECALL_K))
+        recall_k = max(k, L.DEFAULT_RECALL_K) if reranking else k
+    if not k <= int(recall_k) <= L.MAX_RECALL_K:
+        raise ValueError(f"recall_k is {recall_k}; it must be between {k} and {L.MAX_RECALL_K}")
+    return int(recall_k)
 
 
 def cosine(a, b) -> Column:
@@ -42,10 +49,10 @@ def cosine_from_distance(distance) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col(distance) / 2))
 
 
-def distinct_queries(queries: DataFrame, limit: int = L.MAX_QUERIES) -> DataFrame:
-    """Blank and repeated query texts removed (first position kept), at most ``limit`` per case.
+def distinct_queries(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Blank and repeated query texts removed (first position kept).
 
-    The cap is part of the interface: callers see in ``dropped_queries`` what was left out.
+    With ``limit``, at most so many per case; ``dropped_queries`` tells which were left out.
     """
     text = strip(F.coalesce("query_text", F.lit("")))
     first = (queries.withColumn("query_text", text).filter(F.col("query_text") != "")
@@ -53,12 +60,15 @@ def distinct_queries(queries: DataFrame, limit: int = L.MAX_QUERIES) -> DataFram
              .agg(F.min("query_pos").alias("query_pos"),
                   F.min_by("query_vec", "query_pos").alias("query_vec")))
     order = W.partitionBy("case_id").orderBy("query_pos")
+    if limit is None:
+        return first
     return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
 def dropped_queries(queries: DataFrame, kept: DataFrame) -> DataFrame:
     """Queries beyond the cap, so that the caller knows what was not searched."""
     named = queries.withColumn("query_text", strip("query_text")).filter("query_text <> ''")
+    named = named.groupBy("case_id", "query_text").agg(F.min("query_pos").alias("query_pos"))
     return named.join(kept.select("case_id", "query_text"), ["case_id", "query_text"], "left_anti")
 
 
@@ -79,71 +89,61 @@ def _block_top_k(query_nos, matrix, ids, vectors, k) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame(columns=["chunk_id", "score", "query_no"])
 
 
+def _query_blocks(queries: DataFrame, block_bytes: int):
+    """(case_id, query_pos) pairs and vectors, in blocks of bounded size."""
+    keys, vectors, size = [], [], 0
+    for case_id, pos, vector in queries.select("case_id", "query_pos", "query_vec").toLocalIterator():
+        keys.append((case_id, pos))
+        vectors.append(vector)
+        size += 8 * len(vector)
+        if size >= block_bytes:
+            yield keys, np.array(vectors, dtype=np.float64)
+            keys, vectors, size = [], [], 0
+    if keys:
+        yield keys, np.array(vectors, dtype=np.float64)
+
+
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, id_type: str = "long",
-          max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+          block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact best ``k`` chunks per query: (query columns, chunk_id, score, rank from 0).
 
-    Scores are a blocked matrix product inside the tasks, and every task keeps only its best ``k``
-    per query, so ``queries x k`` rows per task are shuffled instead of all pairs. When the
-    queries are counted to fit, they are broadcast and the chunks are not moved at all. Beyond
-    that, queries and chunks are dealt into a grid of bounded blocks (see ``_grid_top_k``).
+    The queries are taken in blocks of bounded size, each against all chunks, which are never
+    moved: scores are a matrix product inside the tasks, and a task keeps only its best ``k`` per
+    query, so ``queries x k`` rows per task are shuffled instead of all pairs.
     """
-    numbered = queries.withColumn("query_no", F.xxhash64(
-        F.col("case_id").cast("string"), F.col("query_pos").cast("string"), "query_text"))
-    n_queries = numbered.limit(max_broadcast + 1).count()
     vectors = chunks.select("chunk_id", "embedding")
-    schema = f"chunk_id {id_type}, score double, query_no long"
-    if n_queries <= max_broadcast:
-        rows = numbered.select("query_no", "query_vec").collect()
-        spark = chunks.sparkSession
-        shared = spark.sparkContext.broadcast((
-            [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    schema = f"case_id {kinds['case_id']}, query_pos {kinds['query_pos']}, chunk_id {id_type}, score double"
+
+    def scan_for(keys, matrix):
+        shared = chunks.sparkSession.sparkContext.broadcast((keys, matrix))
 
         def scan(batches):
-            nos, matrix = shared.value
+            keys, matrix = shared.value
             best = None
             for batch in batches:
-                if not len(batch) or not nos:
+                if not len(batch):
                     continue
-                found = _block_top_k(nos, matrix, batch["chunk_id"].to_numpy(),
+                found = _block_top_k(range(len(keys)), matrix, batch["chunk_id"].to_numpy(),
                                      np.stack(batch["embedding"].to_numpy()), k)
                 best = found if best is None else pd.concat([best, found]) \
                     .sort_values(["score", "chunk_id"], ascending=[False, True]) \
                     .groupby("query_no", sort=False).head(k)
             if best is not None:
-                yield best[["chunk_id", "score", "query_no"]]
-
-        partial = vectors.mapInPandas(scan, schema)
-    else:
-        partial = _grid_top_k(vectors, numbered, k, schema)
-    order = W.partitionBy("query_no").orderBy(F.desc("score"), "chunk_id")
+                best["case_id"] = [keys[n][0] for n in best["query_no"]]
+                best["query_pos"] = [keys[n][1] for n in best["query_no"]]
+                yield best[["case_id", "query_pos", "chunk_id", "score"]]
+        return vectors.mapInPandas(scan, schema)
+
+    partial = None
+    for keys, matrix in _query_blocks(queries, block_bytes):
+        found = scan_for(keys, matrix)
+        partial = found if partial is None else partial.union(found)
+    if partial is None:
+        partial = chunks.sparkSession.createDataFrame([], schema)
+    order = W.partitionBy("case_id", "query_pos").orderBy(F.desc("score"), "chunk_id")
     ranked = partial.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
-    return ranked.join(numbered.drop("query_vec"), "query_no").drop("query_no")
-
-
-def _grid_top_k(vectors: DataFrame, queries: DataFrame, k: int, schema: str,
-                queries_per_block: int = QUERIES_PER_BLOCK,
-                chunks_per_group: int = CHUNKS_PER_GROUP) -> DataFrame:
-    """Queries too many to broadcast: every (query block, chunk group) cell is one bounded task."""
-    blocks = max(1, -(-queries.count() // queries_per_block))
-    groups = max(1, -(-vectors.count() // chunks_per_group))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = (vectors.withColumn("g", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int"))
-            .withColumn("b", every(blocks)))
-    right = (queries.select("query_no", "query_vec")
-             .withColumn("b", F.pmod(F.xxhash64("query_no"), F.lit(blocks)).cast("int"))
-             .withColumn("g", every(groups)))
-
-    def cell(chunk_rows, query_rows):
-        if not len(chunk_rows) or not len(query_rows):
-            return pd.DataFrame(columns=["chunk_id", "score", "query_no"])
-        return _block_top_k(query_rows["query_no"].tolist(),
-                            np.stack(query_rows["query_vec"].to_numpy()),
-                            chunk_rows["chunk_id"].to_numpy(),
-                            np.stack(chunk_rows["embedding"].to_numpy()), k)[
-            ["chunk_id", "score", "query_no"]]
-
-    return left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(cell, schema)
+    return ranked.join(queries.drop("query_vec"), ["case_id", "query_pos"])
 
 
 def at_least_score(hits: DataFrame, least: float) -> DataFrame:
@@ -194,13 +194,18 @@ def gate(hits: DataFrame, report: DataFrame) -> DataFrame:
 def merge_hits(hits: DataFrame, score: str) -> DataFrame:
     """One row per case and chunk: the best score and the query that won (ties: the earliest).
 
-    ``round`` is honoured when present, so the union of two rounds merges by the same rule.
+    ``round`` is honoured when present, so the union of two rounds merges by the same rule. Hits
+    without a chunk id are told apart by where they stand and by their text.
     """
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (
+        "source", "section_path", "page", "sheet_name", "text") if c in hits.columns]
+    identity = F.coalesce(F.concat(F.lit("id:"), F.col("chunk_id").cast("string")),
+                          F.md5(F.concat_ws("\x1f", *place)))
     when = ["round"] if "round" in hits.columns else []
     first = F.struct(F.col(score), *[-F.col(c) for c in when], -F.col("query_pos"))
-    kept = [c for c in hits.columns if c not in ("case_id", "chunk_id")]
-    best = hits.groupBy("case_id", "chunk_id").agg(
-        F.max_by(F.struct(*kept), first).alias("h")).select("case_id", "chunk_id", "h.*")
+    kept = [c for c in hits.columns if c != "case_id"]
+    best = hits.groupBy("case_id", identity.alias("identity")).agg(
+        F.max_by(F.struct(*kept), first).alias("h")).select("case_id", "h.*")
     order = W.partitionBy("case_id").orderBy(F.desc(score), "chunk_id")
     return best.withColumnRenamed("query_text", "hit_by") \
         .withColumn("position", F.row_number().over(order))
@@ -226,15 +231,20 @@ def sufficiency_rules(cases: DataFrame, merged: DataFrame, report: DataFrame) ->
     return joined.withColumn("rules", rules)
 
 
-def retrieval_summary(merged: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per case: documents, distinct sources, mean head gap before and after reranking."""
+def retrieval_summary(cases: DataFrame, merged: DataFrame, before: DataFrame,
+                      after: DataFrame) -> DataFrame:
+    """Per case: documents, distinct sources, mean head gap before and after reranking.
+
+    A case without hits has no documents and no gaps.
+    """
     docs = merged.groupBy("case_id").agg(F.count(F.lit(1)).alias("docs"),
                                          F.countDistinct(tail_name("source")).alias("sources"))
     gaps = (before.filter("returned > 0").select("case_id", "query_text", "head_gap").join(
         after.select("case_id", "query_text", F.col("head_gap").alias("gap_after")),
         ["case_id", "query_text"]).groupBy("case_id")
         .agg(F.avg("head_gap").alias("gap_before"), F.avg("gap_after").alias("gap_after")))
-    return docs.join(gaps, "case_id", "left")
+    return cases.select("case_id").distinct().join(docs, "case_id", "left").join(
+        gaps, "case_id", "left").fillna(0, ["docs", "sources"])
 
 
 def source_line() -> Column:
@@ -247,29 +257,37 @@ def source_line() -> Column:
         F.concat(F.lit("sheet="), F.nullif("sheet_name", F.lit(""))))
 
 
-def context_blocks(merged: DataFrame, score: str, reranked: bool) -> DataFrame:
-    """Text block per merged hit and whether it fits the context budget of its case."""
+def context_blocks(merged: DataFrame, score: str, reranked: bool,
+                   block_chars: int = L.MAX_BLOCK_CHARS,
+                   total_chars: int = L.MAX_TOTAL_CHARS) -> DataFrame:
+    """Text block per merged hit and whether it fits the context budget of its case.
+
+    A block shows ``block_chars`` characters of its text and a mark where it goes on; blocks are
+    shown while they stay within ``total_chars`` per case. Both are budgets of the reader.
+    """
     label = "重排分" if reranked else "相似度"
-    text = F.when(F.length("text") > L.MAX_BLOCK_CHARS, F.concat(
-        F.substring("text", 1, L.MAX_BLOCK_CHARS), F.lit(L.TRUNCATED_MARK))) \
+    text = F.when(F.length("text") > block_chars, F.concat(
+        F.substring("text", 1, block_chars), F.lit(L.TRUNCATED_MARK))) \
         .otherwise(F.col("text"))
     block = F.concat(F.format_string(f"\n[%d] {label} %.3f｜", "position", score), source_line(),
                      F.lit("\n    命中查询："), F.coalesce("hit_by", F.lit("")), F.lit("\n"), text)
     order = W.partitionBy("case_id").orderBy("position")
     used = F.sum(F.length("block")).over(order)
     return merged.withColumn("block", block).withColumn("used", used) \
-        .withColumn("shown", F.col("used") <= L.MAX_TOTAL_CHARS)
+        .withColumn("shown", F.col("used") <= total_chars)
 
 
-def context_text(blocks: DataFrame) -> DataFrame:
-    """Text per case: shown blocks in order, then how many did not fit."""
+def context_text(cases: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Text per case: shown blocks in order, then how many did not fit; empty without hits."""
     listed = F.transform(F.array_sort(F.collect_list(
         F.when(F.col("shown"), F.struct("position", "block")))), lambda b: b["block"])
     left = F.sum((~F.col("shown")).cast("int"))
     note = F.when(left > 0, F.format_string("\n（其余 %d 条超出上下文预算，未展示）", left))
-    return blocks.groupBy("case_id").agg(
+    texts = blocks.groupBy("case_id").agg(
         F.concat_ws("\n", F.array_join(listed, "\n"), note).alias("context"),
         F.count(F.lit(1)).alias("hits"), left.alias("left_out"))
+    return cases.select("case_id").distinct().join(texts, "case_id", "left").fillna(
+        "", ["context"]).fillna(0, ["hits", "left_out"])
 
 
 def refusal_text(report: DataFrame) -> DataFrame:

@@ -76,13 +76,15 @@ def window_codes(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct codes per key in the order they first appeared (segment, then rule order).
 
     Reduced to one row per code before the list is built, so the list never holds more than the
-    rule catalogue.
+    rule catalogue. A key without hits has an empty list.
     """
     firsts = (segments.select(*keys, "seg_index", F.posexplode("rule_hits").alias("pos", "code"))
               .groupBy(*keys, "code").agg(F.min(F.struct("seg_index", "pos")).alias("first")))
-    return firsts.groupBy(*keys).agg(F.transform(
+    listed = firsts.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("first", "code"))), lambda x: x["code"])
         .alias("rule_codes"))
+    return segments.select(*keys).distinct().join(listed, keys, "left").select(
+        *keys, F.coalesce("rule_codes", F.array().cast("array<string>")).alias("rule_codes"))
 
 
 def segment_text() -> Column:

@@ -81,7 +81,7 @@ def stitch(units: DataFrame, series: Series, halo_rows: int = 0) -> DataFrame:
     # Within a block the first slice is taken to open a segment; the block level corrects that.
     inner = (blocked
              .withColumn("fresh", (F.row_number().over(inside) == 1)
-                         | (F.col("first_state") != F.lag("last_state").over(inside)))
+                         | ~F.col("first_state").eqNullSafe(F.lag("last_state").over(inside)))
              .withColumn("opened", F.col("n_runs") - 1 + F.col("fresh").cast("int"))
              .withColumn("base_in", F.coalesce(F.sum("opened").over(before), F.lit(0)))
              .withColumn("start_in", F.last(
@@ -104,7 +104,8 @@ def stitch(units: DataFrame, series: Series, halo_rows: int = 0) -> DataFrame:
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
     outer = (inner.groupBy(*keys, "block").agg(*totals)
              .withColumn("b_continues",
-                         F.coalesce(F.col("b_first") == F.lag("b_last").over(across), F.lit(False)))
+                         (F.row_number().over(across) > 1)
+                         & F.col("b_first").eqNullSafe(F.lag("b_last").over(across)))
              .withColumn("b_new", F.col("b_opened") - F.col("b_continues").cast("int"))
              .withColumn("base_out", F.coalesce(F.sum("b_new").over(earlier), F.lit(0)))
              .withColumn("start_out", F.last(F.when(F.col("b_new") > 0, F.col("b_start")),

@@ -37,7 +37,7 @@ def gather(cases: DataFrame, frames: DataFrame, images: DataFrame) -> DataFrame:
     cases = C.engineer_text(C.default_windows(cases))
     data = analyse_telemetry(cases, frames)
     seen = vision.status(cases, images, vision.findings(images))
-    texts = vision.summaries(images).withColumnRenamed("summary", "vision_summary")
+    texts = vision.summaries(vision.with_notes(images)).withColumnRenamed("summary", "vision_summary")
     merged = C.merge_evidence(cases, data, seen, texts)
     empty = F.array().cast("array<string>")
     return C.coverage(merged).withColumns({

@@ -142,10 +142,10 @@ SELECT device_id, seg_index, h.code, coalesce(label, h.code) AS label,
           THEN '，约从 ' || strftime(ramp_start_time, '%H:%M:%S') || ' 开始' ELSE '' END AS sentence
 FROM (SELECT *, unnest(rule_hits) AS code FROM seg) h LEFT JOIN catalog USING (code)""")
 oracle("window_rule_codes", SEG, f"""
-SELECT device_id, string_agg(code, ';' ORDER BY seg_index, pos) AS rule_codes FROM (
+SELECT device_id, coalesce(string_agg(code, ';' ORDER BY seg_index, pos), '') AS rule_codes FROM (SELECT DISTINCT device_id FROM seg) LEFT JOIN (
   SELECT device_id, code, min(seg_index) AS seg_index,
          min(list_position({listed(L.RULE_ORDER)}, code)) AS pos
-  FROM (SELECT device_id, seg_index, unnest(rule_hits) AS code FROM seg) GROUP BY 1, 2) GROUP BY 1""")
+  FROM (SELECT device_id, seg_index, unnest(rule_hits) AS code FROM seg) GROUP BY 1, 2) USING (device_id) GROUP BY 1""")
 OVERALL = """overall AS (
   SELECT o.*, phase_count FROM (
     SELECT device_id, count(*) AS total_points, max(temp_de) AS max_temp_de, max(vib_rms_de) AS max_vib_de,
@@ -168,8 +168,9 @@ oracle("overall_measurements", T, f"""SELECT device_id, max(temp_de) AS max_temp
   max(vib_rms_nde) AS max_vib_nde, {rnd('avg(flow_rate)', 6)} AS avg_flow, min(press_in) AS min_press_in,
   CAST(count(*) AS DOUBLE) AS total_points FROM t GROUP BY 1""")
 oracle("alarm_sets", T, """
-SELECT device_id, array_to_string(list_sort(list_distinct(flatten(list(string_split(alarm_code, ';'))))), ';') AS effective,
-  arg_max(alarm_code, timestamp) AS last FROM t WHERE alarm_code <> 'NONE' GROUP BY 1""")
+SELECT *, effective AS "all" FROM (
+  SELECT device_id, coalesce(array_to_string(list_sort(list_distinct(flatten(list(string_split(alarm_code, ';')) FILTER (alarm_code <> 'NONE')))), ';'), '') AS effective,
+    coalesce(arg_max(alarm_code, timestamp) FILTER (alarm_code <> 'NONE'), '') AS last FROM t GROUP BY 1)""")
 oracle("alarm_from_readings", T, f"SELECT device_id, {iso('timestamp')} AS timestamp, alarm_code FROM t")
 oracle("state_distribution", T, f"""SELECT device_id, operating_state, CAST(count(*) AS BIGINT) AS frames,
   {iso('min(timestamp)')} AS first_seen, {iso('max(timestamp)')} AS last_seen FROM t GROUP BY 1, 2""")
@@ -429,13 +430,14 @@ UNION ALL SELECT 'duplicate_time', device_id, {iso('ts2')}, CAST(count(*) AS VAR
 # ---- retrieval -------------------------------------------------------------------------------------
 
 def search_ctes(parts: int, pre: str = "") -> str:
-    means = ", ".join(f"avg(embedding[{i}])" for i in range(1, 65))
     return f"""
-{pre}q0 AS (SELECT CAST(label AS BIGINT) AS case_id, vec_id % {parts} AS query_pos, [{means}] AS v FROM embeddings GROUP BY 1, 2),
+{pre}m0 AS (SELECT CAST(label AS BIGINT) AS case_id, vec_id % {parts} AS query_pos, i, avg(x) AS x
+    FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2, 3),
+{pre}q0 AS (SELECT case_id, query_pos, list(x ORDER BY i) AS v FROM {pre}m0 GROUP BY 1, 2),
 {pre}q AS (SELECT case_id, query_pos, 'label ' || case_id || ' part ' || query_pos AS query_text,
     [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS qv FROM {pre}q0),
 {pre}sc AS (SELECT case_id, query_pos, query_text, vec_id AS chunk_id, round(greatest(-1, least(1, list_dot_product(qv, CAST(embedding AS DOUBLE[])))), 9) AS score,
-    round(list_dot_product(qv[1:32], CAST(embedding[1:32] AS DOUBLE[])), 9) AS rerank, label FROM {pre}q CROSS JOIN embeddings),
+    round(1 - list_sum([abs(z[1] - z[2]) FOR z IN list_zip(qv, CAST(embedding AS DOUBLE[]))]) / len(qv), 9) AS rerank, label FROM {pre}q CROSS JOIN embeddings),
 {pre}rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, query_pos ORDER BY score DESC, chunk_id) - 1 AS rank FROM {pre}sc),
 {pre}rc AS (SELECT rk.*, text, '/manuals/' || source || '.md' AS source FROM {pre}rk AS rk JOIN documents ON chunk_id = doc_id WHERE rank < 15),
 {pre}rp AS (SELECT case_id, query_pos, any_value(query_text) AS query_text, count(*) AS returned, max(score) AS top1, avg(score) AS mean, min(score) AS lowest,
@@ -463,7 +465,7 @@ oracle("retrieval_rules", SEARCH, """SELECT case_id, docs, total, refused, conca
   SELECT case_id, total, refused, coalesce(docs, 0) AS docs, top1 FROM (SELECT case_id, count(*) AS total, CAST(sum(CAST(low_confidence AS INT)) AS BIGINT) AS refused FROM rp GROUP BY 1)
   LEFT JOIN (SELECT case_id, count(*) AS docs, max(score) AS top1 FROM mg GROUP BY 1) USING (case_id))""")
 oracle("retrieval_summary", SEARCH, f"""SELECT case_id, docs, sources, {rnd('gap_before', 6)} AS gap_before, {rnd('gap_after', 6)} AS gap_after FROM
-  (SELECT case_id, count(*) AS docs, count(DISTINCT source) AS sources FROM mg GROUP BY 1) LEFT JOIN
+  (SELECT case_id, count(chunk_id) AS docs, count(DISTINCT source) AS sources FROM (SELECT DISTINCT case_id FROM q) LEFT JOIN mg USING (case_id) GROUP BY 1) LEFT JOIN
   (SELECT case_id, avg(rp.head_gap) AS gap_before, avg(g.gap) AS gap_after FROM rp JOIN (
      SELECT case_id, query_pos, coalesce(max(rerank) - max(rerank) FILTER (rerank_rank = 1), 0) AS gap FROM rr GROUP BY 1, 2) g USING (case_id, query_pos) GROUP BY 1) USING (case_id)""")
 BLOCKS = SEARCH + f""",
@@ -471,8 +473,8 @@ bl AS (SELECT *, chr(10) || printf('[%d] 重排分 %.3f｜', position, rerank) |
     || CASE WHEN length(text) > 1200 THEN substring(text, 1, 1200) || '{L.TRUNCATED_MARK}' ELSE text END AS block FROM mg),
 bs AS (SELECT *, sum(length(block)) OVER (PARTITION BY case_id ORDER BY position) <= 4000 AS shown FROM bl)"""
 oracle("context_budget", BLOCKS, "SELECT case_id, position, chunk_id, length(block) AS block_chars, shown FROM bs")
-oracle("context_text", BLOCKS, """SELECT case_id, count(*) AS hits, count(*) FILTER (NOT shown) AS left_out, md5(concat_ws(chr(10), coalesce(string_agg(block, chr(10) ORDER BY position) FILTER (shown), ''),
-  CASE WHEN count(*) FILTER (NOT shown) > 0 THEN chr(10) || printf('（其余 %d 条超出上下文预算，未展示）', count(*) FILTER (NOT shown)) END)) AS context_md5 FROM bs GROUP BY 1""")
+oracle("context_text", BLOCKS, """SELECT case_id, count(chunk_id) AS hits, count(*) FILTER (NOT shown) AS left_out, md5(concat_ws(chr(10), coalesce(string_agg(block, chr(10) ORDER BY position) FILTER (shown), ''),
+  CASE WHEN count(*) FILTER (NOT shown) > 0 THEN chr(10) || printf('（其余 %d 条超出上下文预算，未展示）', count(*) FILTER (NOT shown)) END)) AS context_md5 FROM (SELECT DISTINCT case_id FROM q) LEFT JOIN bs USING (case_id) GROUP BY 1""")
 oracle("refusals", SEARCH, """SELECT case_id, query_pos, '知识库中没有找到与问题相关的内容。' || chr(10) || '查询：' || query_text || chr(10) || printf('检索到的最高相似度 %.3f，低于置信度阈值 ', top1)
   || '0.5——按约定此时不提供片段，以免基于不相关内容编造答案。' || chr(10) || '请如实告知用户知识库中没有相关资料，并可以建议用户换个说法或补充背景信息；不要凭已有知识作答。' AS message FROM rp WHERE low_confidence""")
 oracle("query_cleanup", r"""

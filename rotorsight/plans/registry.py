@@ -119,7 +119,7 @@ def overall_measurements(spark, sf_dir):
 
 @query
 def alarm_sets(spark, sf_dir):
-    return longs(A.alarm_sets(N.load_telemetry(spark, sf_dir), ["device_id"]).drop("all"))
+    return longs(A.alarm_sets(N.load_telemetry(spark, sf_dir), ["device_id"]))
 
 
 @query
@@ -378,7 +378,7 @@ def telemetry_violations(spark, sf_dir):
 
 def search_result(spark, sf_dir, parts=4):
     return search.retrieve(N.chunk_vectors(spark, sf_dir), N.centroid_queries(spark, sf_dir, parts),
-                           N.half_cosine, details=N.chunk_details(spark, sf_dir))
+                           N.closeness, details=N.chunk_details(spark, sf_dir))
 
 
 @query
@@ -439,7 +439,7 @@ def retrieval_rules(spark, sf_dir):
 @query
 def retrieval_summary(spark, sf_dir):
     found = search_result(spark, sf_dir)
-    return longs(Q.retrieval_summary(found.merged, found.reports, found.rerank_reports).select(
+    return longs(Q.retrieval_summary(found.queries, found.merged, found.reports, found.rerank_reports).select(
         "case_id", "docs", "sources", stable_round("gap_before", 6).alias("gap_before"),
         stable_round("gap_after", 6).alias("gap_after")))
 
@@ -453,8 +453,9 @@ def context_budget(spark, sf_dir):
 
 @query
 def context_text(spark, sf_dir):
-    blocks = Q.context_blocks(search_result(spark, sf_dir).merged, "rerank_score", True)
-    return longs(Q.context_text(blocks).select(
+    found = search_result(spark, sf_dir)
+    blocks = Q.context_blocks(found.merged, "rerank_score", True)
+    return longs(Q.context_text(found.queries, blocks).select(
         "case_id", "hits", "left_out", F.md5("context").alias("context_md5")))
 
 
@@ -465,7 +466,10 @@ def refusals(spark, sf_dir):
 
 @query
 def query_cleanup(spark, sf_dir):
-    """User turns as proposed sub-queries; the first user turn is the original question."""
+    """User turns as proposed sub-queries; the first user turn is the original question.
+
+    Other turns are answers and are not proposals, so they are not read.
+    """
     turns = N.table(spark, sf_dir, "conversations").filter("role = 'user'").select(
         F.col("conv_id").alias("case_id"), F.col("turn").alias("query_pos"),
         F.col("text").alias("query_text"))

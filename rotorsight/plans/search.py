@@ -19,28 +19,29 @@ class Result:
     kept: DataFrame           # candidates of accepted queries after reranking
     rerank_reports: DataFrame
     merged: DataFrame         # one row per case and chunk
+    dropped: DataFrame        # queries beyond the bound that was asked for
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, scorer=None, k: int | None = None,
              recall_k: int | None = None, id_type: str = "long",
-             details: DataFrame | None = None) -> Result:
+             details: DataFrame | None = None, max_queries: int | None = None) -> Result:
     """Recall, gate, rerank, merge. ``scorer(hits)`` returns the second score as a column.
 
     ``scorer`` reads the query columns and every chunk column; without one the order of the
-    cosine stands. Recalled candidates are a few rows per query. When the queries were counted
-    small, the candidates are the broadcast side of the joins that fetch vectors and (from
-    ``details``, keyed by ``chunk_id``) source and text, so neither big table is shuffled.
+    cosine stands. Candidates are a few rows per query and are written first, so the planner
+    knows their size when it joins vectors and (from ``details``, keyed by ``chunk_id``) source
+    and text. A candidate without details stays, with nulls. ``max_queries`` bounds the queries
+    per case; those left out are in ``dropped``.
     """
-    k = R.clamp_k(k, L.DEFAULT_TOP_K_PER_QUERY)
-    recall_k = R.clamp_recall(recall_k, k, scorer is not None)
-    asked = materialise(R.distinct_queries(queries))
-    found = R.top_k(chunks, asked, recall_k, id_type)
+    k = R.checked_k(k, L.DEFAULT_TOP_K_PER_QUERY)
+    recall_k = R.checked_recall(recall_k, k, scorer is not None)
+    asked = materialise(R.distinct_queries(queries, max_queries))
+    found = materialise(R.top_k(chunks, asked, recall_k, id_type))
     vectors = asked.select("case_id", "query_pos", "query_vec")
-    bounded = asked.limit(R.MAX_BROADCAST_QUERIES + 1).count() <= R.MAX_BROADCAST_QUERIES
-    small = F.broadcast if bounded else (lambda df: df)
-    hits = chunks.join(small(found), "chunk_id").join(vectors, ["case_id", "query_pos"])
+    hits = found.join(chunks, "chunk_id").join(vectors, ["case_id", "query_pos"])
     if details is not None:
-        hits = details.join(small(hits), "chunk_id")
+        wanted = details.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        hits = hits.join(wanted, "chunk_id", "left")
     recalled = materialise(hits)
     reports = R.reports(recalled, asked)
     accepted = R.gate(recalled, reports)
@@ -49,7 +50,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, scorer=None, k: int | None =
     rerank_reports = R.reports(kept, asked, "rerank_score", "rerank_rank") \
         .filter("returned > 0")
     return Result(asked, recalled, reports, kept, rerank_reports,
-                  R.merge_hits(kept, "rerank_score"))
+                  R.merge_hits(kept, "rerank_score"), R.dropped_queries(queries, asked))
 
 
 def merge_rounds(first: Result, second: Result) -> DataFrame:

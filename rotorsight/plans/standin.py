@@ -166,9 +166,6 @@ def clauses(spark: SparkSession) -> DataFrame:
 
 # ---- retrieval -------------------------------------------------------------------------------------
 
-DIMENSIONS = 64
-
-
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as chunks."""
     return table(spark, sf_dir, "embeddings").select(
@@ -186,22 +183,22 @@ def chunk_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroid_queries(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
     """Per label (= case) the unit centroids of ``parts`` groups of its vectors, as queries."""
-    e = table(spark, sf_dir, "embeddings")
-    means = e.groupBy(F.col("label").cast("long").alias("case_id"),
-                      (F.col("vec_id") % parts).alias("query_pos")).agg(
-        F.array(*[F.avg(F.col("embedding")[i]) for i in range(DIMENSIONS)]).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("case_id"), (F.col("vec_id") % parts).alias("query_pos"),
+        F.posexplode("embedding").alias("i", "x"))
+    means = e.groupBy("case_id", "query_pos", "i").agg(F.avg("x").alias("x")).groupBy(
+        "case_id", "query_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
+                                                lambda p: p["x"]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return means.withColumn("norm", norm).select(
         "case_id", "query_pos", F.format_string("label %d part %d", "case_id", "query_pos")
         .alias("query_text"), F.transform("v", lambda x: x / F.col("norm")).alias("query_vec"))
 
 
-def half_cosine(hits: DataFrame):
-    """Stand-in pair score: dot product of the first half of both vectors."""
-    half = DIMENSIONS // 2
-    return F.aggregate(F.zip_with(F.slice("query_vec", 1, half), F.slice("embedding", 1, half),
-                                  lambda a, b: a * b.cast("double")), F.lit(0.0),
-                       lambda s, v: s + v)
+def closeness(hits: DataFrame):
+    """Stand-in pair score: one minus the mean absolute difference of all components."""
+    gaps = F.zip_with("query_vec", "embedding", lambda a, b: F.abs(a - b.cast("double")))
+    return 1 - F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v) / F.size("query_vec")
 
 
 # ---- documents ---------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -70,8 +71,10 @@ def _parse_csv(contents: pd.Series) -> pd.DataFrame:
                 text = data.decode(encoding)
             except UnicodeDecodeError:
                 continue
-            rows = [r for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)]
-            return rows, None
+            try:
+                return [r for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)], None
+            except csv.Error as broken:
+                return None, f"not readable as CSV: {broken}"
         return None, "unknown encoding"
     return pd.DataFrame([parse(d) for d in contents], columns=["rows", "error"])
 
@@ -144,11 +147,33 @@ def build_report(files: int, pages: DataFrame, records: DataFrame, chunks: DataF
                           "records": count(records)})
 
 
+VERSION = "version string, at timestamp"
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of the chunk table."""
+    latest = spark.read.schema(VERSION).parquet(f"{path}/versions").agg(
+        F.max_by("version", "at")).first()[0]
+    return spark.read.parquet(f"{path}/{latest}")
+
+
+def _publish(table: DataFrame, path: str) -> None:
+    """Write a new version folder, then append its name to the list of versions.
+
+    Readers see the old version until the one-row append is there, and after a failure at any
+    point the old version is still complete.
+    """
+    version = f"chunks-{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/{version}")
+    table.sparkSession.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode(
+        "append").parquet(f"{path}/versions")
+
+
 def write_chunks(spark: SparkSession, fresh: DataFrame, path: str, stored: bool) -> None:
-    """Upsert into the chunk table; the result is written beside it first, then swapped in."""
+    """Upsert into the chunk table as a new version of it."""
     from ..operators.chunking import upsert
-    result = materialise(upsert(spark.read.parquet(path), fresh) if stored else fresh)
-    result.write.mode("overwrite").parquet(path)
+    _publish(upsert(read_chunks(spark, path), fresh) if stored else fresh, path)
 
 
 def rebuild_chunks(fresh: DataFrame, path: str) -> bool:
@@ -156,7 +181,7 @@ def rebuild_chunks(fresh: DataFrame, path: str) -> bool:
     fresh = materialise(fresh)
     if fresh.isEmpty():
         return False
-    fresh.write.mode("overwrite").parquet(path)
+    _publish(fresh, path)
     return True
 
 

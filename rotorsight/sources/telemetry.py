@@ -95,22 +95,27 @@ def window(df: DataFrame, device_id: str, start: str, end: str) -> DataFrame:
 
 # ---- writers -------------------------------------------------------------------------------------
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Days of a device in one file each, so a device with very many rows is written in parallel."""
+    return df.repartition("device_id", F.to_date("timestamp")) \
+        .sortWithinPartitions("device_id", "timestamp")
+
+
 def append(df: DataFrame, path: str) -> None:
-    """Append, partitioned by device and sorted in time so that row-group statistics prune."""
-    (df.withColumn("day", F.to_date("timestamp"))
-     .repartition("device_id", "day").sortWithinPartitions("device_id", "timestamp")
-     .write.mode("append").partitionBy("device_id", "day").parquet(path))
+    """Append, partitioned by device and sorted in time so that row-group statistics prune.
+
+    Same layout as ``replace_device``, so both may write to one table.
+    """
+    (_placed(df).write.mode("append").partitionBy("device_id").parquet(path))
 
 
 def replace_device(df: DataFrame, path: str) -> None:
     """Replace the devices present in ``df`` and leave every other device alone.
 
-    Dynamic overwrite swaps whole ``device_id`` partitions at commit, so a failed job changes
-    nothing.
+    Dynamic overwrite swaps whole ``device_id`` partitions at commit, with all their days, so a
+    failed job changes nothing.
     """
-    (df.withColumn("day", F.to_date("timestamp"))
-     .repartition("device_id", "day").sortWithinPartitions("timestamp")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_placed(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("device_id").parquet(path))
 
 

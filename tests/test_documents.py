@@ -112,9 +112,9 @@ def test_file_sources_and_chunk_table(spark, tmp_path):
     target = str(tmp_path / "chunks")
     assert sources.rebuild_chunks(chunks, target)
     sources.write_chunks(spark, chunks, target, stored=True)
-    assert spark.read.parquet(target).count() == chunks.count()
+    assert sources.read_chunks(spark, target).count() == chunks.count()
     assert not sources.rebuild_chunks(chunks.limit(0), target)
-    assert spark.read.parquet(target).count() == chunks.count()
+    assert sources.read_chunks(spark, target).count() == chunks.count()
 
 
 def test_text_quality(spark):

@@ -13,8 +13,8 @@ def vectors(n, seed):
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("max_broadcast", [4096, 0])
-def test_top_k_is_exact_on_both_paths(spark, max_broadcast):
+@pytest.mark.parametrize("block_bytes", [R.QUERY_BLOCK_BYTES, 100, 1])
+def test_top_k_is_exact_for_any_block(spark, block_bytes):
     chunk_vecs, query_vecs = vectors(90, 1), vectors(7, 2)
     chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chunk_vecs)],
                                    "chunk_id long, embedding array<double>").repartition(5)
@@ -22,24 +22,13 @@ def test_top_k_is_exact_on_both_paths(spark, max_broadcast):
                                     "case_id long, query_pos long, query_text string, "
                                     "query_vec array<double>")
     got = {(r.query_pos, r["rank"]): r.chunk_id
-           for r in R.top_k(chunks, queries, 6, max_broadcast=max_broadcast).collect()}
+           for r in R.top_k(chunks, queries, 6, block_bytes=block_bytes).collect()}
     for q, v in enumerate(query_vecs):
         scores = np.round(chunk_vecs @ v, R.SCORE_DIGITS)
         order = sorted(range(90), key=lambda i: (-scores[i], i))[:6]
         assert [got[q, r] for r in range(6)] == order
 
 
-def test_grid_cells_cover_every_pair(spark):
-    chunk_vecs, query_vecs = vectors(40, 3), vectors(9, 4)
-    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chunk_vecs)],
-                                   "chunk_id long, embedding array<double>")
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(query_vecs)],
-                                    "query_no long, query_vec array<double>")
-    cells = R._grid_top_k(chunks, queries, 40, "chunk_id long, score double, query_no long",
-                          queries_per_block=4, chunks_per_group=11).collect()
-    assert len(cells) == 40 * 9
-
-
 def test_gate_merge_and_limits(spark):
     unit = lambda *x: (np.array(x) / np.linalg.norm(x)).tolist()
     chunks = spark.createDataFrame(
@@ -60,9 +49,9 @@ def test_gate_merge_and_limits(spark):
     rules = R.sufficiency_rules(found.queries.select("case_id").distinct(), found.merged,
                                 found.reports).first()
     assert rules.rules == ["majority_refused"]
-    assert R.clamp_k(0) == 1 and R.clamp_k(99) == 20 and R.clamp_k(None) == 5
-    assert R.clamp_recall(None, 3, True) == 15 and R.clamp_recall(None, 3, False) == 3
-    assert R.clamp_recall(500, 3, True) == 50
+    assert R.checked_k(1) == 1 and R.checked_k(20) == 20 and R.checked_k(None) == 5
+    assert R.checked_recall(None, 3, True) == 15 and R.checked_recall(None, 3, False) == 3
+    assert R.checked_recall(50, 3, True) == 50
 
 
 def test_clean_queries_and_fallback(spark):
