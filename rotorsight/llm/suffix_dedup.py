@@ -191,14 +191,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     seeds = places.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n"), (F.min("phrase") != F.max("phrase")).alias("mixed")
         ).filter("n > 1")
-    shared = cut(places.join(seeds.select("seed", "mixed"), "seed"))
+    # Written first: a join with files on both sides is one whose hot keys Spark can split.
+    shared = cut(places.join(cut(seeds.select("seed", "mixed")), "seed"))
     whole = shared.filter("not mixed").select("k1", "k2", "low", "high")
     mixed = shared.filter("mixed").drop("mixed")
     # The dictionary: each distinct phrase with its count and one place to read it from.
     words = mixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
         "k1", "k2", "low", "high")).alias("at"))
     sizes = words.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases"))
-    words = cut(words.join(sizes, "seed"))
+    words = cut(cut(words).join(cut(sizes), "seed"))
     wanted = words.select("at.k1", "at.k2", F.struct(
         *keys, "n", "n_phrases", "at.low", "at.high").alias("w")).groupBy("k1", "k2").agg(
         F.collect_list("w").alias("ws"))
