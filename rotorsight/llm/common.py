@@ -8,13 +8,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows per Arrow batch. Texts may be long, so batches are kept small.
-ARROW_ROWS = "1000"
+#: Rows and bytes per Arrow batch. Texts may be long, so batches are kept small.
+ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 
 ALPHA = 0.4
-HOT = 1 << 16
+HOT = 1 << 18
 #: Documents and bytes of a pack, tokens of a bucket.
-PACK_DOCS = 4000
-PACK_BYTES = 16 << 20
-BUCKET_TOKENS = 1_500_000
+PACK_DOCS = 8000
+PACK_BYTES = 32 << 20
+BUCKET_TOKENS = 750_000
 DECIMALS = 6
 
 #: Stands after the last word of a document, so that every word is first in one bigram.
