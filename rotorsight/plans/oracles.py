@@ -513,13 +513,31 @@ oracle("text_quality", "", f"""SELECT *, chars >= 24 AND digits >= 4 AND (units
     array_to_string(list_sort(list_distinct([upper(z) FOR z IN regexp_extract_all(text, '{L.QUALITY_TAG_PATTERN}', 1)])), ';') AS tags,
     array_to_string(list_sort(list_distinct([upper(z) FOR z IN regexp_extract_all(text, '{L.QUALITY_KEY_PATTERN}', 1)])), ';') AS keys FROM documents)""")
 
-LINES = f"""
+PAGES = f"""
 d0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 d1 AS (SELECT *, (doc_id * 7 + i * 13) % 17 AS h, regexp_replace(substring(line, 1, 12), '[^A-Za-z ]', '', 'g') AS w, doc_id % 3 <> 0 AS md FROM d0),
-d2 AS (SELECT doc_id, source, i, trim(CASE h
-    WHEN 0 THEN CASE WHEN md THEN '# ' || substring(line, 1, 20) ELSE '1 x' || w END WHEN 1 THEN CASE WHEN md THEN '## ' || substring(line, 1, 20) ELSE '2 x' || w END
-    WHEN 2 THEN CASE WHEN md THEN '### ' || substring(line, 1, 20) ELSE '3 x' || w END WHEN 3 THEN (i % 5) || '.2 x' || w
-    WHEN 4 THEN '- ' || line WHEN 5 THEN '| ' || substring(line, 1, 30) || ' |' WHEN 6 THEN '|---|---|' WHEN 7 THEN '' WHEN 8 THEN '附录A 标题' ELSE line END, {WS}) AS line FROM d1),
+pg AS (SELECT doc_id, source, string_agg(CASE h
+    WHEN 0 THEN CASE WHEN md THEN '# ' || substring(line, 1, 20) ELSE '1 x' || w END || chr(10) || line
+    WHEN 1 THEN CASE WHEN md THEN '## ' || substring(line, 1, 20) ELSE '2 x' || w END || chr(10) || line
+    WHEN 2 THEN CASE WHEN md THEN '### ' || substring(line, 1, 20) ELSE '3 x' || w END || chr(10) || line
+    WHEN 3 THEN (i % 5) || '.2 x' || w || chr(10) || line WHEN 4 THEN '- ' || line WHEN 5 THEN '| ' || line || ' |' WHEN 6 THEN '|---|---|' || chr(10) || line
+    WHEN 7 THEN chr(10) || line WHEN 8 THEN '附录A 标题' || chr(10) || line ELSE line END, chr(10) ORDER BY i) AS text FROM d1 GROUP BY doc_id, source)"""
+# Normalised pages without the lines that most PDF pages have near an edge.
+CLEAN = PAGES + f""",
+pf AS (SELECT doc_id, source, doc_id % 2 = 0 AS pdf, {folded('text')} AS text FROM pg),
+ps AS (SELECT *, string_split(text, chr(10)) AS ls FROM pf),
+hc AS (SELECT unnest(list_distinct([trim(l, {WS}) FOR l IN list_concat(ls[1:3], ls[greatest(1, len(ls) - 2):len(ls)]) IF trim(l, {WS}) <> ''])) AS line FROM ps WHERE pdf),
+hl AS (SELECT coalesce(list(line), []) AS lines FROM (SELECT line FROM hc GROUP BY line
+    HAVING (SELECT count(*) FROM ps WHERE pdf) >= {L.MIN_PAGES_FOR_HEADER} AND count(*) >= {L.HEADER_MIN_RATIO} * (SELECT count(*) FROM ps WHERE pdf) AND length(line) <= {L.HEADER_MAX_LEN})),
+pc AS (SELECT doc_id, source, CASE WHEN list_has_any([trim(l, {WS}) FOR l IN ls], hl.lines)
+    THEN trim(array_to_string([l FOR l IN ls IF NOT list_contains(hl.lines, trim(l, {WS}))], chr(10)), {WS}) ELSE text END AS text FROM ps, hl)"""
+
+
+def line_ctes(pages: str) -> str:
+    """Classified lines of the pages in a CTE with doc_id, source and text."""
+    return f"""
+d2 AS (SELECT doc_id, source, i, trim(line, {WS}) AS line FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {pages})),
 l0 AS (SELECT *, regexp_matches(line, '{L.MD_HEADING_PATTERN}') AS is_md, regexp_matches(line, '^\\|') AS is_pipe, regexp_matches(line, '{L.TABLE_SEPARATOR_PATTERN}') AS is_sep,
     regexp_matches(line, '{L.LIST_ITEM_PATTERN}') AS is_item, regexp_extract(line, '{L.NUMBER_HEADING_PATTERN}', 1) AS num, regexp_extract(line, '{L.NUMBER_HEADING_PATTERN}', 2) AS rest
     FROM d2 WHERE line <> ''),
@@ -536,25 +554,93 @@ l5 AS (SELECT *, sum(CASE WHEN heading OR type IS DISTINCT FROM pt THEN 1 ELSE 0
     "sum(CASE WHEN lvl = lag(lvl) OVER w THEN 0 ELSE 1 END) OVER w AS toc, sum(CASE WHEN is_pipe AND lag(is_pipe) OVER w AND lag(i) OVER w = i - 1 THEN 0 ELSE 1 END) OVER w AS pr",
     "sum(CASE WHEN lvl = pl THEN 0 ELSE 1 END) OVER w AS toc, sum(CASE WHEN is_pipe AND pp AND pi = i - 1 THEN 0 ELSE 1 END) OVER w AS pr").replace(
     "FROM (SELECT * FROM l1)", "FROM (SELECT *, lag(lvl) OVER (PARTITION BY doc_id ORDER BY i) AS pl, lag(is_pipe) OVER (PARTITION BY doc_id ORDER BY i) AS pp, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS pi FROM l1)")
-PATHS = LINES + f""",
+
+
+LINES = PAGES + "," + line_ctes("pg")
+HEADINGS = f""",
 hd AS (SELECT source, doc_id, i, heading_no, lvl, trim(regexp_replace(trim(regexp_replace(line, '{L.MD_HEADING_PATTERN}', '\\2'), {WS}), '^[*_`]+|[*_`]+$', '', 'g'), {WS}) AS title,
     row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS j FROM l5 WHERE heading),
 st(source, j, stack) AS (SELECT DISTINCT source, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM documents
     UNION ALL SELECT hd.source, hd.j, list_append(stack[1:least(len(stack), lvl - 1)], title) FROM st JOIN hd ON hd.source = st.source AND hd.j = st.j + 1)"""
+PATHS = LINES + HEADINGS
 ORACLES["table_runs"] = f"""WITH {LINES} SELECT source, doc_id AS part, type, count(*) AS lines, count(DISTINCT block) AS blocks, CAST(sum(CAST(heading AS INT)) AS BIGINT) AS headings
   FROM l5 GROUP BY 1, 2, 3"""
 ORACLES["heading_paths"] = f"""WITH RECURSIVE {PATHS} SELECT hd.source, doc_id AS part, CAST(heading_no AS BIGINT) AS heading_no, CAST(lvl AS BIGINT) AS level, title,
   CAST(len(stack) AS BIGINT) AS depth, array_to_string(stack, ' > ') AS path FROM hd JOIN st ON hd.source = st.source AND hd.j = st.j"""
-RECORDS = PATHS + """,
+BLOCK_CTES = """,
 b0 AS (SELECT source, doc_id, block, any_value(type) AS content_type, min(i) AS i0, string_agg(line, chr(10) ORDER BY i) AS raw_text FROM l5 GROUP BY 1, 2, 3),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, block) AS ordinal FROM b0),
 b2 AS (SELECT b1.*, coalesce((SELECT max(j) FROM hd WHERE hd.source = b1.source AND (hd.doc_id < b1.doc_id OR (hd.doc_id = b1.doc_id AND hd.i <= b1.i0))), 0) AS j FROM b1),
 b3 AS (SELECT b2.*, stack, md5(b2.source || chr(31) || '{"page": ' || doc_id || '}' || chr(31) || ordinal) AS rec_id FROM b2 JOIN st ON st.source = b2.source AND st.j = b2.j WHERE length(raw_text) >= 8),
 rec AS (SELECT * FROM b3 WHERE len(stack) > 0 OR source NOT IN (SELECT source FROM b3 WHERE len(stack) > 0))"""
+RECORDS = PATHS + BLOCK_CTES
 ORACLES["doc_blocks"] = f"""WITH RECURSIVE {RECORDS} SELECT rec_id AS doc_id, source, doc_id AS part, ordinal, content_type, length(raw_text) AS char_count,
   array_to_string(stack, ' > ') AS section_path, md5(raw_text) AS text_md5 FROM rec"""
-ORACLES["short_record_chunks"] = f"""WITH RECURSIVE {RECORDS} SELECT md5(rec_id || '::0::' || substring(raw_text, 1, 64)) AS chunk_id, rec_id AS doc_id,
-  CAST(0 AS BIGINT) AS chunk_index, length(raw_text) AS char_count FROM rec WHERE length(raw_text) <= 500"""
+
+
+def split_level(source: str, level: int, mark: str) -> tuple[str, str]:
+    """One separator: open pieces that hold it fall into parts; long parts stay open for finer ones."""
+    name, m = f"s{level}", f"'{mark}'" if mark != "\n" else "chr(10)"
+    m = "chr(10) || chr(10)" if mark == "\n\n" else m
+    return name, f"""
+{name}p AS (SELECT rec_id, grp, path, parent, unnest(string_split(t, {m})) AS r, unnest(range(len(string_split(t, {m})))) AS k FROM {source} WHERE still AND contains(t, {m})),
+{name} AS (SELECT * FROM {source} WHERE NOT (still AND contains(t, {m}))
+    UNION ALL SELECT rec_id, grp, list_append(path, k) AS path, path AS parent, CASE WHEN k = 0 THEN r ELSE {m} || r END AS t,
+      length(CASE WHEN k = 0 THEN r ELSE {m} || r END) >= {L.CHUNK_SIZE} AS still FROM {name}p WHERE k > 0 OR r <> '')"""
+
+
+def packed(source: str, name: str) -> str:
+    """Greedy groups of consecutive items (rec_id, k, t) of at most one chunk size."""
+    return f"""
+{name}l AS (SELECT rec_id, list({{'n': k, 'size': length(t), 'cuts': CAST([] AS BIGINT[])}} ORDER BY k) AS xs FROM {source} GROUP BY rec_id),
+{name}f AS (SELECT rec_id, list_reduce(xs, lambda a, x: CASE WHEN a.size + x.size > {L.CHUNK_SIZE} THEN {{'n': x.n, 'size': x.size, 'cuts': list_append(a.cuts, x.n)}}
+      ELSE {{'n': x.n, 'size': a.size + x.size, 'cuts': a.cuts}} END).cuts AS cuts FROM {name}l),
+{name} AS (SELECT rec_id, len([c FOR c IN cuts IF c <= k]) AS g, string_agg(t, chr(10) ORDER BY k) AS t FROM {source} JOIN {name}f USING (rec_id) GROUP BY 1, 2)"""
+
+
+def chunk_ctes() -> str:
+    """Pieces (rec_id, chunk_index, text) of the records in rec, by the rules of each type."""
+    rows = f"""
+tb AS (SELECT rec_id, string_split(raw_text, chr(10)) AS ls FROM rec WHERE content_type = 'table' AND length(raw_text) > {L.MAX_TABLE_CHARS}),
+th AS (SELECT rec_id, ls, CASE WHEN len(ls) > 1 AND regexp_matches(trim(ls[2], {WS}), '{L.TABLE_SEPARATOR_PATTERN}') THEN 2 ELSE 1 END AS h FROM tb),
+ti AS (SELECT rec_id, unnest(ls[h + 1:]) AS t, unnest(range(1, len(ls) - h + 1)) AS k FROM th),{packed('ti', 'tp')},
+ll AS (SELECT rec_id, unnest(string_split(raw_text, chr(10))) AS line, unnest(range(len(string_split(raw_text, chr(10))))) AS j FROM rec WHERE content_type = 'list' AND length(raw_text) > {L.CHUNK_SIZE}),
+lk AS (SELECT *, sum(CASE WHEN j = 0 OR regexp_matches(line, '{L.LIST_ITEM_PATTERN}') THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY j) AS k FROM ll),
+li AS (SELECT rec_id, k, string_agg(line, chr(10) ORDER BY j) AS t FROM lk GROUP BY 1, 2),{packed('li', 'lp')},
+s0 AS (SELECT rec_id, CAST(g AS BIGINT) AS grp, CAST([] AS BIGINT[]) AS path, CAST(NULL AS BIGINT[]) AS parent, t, true AS still FROM lp
+    UNION ALL SELECT rec_id, 0, [], NULL, raw_text, true FROM rec WHERE content_type = 'text' AND length(raw_text) > {L.CHUNK_SIZE})"""
+    name = "s0"
+    for level, mark in enumerate(L.SEPARATORS[:-1], 1):
+        name, step = split_level(name, level, mark)
+        rows += "," + step
+    return rows + f""",
+lf AS (SELECT rec_id, grp, path, parent, t FROM {name} WHERE NOT still
+    UNION ALL SELECT rec_id, grp, list_append(path, k) AS path, path AS parent, substring(t, k + 1, 1) FROM (
+      SELECT *, unnest(range(length(t))) AS k FROM {name} WHERE still)),
+lo AS (SELECT *, row_number() OVER w AS n, lag(parent) OVER w AS before FROM lf WINDOW w AS (PARTITION BY rec_id, grp ORDER BY path)),
+ls AS (SELECT *, sum(CASE WHEN n > 1 AND parent = before THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, grp ORDER BY n) AS seg FROM lo),
+sg AS (SELECT rec_id, grp, seg, string_agg(t, '' ORDER BY n) AS whole, list(length(t) ORDER BY n) AS sizes FROM ls GROUP BY 1, 2, 3),
+sp AS (SELECT *, list_transform(range(len(sizes) + 1), lambda k: coalesce(list_sum(sizes[1:k]), 0)) AS p FROM sg),
+sx AS (SELECT rec_id, grp, seg, whole, p, list_transform(sizes, lambda z, j: {{'n': j, 'l': z, 's': CAST(1 AS BIGINT), 'cuts': CAST([] AS BIGINT[][])}}) AS xs FROM sp),
+sf AS (SELECT rec_id, grp, seg, whole, p, list_reduce(xs, lambda a, x: CASE WHEN p[x.n] - p[a.s] + x.l > {L.CHUNK_SIZE} AND a.s < x.n
+      THEN {{'n': x.n, 'l': x.l, 's': list_min([z FOR z IN range(a.s, x.n + 1) IF p[x.n] - p[z] <= {L.CHUNK_OVERLAP} AND (p[x.n] = p[z] OR p[x.n] - p[z] + x.l <= {L.CHUNK_SIZE})]),
+            'cuts': list_append(a.cuts, [a.s, x.n])}}
+      ELSE {{'n': x.n, 'l': x.l, 's': a.s, 'cuts': a.cuts}} END) AS e FROM sx),
+sc AS (SELECT rec_id, grp, seg, whole, p, unnest(list_append(e.cuts, [e.s, CAST(e.n + 1 AS BIGINT)])) AS c, unnest(range(len(e.cuts) + 1)) AS o FROM sf),
+st2 AS (SELECT rec_id, grp, seg, o, trim(substring(whole, CAST(p[c[1]] + 1 AS BIGINT), CAST(p[c[2]] - p[c[1]] AS BIGINT)), {WS}) AS t FROM sc),
+pieces AS (
+    SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY grp, seg, o) - 1 AS chunk_index, t AS text FROM st2 WHERE t <> ''
+    UNION ALL SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY g) - 1, array_to_string(ls[1:h], chr(10)) || chr(10) || t FROM tp JOIN th USING (rec_id)
+    UNION ALL SELECT rec_id, 0, raw_text FROM rec WHERE (content_type = 'table' AND length(raw_text) <= {L.MAX_TABLE_CHARS}) OR (content_type = 'list' AND length(raw_text) <= {L.CHUNK_SIZE})
+    UNION ALL SELECT rec_id, 0, trim(raw_text, {WS}) FROM rec WHERE content_type = 'text' AND length(raw_text) <= {L.CHUNK_SIZE} AND trim(raw_text, {WS}) <> '')"""
+
+
+CHUNKS = CLEAN + "," + line_ctes("pc") + HEADINGS + BLOCK_CTES + "," + chunk_ctes()
+ORACLES["chunks"] = f"""WITH RECURSIVE {CHUNKS} SELECT md5(rec_id || '::' || chunk_index || '::' || substring(pieces.text, 1, 64)) AS chunk_id, rec_id AS doc_id, pieces.text AS text, source,
+  CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'markdown' END AS file_type, array_to_string(stack, ' > ') AS section_path, content_type, length(pieces.text) AS char_count,
+  CAST(doc_id AS VARCHAR) AS page, '' AS sheet_name FROM pieces JOIN rec USING (rec_id)"""
+ORACLES["chunk_upsert"] = f"""WITH RECURSIVE {CHUNKS} SELECT source, content_type, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
+  SELECT DISTINCT rec_id, chunk_index, pieces.text AS text, source, content_type FROM pieces JOIN rec USING (rec_id)) GROUP BY 1, 2"""
 oracle("csv_segments", T + """,
 v0 AS (SELECT device_id || '.csv' AS source, rn + 1 AS row_no, operating_state AS s, strftime(timestamp, '%H:%M:%S') || ' | ' || printf('%.2f', temp_de) || ' | ' || operating_state AS line FROM t),
 v1 AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (PARTITION BY source ORDER BY row_no) THEN 1 ELSE 0 END AS c FROM v0),

@@ -554,14 +554,6 @@ def chunk_upsert(spark, sf_dir):
         F.count(F.lit(1)).alias("chunks"), F.sum("char_count").alias("chars")))
 
 
-@query
-def short_record_chunks(spark, sf_dir):
-    """Chunks of the records that fit whole, with their ids."""
-    records = P.records(pages_of(spark, sf_dir))
-    return longs(chunking.chunks(records.filter(f"char_count <= {L.CHUNK_SIZE}")).select(
-        "chunk_id", "doc_id", "chunk_index", "char_count"))
-
-
 @query
 def csv_segments(spark, sf_dir):
     rows = N.csv_rows(N.load_telemetry(spark, sf_dir))

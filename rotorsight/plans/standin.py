@@ -204,10 +204,11 @@ def closeness(hits: DataFrame):
 # ---- documents ---------------------------------------------------------------------------------
 
 def manual_pages(documents: DataFrame) -> DataFrame:
-    """Documents as pages of their source, some of their lines turned into structure.
+    """Documents as pages of their source, with structure added to some of their lines.
 
-    The driver's texts have no headings, lists or tables. Every line keeps its words; a fixed
-    rule on document and line number decides which lines become headings, items or table rows.
+    The driver's texts have no headings, lists or tables. A fixed rule on document and line number
+    puts a heading, a separator or an empty line before some lines and makes others list items or
+    table rows. Every line itself stays whole: nothing is shortened or replaced.
     """
     lines = F.split("text", "\n")
     words = lambda x: F.regexp_replace(F.substring(x, 1, 12), "[^A-Za-z ]", "")
@@ -215,15 +216,17 @@ def manual_pages(documents: DataFrame) -> DataFrame:
     def dressed(line, i):
         h = (F.col("doc_id") * 7 + i * 13) % 17
         marked = F.col("doc_id") % 3 != 0
-        level = lambda md, plain: F.when(marked, F.concat(F.lit(md), F.substring(line, 1, 20))) \
-            .otherwise(F.concat(F.lit(plain), words(line)))
+        before = lambda x: F.concat(x, F.lit("\n"), line)
+        level = lambda md, plain: before(
+            F.when(marked, F.concat(F.lit(md), F.substring(line, 1, 20)))
+            .otherwise(F.concat(F.lit(plain), words(line))))
         return (F.when(h == 0, level("# ", "1 x")).when(h == 1, level("## ", "2 x"))
                 .when(h == 2, level("### ", "3 x"))
-                .when(h == 3, F.concat((i % 5).cast("string"), F.lit(".2 x"), words(line)))
+                .when(h == 3, before(F.concat((i % 5).cast("string"), F.lit(".2 x"), words(line))))
                 .when(h == 4, F.concat(F.lit("- "), line))
-                .when(h == 5, F.concat(F.lit("| "), F.substring(line, 1, 30), F.lit(" |")))
-                .when(h == 6, "|---|---|").when(h == 7, "").when(h == 8, "附录A 标题")
-                .otherwise(line))
+                .when(h == 5, F.concat(F.lit("| "), line, F.lit(" |")))
+                .when(h == 6, before(F.lit("|---|---|"))).when(h == 7, before(F.lit("")))
+                .when(h == 8, before(F.lit("附录A 标题"))).otherwise(line))
 
     return documents.select(
         "source", F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("markdown").alias("file_type"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotorsight import limits as L
 from rotorsight.functions.text import heading_level, normalise, quality_features
 from rotorsight.operators import chunking, documents
-from rotorsight.plans import knowledge
+from rotorsight.plans import knowledge, standin
 from rotorsight.sources import documents as sources
 
 PAGE_SCHEMA = ("source string, file_type string, part long, page int, sheet_name string, "
@@ -125,3 +125,15 @@ def test_text_quality(spark):
     assert good["units"] == ["m3/h", "rpm", "°c"] and good["tags"] == ["PV 98", "TAH-101", "TEMP 71"]
     assert good["keys"] == ["FLOW", "PV", "TAG", "TEMP"] and good["digits"] == 13
     assert bad == {"chars": 6, "digits": 0, "units": [], "tags": [], "keys": []}
+
+
+def test_stand_in_pages_keep_every_line(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = standin.manual_pages(documents).withColumnRenamed("part", "doc_id").select(
+        "doc_id", F.col("text").alias("page_text"))
+    both = documents.join(pages, "doc_id")
+    assert both.count() == documents.count()
+    total = both.agg(F.sum(F.length("text")), F.sum(F.length("page_text"))).first()
+    assert total[1] >= total[0]
+    held = lambda line: F.exists(F.split("page_text", "\n"), lambda x: F.contains(x, line))
+    assert both.filter(F.exists(F.split("text", "\n"), lambda line: ~held(line))).count() == 0
