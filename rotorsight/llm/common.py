@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import materialise as cut, shared_folder as shared_dir
+
 #: Rows and bytes per Arrow batch. Texts may be long, so batches are kept small.
 ARROW_ROWS, ARROW_BYTES = "1000", str(8 << 20)
 
 
+__all__ = ["components", "cut", "hot_keys", "id_text", "prepare", "shared_dir", "text_hash"]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -19,31 +20,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a plain local master without that setting (tests, a laptop) gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="rotorsight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and continue from the files.
-
-    Cuts the lineage, survives lost executors, keeps column pruning and filter push-down.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(name: str = "doc_id") -> Column:
     """The id as text, so that null ids can be join keys."""
     return F.coalesce(F.col(name).cast("string"), F.lit("\u0000null"))
