@@ -363,27 +363,39 @@ oracle("attribution", ATTRIBUTED, f"""SELECT trace_id, proposal_mode, confidence
 RANK = "CASE {0} WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 MODE_RANK = "CASE failure_mode " + " ".join(
     f"WHEN '{m}' THEN {L.RISK_LEVELS.index(r)}" for m, r in L.FAILURE_MODE_RISK.items()) + " ELSE 1 END"
-VERDICT = ATTRIBUTED + "," + CATALOG + f""",
-w0 AS (SELECT *, list_sort(list_intersect(flags, {listed(L.TRIP_RULES)})) AS trips FROM a2),
+
+
+def verdict_ctes(source: str, high_risk: str = "false") -> str:
+    """Verdict of the attributed cases in ``source`` as w4; ``high_risk`` is a condition on a case."""
+    return f"""
+w0 AS (SELECT *, list_sort(list_intersect(flags, {listed(L.TRIP_RULES)})) AS trips, {high_risk} AS high_risk FROM {source}),
 w1 AS (SELECT *,
     coalesce(max_temp_de >= 80, false) AND NOT list_contains(trips, 'BEARING_TEMP_DE_TRIP') AS x_temp, coalesce(max_vib_de >= 4.5, false) AND NOT list_contains(trips, 'VIB_DE_TRIP') AS x_de,
     coalesce(max_vib_nde >= 4.5, false) AND NOT list_contains(trips, 'VIB_NDE_TRIP') AS x_nde, coalesce(min_press_in <= -0.055, false) AND NOT list_contains(trips, 'PRESS_IN_TRIP') AS x_press,
-    vision_status = 'FAILED' AS failed, vision_status = 'NO_IMAGE' AND data_status = 'EMPTY' AND text_status = 'EMPTY' AS vacuum,
-    conflicts <> '' OR (list_contains(flags, 'CURRENT_HIGH') AND (coalesce(avg_flow < 85, false) OR list_contains(flags, 'PRESS_IN_LOW'))) AS conflict FROM w0),
-w2 AS (SELECT *, len(trips) > 0 OR x_temp OR x_de OR x_nde OR x_press OR leak_severe AS trip, failed OR vacuum AS stop,
+    vision_status = 'FAILED' OR data_status = 'FAILED' AS failed, vision_status = 'NO_IMAGE' AND data_status = 'EMPTY' AND text_status = 'EMPTY' AS vacuum,
+    list_has_any(flags, {listed(L.RED_LINE_CODES)}) AND vision_status = 'NO_DEFECT' AS unseen,
+    list_contains(flags, 'CURRENT_HIGH') AND (coalesce(avg_flow < 85, false) OR list_contains(flags, 'PRESS_IN_LOW')) AS starved FROM w0),
+w2 AS (SELECT *, len(trips) > 0 OR x_temp OR x_de OR x_nde OR x_press OR leak_severe AS trip, failed OR vacuum AS stop, conflicts <> '' OR unseen OR starved AS conflict,
+    NOT (failed OR vacuum) AND list_contains(sources, 'DATA') AND data_status = 'EMPTY' AS false_data, NOT (failed OR vacuum) AND list_contains(sources, 'VISION') AND vision_status = 'NO_IMAGE' AS false_image,
     data_status = 'PARTIAL' AND NOT (failed OR vacuum) AS partial,
     CASE WHEN list_has_any(flags, {listed(L.BEARING_CODES)}) THEN 'BEARING_DEGRADATION' WHEN is_c THEN 'CAVITATION' WHEN leak_ms THEN 'SEAL_LEAK'
-         WHEN list_contains(flags, 'CURRENT_HIGH') THEN 'MOTOR_OVERLOAD' WHEN NOT insufficient THEN proposal_mode ELSE 'NORMAL' END AS failure_mode FROM w1),
+         WHEN list_contains(flags, 'CURRENT_HIGH') THEN 'MOTOR_OVERLOAD' WHEN proposal_mode IS NOT NULL AND NOT insufficient THEN proposal_mode
+         WHEN len(sources) = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'NORMAL' END AS failure_mode FROM w1),
 w3 AS (SELECT *, CASE WHEN trip THEN 4 ELSE greatest({MODE_RANK}, CASE WHEN list_has_any(flags, {listed(L.WARN_RULES)}) OR serious OR conflict THEN 3
       WHEN minor OR list_has_any(flags, ['FLOW_DEV', 'PRESS_OUT_DEV']) OR data_status = 'PARTIAL' THEN 2 ELSE 1 END) END AS lv FROM w2),
 w4 AS (SELECT *, {listed(L.RISK_LEVELS)}[lv + 1] AS risk_level,
-    CASE WHEN lv = 4 THEN 'BLOCK' WHEN stop THEN 'INSUFFICIENT_DATA' WHEN conflict OR (data_status = 'PARTIAL' AND confidence IN ('LOW', 'UNKNOWN')) OR lv = 3 THEN 'MANUAL_REVIEW'
+    CASE WHEN lv = 4 THEN 'BLOCK' WHEN stop THEN 'INSUFFICIENT_DATA'
+         WHEN high_risk OR conflict OR false_data OR false_image OR (data_status = 'PARTIAL' AND confidence IN ('LOW', 'UNKNOWN')) OR lv = 3 THEN 'MANUAL_REVIEW'
          WHEN lv = 2 THEN CASE WHEN confidence = 'HIGH' AND NOT degraded THEN 'PASS' ELSE 'MANUAL_REVIEW' END ELSE 'PASS' END AS decision,
     list_sort(list_distinct(list_concat(trips, [z FOR z IN [CASE WHEN x_temp THEN 'BEARING_TEMP_DE_TRIP' END, CASE WHEN x_de THEN 'VIB_DE_TRIP' END,
       CASE WHEN x_nde THEN 'VIB_NDE_TRIP' END, CASE WHEN x_press THEN 'PRESS_IN_TRIP' END, CASE WHEN leak_severe THEN 'RULE_SEVERE_LEAK_TRIP' END,
       CASE WHEN failed THEN 'RULE_EVIDENCE_FAILURE_GUARD' WHEN vacuum THEN 'RULE_EMPTY_INPUT_GUARD' END, CASE WHEN partial THEN 'RULE_DATA_PARTIAL_GUARD' END,
+      CASE WHEN false_data OR false_image THEN 'RULE_INPUT_HALLUCINATION_GUARD' END, CASE WHEN high_risk THEN 'RULE_HIGH_RISK_DEVICE_GUARD' END,
       CASE WHEN conflict THEN 'RULE_EVIDENCE_CONFLICT' END] IF z IS NOT NULL]))) AS rule_hits FROM w3)"""
-oracle("verdict", VERDICT, f"""SELECT w4.trace_id, decision, risk_level, failure_mode, array_to_string(rule_hits, ';') AS rule_hits, '1.0.0' AS rule_version,
+
+
+VERDICT = ATTRIBUTED + "," + CATALOG + "," + verdict_ctes("a2")
+VERDICT_ROWS = f"""SELECT w4.trace_id, decision, risk_level, failure_mode, array_to_string(rule_hits, ';') AS rule_hits, '1.0.0' AS rule_version,
   coalesce(nullif(concat_ws('|',
     (SELECT string_agg('触发紧急停机线/急剧恶化判据【' || code || '】: ' || label || ' (依据: ' || source || ')。', '|' ORDER BY code)
        FROM (SELECT trace_id, unnest(trips) AS code FROM w4) q JOIN catalog USING (code) WHERE q.trace_id = w4.trace_id),
@@ -393,8 +405,23 @@ oracle("verdict", VERDICT, f"""SELECT w4.trace_id, decision, risk_level, failure
     CASE WHEN x_press THEN printf('实测入口吸上压力 %.3fMPa 低于脱流停机线 (-0.055MPa)，气蚀毁泵先兆。', min_press_in) END,
     CASE WHEN leak_severe THEN '视觉检出严重介质喷淋泄漏 (' || leak_place || ')，触发一级安全阻断。' END,
     CASE WHEN failed THEN '{L.REASON_FAILED}' WHEN vacuum THEN '{L.REASON_EMPTY}' END,
+    CASE WHEN false_data THEN '{L.REASON_NO_DATA}' END, CASE WHEN false_image THEN '{L.REASON_NO_IMAGE}' END,
     CASE WHEN partial AND confidence IN ('LOW', 'UNKNOWN') THEN '{L.REASON_PARTIAL}' END,
-    CASE WHEN conflicts <> '' THEN '归因引擎检出跨模态冲突: ' || conflicts WHEN conflict THEN '{L.REASON_HYDRAULIC}' END), ''), '{L.REASON_GREEN}') AS reasons FROM w4""")
+    CASE WHEN high_risk THEN '设备【' || device_id || '】属于高危/核心主干管网保护名单，系统剥夺自动放行权限，锁定为人工复核签审。' END,
+    CASE WHEN conflicts <> '' THEN '归因引擎检出跨模态冲突: ' || conflicts
+         WHEN unseen THEN '物理证据严重矛盾: 时序触发红线告警 [' || array_to_string([chr(39) || z || chr(39) FOR z IN list_sort(list_intersect(flags, {listed(L.RED_LINE_CODES)}))], ', ')
+           || ']，但现场图片判定为无缺陷完好，需人工排查传感器真伪。'
+         WHEN starved THEN '{L.REASON_HYDRAULIC}' END), ''), '{L.REASON_GREEN}') AS reasons FROM w4"""
+oracle("verdict", VERDICT, VERDICT_ROWS)
+# Stored proposals, failed data and protected devices reach the other branches of the verdict.
+GUARDED = ATTRIBUTED.replace(
+    "\na0 AS (", "\nevg AS (SELECT * REPLACE (CASE WHEN b % 9 = 1 THEN 'FAILED' ELSE data_status END AS data_status) FROM ev),\na0 AS (").replace(
+    "IF z IS NOT NULL] AS sources FROM ev)", "IF z IS NOT NULL] AS sources FROM evg)") + """,
+a3 AS (SELECT * REPLACE (CASE WHEN b % 4 = 0 THEN 'SEAL_LEAK' ELSE proposal_mode END AS proposal_mode, CASE WHEN b % 4 = 0 THEN 'LOW' ELSE confidence END AS confidence,
+    CASE WHEN b % 4 = 0 THEN ['DATA', 'VISION'] ELSE sources END AS sources, CASE WHEN b % 8 = 0 THEN 'given' WHEN b % 4 = 0 THEN '' ELSE conflicts END AS conflicts,
+    CASE WHEN b % 4 = 0 THEN b % 3 = 0 ELSE insufficient END AS insufficient) FROM a2)"""
+oracle("guarded_verdict", GUARDED + "," + CATALOG + "," + verdict_ctes(
+    "a3", "device_id <> '' AND (contains(upper(device_id), 'IS100-00001') OR contains(upper(device_id), '00000'))"), VERDICT_ROWS)
 oracle("service_levels", VERDICT + ", matrix AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{a}', '{b}', '{c}', CAST({d} AS DOUBLE))" for a, b, c, d in L.RISK_MATRIX) + ") AS v(risk_level, name, default_decision, sla_hours))",
        "SELECT risk_level, name, default_decision, sla_hours, decision, CAST(count(*) AS BIGINT) AS cases FROM w4 JOIN matrix USING (risk_level) GROUP BY 1, 2, 3, 4, 5")
@@ -657,3 +684,32 @@ oracle("user_value_cv", """u0 AS (SELECT user_id, value, CASE WHEN count(*) OVER
   FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))""", f"""
 SELECT user_id, CAST(0 AS BIGINT) AS seg_index, count(*) AS data_points, {rnd('avg(value)', 2)} AS avg_flow, {rnd('coalesce(stddev_samp(value) / avg(value) * 100, 0)', 2)} AS cv_flow,
   {rnd('max(c1)', 2)} AS cv_flow_peak, {rnd('max(c2)', 2)} AS cv_press_peak FROM u0 GROUP BY 1""")
+
+
+# ---- readers, small functions ------------------------------------------------------------------
+
+FRAME_COLUMNS = ", ".join(L.READINGS)
+oracle("device_history", T, f"SELECT device_id, {iso('timestamp')} AS timestamp, {FRAME_COLUMNS}, operating_state, alarm_code FROM t WHERE dev = 0")
+oracle("device_window", T, f"""SELECT {iso('timestamp')} AS timestamp, {FRAME_COLUMNS}, operating_state, alarm_code FROM t
+  WHERE dev = 0 AND timestamp BETWEEN TIMESTAMP '2026-09-13 00:05:00' AND TIMESTAMP '2026-09-13 04:05:00'""")
+oracle("plain_numbers", "", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN {rnd('l_extendedprice / l_discount', 3)} END AS price_per_discount FROM lineitem""")
+IMAGE_BYTES = """CASE doc_id % 5 WHEN 0 THEN unhex('FFD8FF00') WHEN 1 THEN unhex('89504E470D0A1A0A') WHEN 2 THEN unhex('474946383961') WHEN 3 THEN unhex('524946460000000057454250') ELSE encode('BM') END || encode(text)"""
+oracle("image_uris", "", f"""SELECT doc_id, mime, sha256(content) AS sha256, md5('data:' || mime || ';base64,' || base64(content)) AS url_md5 FROM (
+  SELECT doc_id, {IMAGE_BYTES} AS content, [ 'image/jpeg', 'image/png', 'image/gif', 'image/webp', NULL][doc_id % 5 + 1] AS mime FROM documents)""")
+oracle("segment_views", SEG, f"SELECT device_id, seg_index, state, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in METRICS)} FROM seg")
+oracle("l2_cosine", "", f"""SELECT a.vec_id, {rnd('greatest(-1, least(1, 1 - list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))]) / 2))', 5)} AS cosine
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 7 * 7""")
+oracle("unfinished_cases", CASES + "," + PHOTOS, "SELECT trace_id, device_id FROM cs WHERE trace_id NOT IN (SELECT trace_id FROM vs)")
+oracle("attached_images", CASES + "," + PHOTOS, f"""SELECT trace_id, pos, image_id,
+  CASE WHEN pos % 2 = 0 THEN CASE WHEN failed THEN '（本图识别失败，未产生视觉结论：timeout）' WHEN n % 6 = 0 THEN '' ELSE '照片 ' || kind END ELSE '{L.FAILED_PREFIX}，未产生视觉结论：no result）' END AS description,
+  CASE WHEN pos % 2 = 1 THEN '处理失败：no result' WHEN n % 4 = 0 THEN '反光;  ' ELSE '' END AS limitations
+  FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS place FROM ph)""".replace("trace_id, pos, image_id", "trace_id, place AS pos, image_id").replace("pos % 2", "place % 2"))
+oracle("repeated_queries", "", """SELECT case_id, md5(text) AS query_md5, min(turn) AS query_pos FROM (
+  SELECT conv_id AS case_id, turn, trim(text) AS text FROM conversations) WHERE text <> '' GROUP BY 1, text""")
+oracle("retry_cases", "", """SELECT case_id, consulted AND error = '' AND NOT sufficient AND turns > 2 AS retry,
+  CASE WHEN NOT consulted THEN '' WHEN error <> '' THEN chr(10) || chr(10) || '⚠️ 说明：本次检索结果**未经审阅**（审阅环节不可用），覆盖可能不完整。若片段不足以回答，请如实告知用户，不要凭已有知识补充。'
+    WHEN sufficient THEN '' ELSE chr(10) || chr(10) || '⚠️ 审阅结论：上述片段**不足以完整回答**该问题，缺少：' || CASE WHEN turns > 3 THEN 'a；b' ELSE '部分信息' END
+    || '。已尝试补查但仍未覆盖。请**如实告知用户哪部分知识库中没有**，不要把现有片段当成完整资料作答，更不要凭已有知识补齐。' END AS note FROM (
+  SELECT conv_id AS case_id, count(*) AS turns, conv_id % 5 <> 0 AS consulted, CASE WHEN conv_id % 7 = 0 THEN 'x' ELSE '' END AS error, conv_id % 3 = 0 AS sufficient FROM conversations GROUP BY conv_id)""")
+ORACLES["build_report"] = f"""WITH RECURSIVE {CHUNKS} SELECT 20 AS files_scanned, (SELECT count(*) FROM pc) AS docs_loaded, (SELECT count(*) FROM rec) AS records,
+  count(*) AS chunks_created, count(DISTINCT md5(rec_id || '::' || chunk_index || '::' || substring(pieces.text, 1, 64))) AS chunks_written FROM pieces"""

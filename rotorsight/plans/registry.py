@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import limits as L
-from ..functions.scalars import alarm_from_readings, iso, stable_round
+from ..functions.scalars import (alarm_from_readings, data_url, image_type, iso, plain_number,
+                                 stable_round)
 from ..functions import text as TX
 from ..operators import (alarms as A, attribution, cases as C, chunking, delivery as D,
                          documents as P, manual as K,
                          measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S, vision as V)
 from ..session import configure
 from ..sources import documents as DS, telemetry as TS
-from ..sources.config import risk_matrix
+from ..sources.config import RiskConfig, risk_matrix
 from . import diagnosis as X, knowledge, search, standin as N
 
 QUERIES = {}
@@ -319,6 +320,24 @@ def verdict(spark, sf_dir):
         joined("reasons", sep="|").alias("reasons"), "rule_version")
 
 
+@query
+def guarded_verdict(spark, sf_dir):
+    """Cases with failed data, stored proposals that claim too much, and protected devices."""
+    b = F.split("trace_id", "-")[3].cast("long")
+    given = b % 4 == 0
+    no_text = F.array().cast("array<string>")
+    evidence = X.gather(*case_inputs(spark, sf_dir)).withColumns({
+        "data_status": F.when(b % 9 == 1, "FAILED").otherwise(F.col("data_status")),
+        "given_mode": F.when(given, "SEAL_LEAK"), "given_confidence": F.lit("LOW"),
+        "given_sources": F.array(F.lit("DATA"), F.lit("VISION")),
+        "given_conflicts": F.when(b % 8 == 0, F.array(F.lit("given"))).otherwise(no_text),
+        "given_insufficient": b % 3 == 0})
+    config = RiskConfig(high_risk_devices=["is100-00001", "00000"])
+    return safety.evaluate(attribution.attribute(K.builtin_topics(evidence)), config).select(
+        "trace_id", "decision", "risk_level", "failure_mode", joined("rule_hits").alias("rule_hits"),
+        joined("reasons", sep="|").alias("reasons"), "rule_version")
+
+
 @query
 def service_levels(spark, sf_dir):
     rated = safety.with_service_level(verdicts(spark, sf_dir), risk_matrix(spark))
@@ -591,3 +610,117 @@ def user_value_cv(spark, sf_dir):
     seg = S.segment_metrics(S.telemetry_runs(events, series), series)
     return longs(seg.select("user_id", "seg_index", "data_points", "avg_flow", "cv_flow",
                             "cv_flow_peak", "cv_press_peak"))
+
+
+# ---- readers, small functions ------------------------------------------------------------------
+
+@query
+def device_history(spark, sf_dir):
+    """Every frame of the device that holds a third of all rows."""
+    return longs(TS.history(N.load_telemetry(spark, sf_dir), "PUMP-IS100-00000"))
+
+
+@query
+def device_window(spark, sf_dir):
+    return longs(TS.window(N.load_telemetry(spark, sf_dir), "PUMP-IS100-00000",
+                           "2026-09-13T00:05:00Z", "2026-09-13T04:05:00"))
+
+
+@query
+def plain_numbers(spark, sf_dir):
+    """Quotients that are no number become null."""
+    ratio = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(
+        F.col("l_extendedprice") / F.when(F.col("l_discount") != 0, F.col("l_discount")))
+    return longs(N.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", plain_number(ratio.cast("double"), 3)
+        .alias("price_per_discount")))
+
+
+@query
+def image_uris(spark, sf_dir):
+    """Documents behind the leading bytes of five formats, one of them not supported."""
+    heads = ["FFD8FF00", "89504E470D0A1A0A", "474946383961", "524946460000000057454250", "424D"]
+    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in heads]),
+                        (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = N.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(head, F.col("text").cast("binary")).alias("content"))
+    typed = rows.withColumn("mime", image_type("content"))
+    return longs(typed.select("doc_id", "mime", F.sha2("content", 256).alias("sha256"),
+                              F.md5(data_url("content", "mime")).alias("url_md5")))
+
+
+@query
+def segment_views(spark, sf_dir):
+    """Segments rebuilt from the long measurements."""
+    runs, seg = device_segments(spark, sf_dir)
+    rows = M.measurements(seg, S.overall_metrics(runs, seg), ["device_id"])
+    return longs(M.segment_views(seg, rows, ["device_id"]).select(
+        "device_id", "seg_index", "state", *L.SEGMENT_UNITS))
+
+
+@query
+def l2_cosine(spark, sf_dir):
+    """Cosine of each vector and the first of its group of seven, from their distance."""
+    e = N.table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.expr("vec_id div 7") * 7).alias("first"), "embedding")
+    pairs = e.join(e.select(F.col("vec_id").alias("first"), F.col("embedding").alias("other")), "first")
+    squared = F.aggregate(F.zip_with("embedding", "other", lambda a, b: (
+        a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
+        F.lit(0.0), lambda s, v: s + v)
+    return longs(pairs.withColumn("distance", squared).select(
+        "vec_id", stable_round(Q.cosine_from_distance("distance"), 5).alias("cosine")))
+
+
+@query
+def unfinished_cases(spark, sf_dir):
+    """Cases without a photo result yet."""
+    cases, _, images = case_inputs(spark, sf_dir)
+    return longs(C.not_yet_done(cases, images.select("trace_id").distinct()).select(
+        "trace_id", "device_id"))
+
+
+@query
+def attached_images(spark, sf_dir):
+    """Photo references of a case and their results by position; every other result is missing."""
+    _, _, images = case_inputs(spark, sf_dir)
+    listed = images.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "image_id", "description", "limitations", "observations"))).alias("found"))
+    refs = V.image_refs(listed.select("trace_id", F.transform(
+        "found", lambda x: F.struct(x["image_id"].alias("image_id"))).alias("image_refs")))
+    results = listed.select("trace_id", F.posexplode("found").alias("pos", "f")).filter(
+        F.col("pos") % 2 == 0).select("trace_id", "pos", "f.description", "f.limitations",
+                                      "f.observations")
+    return longs(V.attach_results(refs, results).select(
+        "trace_id", "pos", "image_id", "description",
+        F.array_join("limitations", "; ").alias("limitations")))
+
+
+@query
+def repeated_queries(spark, sf_dir):
+    """Turns of a conversation as queries: repeated texts count once, at their first place."""
+    turns = N.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("case_id"), F.col("turn").alias("query_pos"),
+        F.col("text").alias("query_text"), F.lit(0).alias("query_vec"))
+    return longs(Q.distinct_queries(turns).select(
+        "case_id", F.md5("query_text").alias("query_md5"), "query_pos"))
+
+
+@query
+def retry_cases(spark, sf_dir):
+    """Reviews of conversations: worth another round or not, and the note for the reader."""
+    key = F.col("case_id")
+    some = lambda test, *x: F.when(test, F.array(*[F.lit(v) for v in x])).otherwise(
+        F.array().cast("array<string>"))
+    rows = N.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(
+        F.count(F.lit(1)).alias("turns")).withColumns({
+            "consulted": key % 5 != 0, "error": F.when(key % 7 == 0, "x").otherwise(""),
+            "sufficient": key % 3 == 0, "next_queries": some(F.col("turns") > 2, "q"),
+            "missing": some(F.col("turns") > 3, "a", "b")})
+    return longs(rows.select("case_id", Q.retry_worthy().alias("retry"), Q.review_note().alias("note")))
+
+
+@query
+def build_report(spark, sf_dir):
+    pages, records, pieces = knowledge.build(pages_of(spark, sf_dir))
+    files = N.table(spark, sf_dir, "documents").select("source").distinct().count()
+    return longs(DS.build_report(files, pages, records, pieces))
