@@ -24,16 +24,25 @@ def normalise(text) -> Column:
 
     Only texts with an ampersand reach the Python worker; for the others it sees a null.
     """
-    plain = F.regexp_replace(col(text), "[\ufeff\u200b\u200c\u200d]", "")
+    plain = replaced(col(text), "[\ufeff\u200b\u200c\u200d]", "")
     plain = F.coalesce(_unescape(F.when(F.contains(plain, F.lit("&")), plain)), plain)
     return fold_space(F.replace(plain, F.lit("\u00a0"), F.lit(" ")))
 
 
+def replaced(text: Column, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` that copies a text only where something matches."""
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+
 def fold_space(text: Column) -> Column:
-    steps = [(r"\\([_*#\[\]()~`])", "$1"), (r"(?dm)[ \t]+$", ""), (U + r"[^\S\n]+", " "),
-             (r"\n{3,}", "\n\n")]
+    """Escapes undone, white space before line ends dropped, runs of it folded.
+
+    A run is matched only if it is not a single space already, so ordinary text is not rewritten.
+    """
+    runs = U + r"(?:[^\S\n ]| (?=[^\S\n]))[^\S\n]*"
+    steps = [(r"\\([_*#\[\]()~`])", "$1"), (r"(?dm)[ \t]+$", ""), (runs, " "), (r"\n{3,}", "\n\n")]
     for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = replaced(text, pattern, replacement)
     return strip(text)
 
 

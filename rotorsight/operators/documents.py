@@ -111,8 +111,8 @@ def classify_lines(pages: DataFrame) -> DataFrame:
 def outline(lines: DataFrame) -> DataFrame:
     """One small row per part: number of blocks, its headings, and its longest blocks.
 
-    Reads lines without their text, so only a few flags per line are shuffled. A block starts
-    with at most one heading.
+    Reads lines without their text, so only a few flags per line are read. A block starts with at
+    most one heading.
     """
     blocks = lines.groupBy(*PART, "block").agg(
         (F.sum("chars") + F.count(F.lit(1)) - 1).alias("size"),
@@ -171,11 +171,11 @@ def locator_json() -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """Semantic blocks with section path, type, ordinal and stable id.
 
-    The text is read twice: once without shuffling it, for the outline, and once to assemble the
-    blocks, which are shuffled by part. Everything carried between parts is small. Blocks before
-    the first heading of a source that has headings (cover, contents) are dropped.
+    Lines are classified and shuffled once and written; the outline reads their flags only, the
+    blocks their text. Everything carried between parts is small. Blocks before the first heading
+    of a source that has headings (cover, contents) are dropped.
     """
-    lines = classify_lines(pages)
+    lines = materialise(classify_lines(pages))
     parts = outline(lines)
     paths = materialise(heading_paths(parts))
     last_path = paths.groupBy(*PART).agg(F.max_by("path", "heading_no").alias("open_path"))

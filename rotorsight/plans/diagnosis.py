@@ -34,7 +34,9 @@ def analyse_telemetry(cases: DataFrame, frames: DataFrame) -> DataFrame:
 
 def gather(cases: DataFrame, frames: DataFrame, images: DataFrame) -> DataFrame:
     """Cases with data, text and vision evidence merged; one row per case."""
-    cases = C.engineer_text(C.default_windows(cases))
+    # One row per case and one per photo; several branches read them.
+    cases = materialise(C.engineer_text(C.default_windows(cases)))
+    images = materialise(images)
     data = analyse_telemetry(cases, frames)
     seen = vision.status(cases, images, vision.findings(images))
     texts = vision.summaries(vision.with_notes(images)).withColumnRenamed("summary", "vision_summary")

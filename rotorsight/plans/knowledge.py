@@ -11,10 +11,11 @@ from ..session import materialise
 def build(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean, structure and cut. Returns (clean pages, records, chunks).
 
-    Normalised pages are written once: three later steps read them (repeated lines, outline,
-    blocks), and running the regular expressions again costs more than reading the text back.
+    Normalised pages are written once: two later steps read them (repeated lines, structure), and
+    running the regular expressions again costs more than reading the text back. Records are
+    written once: chunks, reports and later builds start from them.
     """
     normal = materialise(documents.normalise_pages(pages))
     clean = documents.drop_header_lines(normal)
-    records = documents.records(clean)
+    records = materialise(documents.records(clean))
     return clean, records, chunking.chunks(records)

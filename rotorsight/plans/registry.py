@@ -11,7 +11,7 @@ from ..functions import text as TX
 from ..operators import (alarms as A, attribution, cases as C, chunking, delivery as D,
                          documents as P, manual as K,
                          measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S, vision as V)
-from ..session import configure
+from ..session import configure, materialise
 from ..sources import documents as DS, telemetry as TS
 from ..sources.config import RiskConfig, risk_matrix
 from . import diagnosis as X, knowledge, search, standin as N
@@ -51,6 +51,12 @@ def device_segments(spark, sf_dir):
     return runs, R.judge(S.segment_metrics(runs))
 
 
+def shared_segments(spark, sf_dir):
+    """Segments written once, for queries that read them in more than one branch."""
+    runs, seg = device_segments(spark, sf_dir)
+    return runs, materialise(seg)
+
+
 @query
 def segment_metrics(spark, sf_dir):
     _, seg = device_segments(spark, sf_dir)
@@ -89,20 +95,20 @@ def segment_rule_hits(spark, sf_dir):
 
 @query
 def window_rule_codes(spark, sf_dir):
-    _, seg = device_segments(spark, sf_dir)
+    _, seg = shared_segments(spark, sf_dir)
     return longs(R.window_codes(seg, ["device_id"]))
 
 
 @query
 def overall_view(spark, sf_dir):
-    runs, seg = device_segments(spark, sf_dir)
+    runs, seg = shared_segments(spark, sf_dir)
     return longs(S.overall_metrics(runs, seg).drop("window_start", "window_end")
                  .withColumn("avg_flow", stable_round("avg_flow", 6)))
 
 
 @query
 def measurements_long(spark, sf_dir):
-    runs, seg = device_segments(spark, sf_dir)
+    runs, seg = shared_segments(spark, sf_dir)
     rows = M.measurements(seg, S.overall_metrics(runs, seg), ["device_id"])
     return longs(rows.select(
         "device_id", "name", F.when(F.col("segment") == "overall", stable_round("value", 6))
@@ -111,7 +117,7 @@ def measurements_long(spark, sf_dir):
 
 @query
 def overall_measurements(spark, sf_dir):
-    runs, seg = device_segments(spark, sf_dir)
+    runs, seg = shared_segments(spark, sf_dir)
     rows = M.measurements(seg, S.overall_metrics(runs, seg), ["device_id"])
     names = ["max_temp_de", "max_vib_de", "max_vib_nde", "avg_flow", "min_press_in",
              "total_points"]
@@ -652,7 +658,7 @@ def image_uris(spark, sf_dir):
 @query
 def segment_views(spark, sf_dir):
     """Segments rebuilt from the long measurements."""
-    runs, seg = device_segments(spark, sf_dir)
+    runs, seg = shared_segments(spark, sf_dir)
     rows = M.measurements(seg, S.overall_metrics(runs, seg), ["device_id"])
     return longs(M.segment_views(seg, rows, ["device_id"]).select(
         "device_id", "seg_index", "state", *L.SEGMENT_UNITS))

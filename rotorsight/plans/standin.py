@@ -236,13 +236,10 @@ def manual_pages(documents: DataFrame) -> DataFrame:
 
 
 def csv_rows(frames: DataFrame) -> DataFrame:
-    """Telemetry as rows of one CSV file per device, with a header row."""
+    """Telemetry as rows of one CSV file per device, each with the file's header."""
     names = ["timestamp", "temp_de", "operating_state"]
-    header = frames.select(F.concat("device_id", F.lit(".csv")).alias("source"),
-                           F.lit(0).cast("long").alias("row_no"),
-                           F.array(*[F.lit(n) for n in names]).alias("cells")).distinct()
-    body = frames.select(
+    return frames.select(
         F.concat("device_id", F.lit(".csv")).alias("source"), (F.col("rn") + 1).alias("row_no"),
         F.array(F.date_format("timestamp", "HH:mm:ss"),
-                F.format_string("%.2f", "temp_de"), F.col("operating_state")).alias("cells"))
-    return header.unionByName(body)
+                F.format_string("%.2f", "temp_de"), F.col("operating_state")).alias("cells"),
+        F.array(*[F.lit(n) for n in names]).alias("header"))

@@ -80,26 +80,25 @@ def _parse_csv(contents: pd.Series) -> pd.DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank rows of CSV files: (source, row_no, cells, error); row 0 is the header."""
+    """Non-blank rows of CSV files: (source, row_no, cells, header, error); row 0 is the header."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
              .filter(suffix("path").isin(L.CSV_SUFFIXES)))
     parsed = files.select(F.col("path").alias("source"), _parse_csv("content").alias("p"))
     return parsed.select("source", F.posexplode_outer("p.rows").alias("row_no", "cells"),
-                         F.col("p.error").alias("error"))
+                         F.get("p.rows", F.lit(0)).alias("header"), F.col("p.error").alias("error"))
 
 
 def csv_pages(rows: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """CSV rows as pages: consecutive rows with one value of the segment column, 50 at most.
 
-    The runs are found in slices of rows and stitched, so a long file is not ordered in one task.
+    Every row brings its file's header, so nothing is joined on the file. The runs are found in slices of rows and stitched, so a long file is not ordered in one task.
     """
-    header = rows.filter(F.col("row_no") == 0).select("source", F.col("cells").alias("header"))
     names = F.transform("header", lambda c: F.lower(strip(c)))
     position = F.coalesce(*[F.nullif(F.array_position(names, c).cast("int"), F.lit(0))
                             for c in L.CSV_SEGMENT_COLUMNS])
     value = strip(F.coalesce(F.try_element_at("cells", F.col("seg_col")), F.lit("")))
     body = (rows.filter(F.col("row_no") > 0)
-            .join(header.withColumn("seg_col", position), "source")
+            .withColumn("seg_col", position)
             .withColumn("key", F.when(F.col("seg_col").isNull(), "").otherwise(value))
             .withColumn("slice", F.expr(f"row_no div {int(rows_per_slice)}"))
             .withColumn("line", F.array_join("cells", " | ", "")))
