@@ -290,6 +290,47 @@ def context_text(cases: DataFrame, blocks: DataFrame) -> DataFrame:
         "", ["context"]).fillna(0, ["hits", "left_out"])
 
 
+def result_text(reports: DataFrame, summary: DataFrame, contexts: DataFrame,
+                reranked: bool = True) -> DataFrame:
+    """Whole text per case: counts, a line per query with its report, then the context.
+
+    ``summary`` comes from ``retrieval_summary``, ``contexts`` from ``context_text``; both have a
+    row per case. Running times are left out: a case has none of its own in a shared job.
+    """
+    mark = F.when(F.col("low_confidence"), "✗ 低置信拒答").otherwise("✓")
+    number = lambda c: F.format_string("%.3f", stable_round(c, SCORE_DIGITS).cast("double"))
+    line = F.concat(
+        F.lit("  "), mark, F.lit(" "), F.col("returned").cast("string"),
+        F.lit(" 条 | retrieval_score top1="), number("top1"), F.lit(" 均值="), number("mean"),
+        F.lit(" 最低="), number("lowest"), F.lit(" 头距="), number("head_gap"), F.lit(" | 来源 "),
+        F.col("distinct_sources").cast("string"), F.lit(" 个"),
+        F.when(F.col("low_confidence"), "  ⚠️ 低置信").otherwise(""), F.lit("｜"), "query_text")
+    asked = reports.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if("low_confidence").alias("refused"),
+        F.array_sort(F.collect_list(F.struct("query_pos", line.alias("line")))).alias("lines"))
+    gaps = lambda arrow: F.concat(number("gap_before"), F.lit(arrow), number("gap_after"))
+    has_gap = F.col("gap_before").isNotNull() & F.lit(reranked)
+    head = F.concat(
+        F.lit("知识库检索结果｜共 "), F.col("queries").cast("string"), F.lit(" 条查询｜"),
+        F.col("queries").cast("string"), F.lit(" 条 query -> 去重后 "), F.col("docs").cast("string"),
+        F.lit(" 条片段 | 来源 "), F.col("sources").cast("string"), F.lit(" 个 | 低置信 "),
+        F.col("refused").cast("string"), F.lit(" 条 | " + ("重排" if reranked else "向量")),
+        F.when(has_gap, F.concat(F.lit(" | head_gap "), gaps("→"))).otherwise(""))
+    refused = F.when(F.col("refused") > 0, F.concat(
+        F.lit("（上述 "), F.col("refused").cast("string"),
+        F.lit(" 条查询知识库中无相关内容，按约定未返回其片段）")))
+    stage = F.when(has_gap, F.concat(F.lit("  （重排收敛：head_gap 均值 "), gaps(" → "), F.lit("）")))
+    if reranked:
+        stage = stage.otherwise(
+            "  （已启用重排：片段按重排分排序，下方分数为**重排分**，与相似度不可比）")
+    body = F.when(F.col("hits") == 0, "\n请如实告知用户知识库中没有相关资料，并可以建议用户换个说法或"
+                  "补充背景信息；不要凭已有知识作答。").otherwise(F.col("context"))
+    rows = asked.join(summary, "case_id").join(contexts, "case_id")
+    return rows.select("case_id", F.concat_ws(
+        "\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), refused, stage,
+        body).alias("text"))
+
+
 def refusal_text(report: DataFrame) -> DataFrame:
     """Message for refused queries and for queries without any hit."""
     refused = F.concat(

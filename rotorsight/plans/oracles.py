@@ -502,6 +502,21 @@ bs AS (SELECT *, sum(length(block)) OVER (PARTITION BY case_id ORDER BY position
 oracle("context_budget", BLOCKS, "SELECT case_id, position, chunk_id, length(block) AS block_chars, shown FROM bs")
 oracle("context_text", BLOCKS, """SELECT case_id, count(chunk_id) AS hits, count(*) FILTER (NOT shown) AS left_out, md5(concat_ws(chr(10), coalesce(string_agg(block, chr(10) ORDER BY position) FILTER (shown), ''),
   CASE WHEN count(*) FILTER (NOT shown) > 0 THEN chr(10) || printf('（其余 %d 条超出上下文预算，未展示）', count(*) FILTER (NOT shown)) END)) AS context_md5 FROM (SELECT DISTINCT case_id FROM q) LEFT JOIN bs USING (case_id) GROUP BY 1""")
+oracle("retrieval_text", BLOCKS + """,
+ql AS (SELECT case_id, count(*) AS queries, count(*) FILTER (low_confidence) AS refused, string_agg('  ' || CASE WHEN low_confidence THEN '✗ 低置信拒答' ELSE '✓' END || ' ' || returned
+    || printf(' 条 | retrieval_score top1=%.3f 均值=%.3f 最低=%.3f 头距=%.3f | 来源 ', top1, mean, lowest, head_gap) || distinct_sources || ' 个' || CASE WHEN low_confidence THEN '  ⚠️ 低置信' ELSE '' END
+    || '｜' || query_text, chr(10) ORDER BY query_pos) AS lines FROM rp GROUP BY 1),
+gp AS (SELECT case_id, avg(rp.head_gap) AS gb, avg(g.gap) AS ga FROM rp JOIN (
+     SELECT case_id, query_pos, coalesce(max(rerank) - max(rerank) FILTER (rerank_rank = 1), 0) AS gap FROM rr GROUP BY 1, 2) g USING (case_id, query_pos) GROUP BY 1),
+tx AS (SELECT case_id, string_agg(block, chr(10) ORDER BY position) FILTER (shown) AS blocks, count(*) AS docs, count(DISTINCT source) AS sources, count(*) FILTER (NOT shown) AS hidden FROM bs GROUP BY 1),
+al AS (SELECT ql.*, gb, ga, blocks, hidden, coalesce(docs, 0) AS docs, coalesce(sources, 0) AS sources FROM ql LEFT JOIN gp USING (case_id) LEFT JOIN tx USING (case_id)),
+ft AS (SELECT case_id, concat_ws(chr(10), '知识库检索结果｜共 ' || queries || ' 条查询｜' || queries || ' 条 query -> 去重后 ' || docs || ' 条片段 | 来源 ' || sources || ' 个 | 低置信 ' || refused || ' 条 | 重排'
+      || CASE WHEN gb IS NOT NULL THEN printf(' | head_gap %.3f→%.3f', gb, ga) ELSE '' END, lines,
+    CASE WHEN refused > 0 THEN '（上述 ' || refused || ' 条查询知识库中无相关内容，按约定未返回其片段）' END,
+    CASE WHEN gb IS NOT NULL THEN printf('  （重排收敛：head_gap 均值 %.3f → %.3f）', gb, ga) ELSE '  （已启用重排：片段按重排分排序，下方分数为**重排分**，与相似度不可比）' END,
+    CASE WHEN docs = 0 THEN chr(10) || '请如实告知用户知识库中没有相关资料，并可以建议用户换个说法或补充背景信息；不要凭已有知识作答。'
+      ELSE concat_ws(chr(10), coalesce(blocks, ''), CASE WHEN hidden > 0 THEN chr(10) || printf('（其余 %d 条超出上下文预算，未展示）', hidden) END) END) AS t FROM al)""",
+       "SELECT case_id, length(t) AS chars, md5(t) AS text_md5 FROM ft")
 oracle("refusals", SEARCH, """SELECT case_id, query_pos, '知识库中没有找到与问题相关的内容。' || chr(10) || '查询：' || query_text || chr(10) || printf('检索到的最高相似度 %.3f，低于置信度阈值 ', top1)
   || '0.5——按约定此时不提供片段，以免基于不相关内容编造答案。' || chr(10) || '请如实告知用户知识库中没有相关资料，并可以建议用户换个说法或补充背景信息；不要凭已有知识作答。' AS message FROM rp WHERE low_confidence""")
 oracle("query_cleanup", r"""

@@ -484,6 +484,17 @@ def context_text(spark, sf_dir):
         "case_id", "hits", "left_out", F.md5("context").alias("context_md5")))
 
 
+@query
+def retrieval_text(spark, sf_dir):
+    """The text a reader gets per case: head lines, reports and context."""
+    found = search_result(spark, sf_dir)
+    blocks = Q.context_blocks(found.merged, "rerank_score", True)
+    summary = Q.retrieval_summary(found.queries, found.merged, found.reports, found.rerank_reports)
+    text = Q.result_text(found.reports, summary, Q.context_text(found.queries, blocks))
+    return text.select("case_id", F.length("text").cast("long").alias("chars"),
+                       F.md5("text").alias("text_md5"))
+
+
 @query
 def refusals(spark, sf_dir):
     return longs(Q.refusal_text(search_result(spark, sf_dir).reports))
