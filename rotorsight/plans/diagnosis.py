@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import alarm_codes
+from ..functions.scalars import alarm_codes, iso
 from ..operators import attribution, cases as C, delivery, manual, rules, safety, segments, vision
 from ..session import materialise
 from ..sources.config import RiskConfig
@@ -29,7 +29,11 @@ def analyse_telemetry(cases: DataFrame, frames: DataFrame) -> DataFrame:
         alarm_codes(F.max("last_alarm")["alarm_code"]).alias("last")).select(
         "trace_id", "last", F.array_sort(F.array_distinct(
             F.flatten(F.transform("strings", lambda s: alarm_codes(s))))).alias("effective"))
-    return overall.join(codes, "trace_id", "left").join(alarms, "trace_id", "left")
+    listed = seg.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
+        "seg_index", "state", iso("start").alias("start"), iso("end").alias("end"), "data_points",
+        "rule_hits"))).alias("segments"))
+    return overall.join(codes, "trace_id", "left").join(alarms, "trace_id", "left").join(
+        listed, "trace_id", "left")
 
 
 def gather(cases: DataFrame, frames: DataFrame, images: DataFrame) -> DataFrame:

@@ -40,7 +40,19 @@ def test_bearing_case(spark, tmp_path):
     assert sum(line.startswith("- THRESHOLD: ") for line in lines) == 4
     delivery.write_reports(done, str(tmp_path))
     assert spark.read.json(str(tmp_path / "state")).first().decision == "BLOCK"
-    assert spark.read.json(str(tmp_path / "markdown")).count() == 1
+    written = spark.read.text(str(tmp_path / "markdown"), wholetext=True).collect()
+    assert len(written) == 1 and written[0].value == "\n".join(lines) + "\n"
+    text = written[0].value
+    assert "| max_temp_de | 85.5 | ℃ |" in text and "| total_points | 361 | count |" in text
+    assert "| DEGRADING | 2026-11-17T00:05:00 | 2026-11-17T00:30:00 | 301 | BEARING_TEMP_DE_TRIP, " in text
+    assert f"工程师描述：{row.user_query}" in text and "匹配词覆盖率：0.60。" in text
+    assert "未检索到规程证据。" not in text
+    barred = done.withColumns({"evidences": F.slice("evidences", 1, 0), "summary": F.lit("a|b\nc")})
+    other = delivery.report_lines(barred).first().lines
+    assert "未检索到规程证据。" in other and "| 综合归因 | a\\|b c |" in other
+    assert spark.range(1).select(*[delivery._general(F.lit(x)) for x in (
+        100.0, 0.31234567, 1234567.0, 0.0, 45.10, 0.00001234)]).first()[:] == (
+        "100", "0.312346", "1.23457e+06", "0", "45.1", "1.234e-05")
 
 
 def test_views_and_texts(spark):
