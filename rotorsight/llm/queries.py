@@ -39,6 +39,25 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+ORACLES["op1_suffix_array_dedup"] = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS n, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT n, i, hash(array_slice(b, i + 1, i + 400)) AS h
+      FROM (SELECT n, b, unnest(range(octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+s AS (SELECT n, i FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) r USING (h)),
+g AS (SELECT n, i, sum(new) OVER (PARTITION BY n ORDER BY i) AS run FROM (
+        SELECT n, i, CASE WHEN i <= lag(i) OVER (PARTITION BY n ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s)),
+r AS (SELECT n, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY n, run),
+k AS (SELECT n, a, z, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a), 0) AS before FROM r),
+p AS (SELECT n, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last,
+             string_agg(substring(hex(b), 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+      FROM k JOIN d USING (n) GROUP BY n)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substring(hex(b), 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN p USING (n)
+"""
+
+
 @query
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
