@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .. import limits as L
 
 SLICE_SECONDS = 3600           # 720 rows at one sample every 5 s
 SLICES_PER_BLOCK = 1024

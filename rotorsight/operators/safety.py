@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import limits as L
-from ..functions.scalars import (above, at_least, below, canonical_sha256, evidence_ref,
+from ..functions.scalars import (at_least, below, canonical_sha256, evidence_ref,
                                  text_array)
 from ..sources.config import RiskConfig
 from .attribution import any_flag, has_finding, is_leak

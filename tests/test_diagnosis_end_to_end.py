@@ -3,7 +3,6 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rotorsight import limits as L
 from rotorsight.operators import cases, delivery, measures, retrieval, rules, vision
 from rotorsight.operators.segments import overall_metrics, segment_metrics, telemetry_runs
 from rotorsight.plans import diagnosis, standin
