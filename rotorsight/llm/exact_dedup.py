@@ -140,7 +140,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
               .alias("b")).alias("best"))
     best = best.select(*KEY, "cls", "group_size", F.col("best.doc_id").alias("keep_id"),
                        F.col("best.k2").alias("keep_hash"))
-    joined = same.join(best, [*KEY, "cls"])
+    # Files on both sides: Spark can then split a class that holds very many rows.
+    joined = same.join(cut(best), [*KEY, "cls"])
     is_best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k2") == F.col("keep_hash"))
     return joined.select("doc_id", "keep_id", "group_size", "text_sha256", "k1", "k2",
                          is_best.alias("is_best"),
