@@ -39,7 +39,8 @@ def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = rows.groupBy("h1", "h2").agg(F.min("source").alias("low"), F.max("source").alias("high"))
     seen = rows.filter("source is not null").select("h1", "h2", "source")
     if min_sites > 1:
-        wide = spread.filter("low <> high").select("h1", "h2")
+        # Written first: Spark splits hot lines in a join of plain tables.
+        wide = cut(spread.filter("low <> high").select("h1", "h2"))
         seen = seen.join(wide, ["h1", "h2"], "left_semi")
     sites = cut(seen.distinct())
     sketched = sites.groupBy("h1", "h2").agg(
@@ -61,7 +62,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     rows = lines(docs)
     places = rows.select("k1", "k2", "place", "h1", "h2").join(
-        boilerplate(rows, min_sites).select("h1", "h2"), ["h1", "h2"]).groupBy("k1", "k2").agg(
+        cut(boilerplate(rows, min_sites).select("h1", "h2")), ["h1", "h2"]).groupBy("k1", "k2").agg(
         F.collect_set("place").alias("gone"))
     texts = docs.select("doc_id", id_text().alias("k1"), text_hash().alias("k2"),
                         F.coalesce("text", F.lit("")).alias("text"))
