@@ -25,16 +25,33 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 
 ALPHA = 0.4
-HOT = 1 << 18
+HOT = 1 << 16
 #: Documents and bytes of a pack, tokens of a bucket.
-PACK_DOCS = 8000
-PACK_BYTES = 32 << 20
-BUCKET_TOKENS = 750_000
+PACK_DOCS = 5000
+PACK_BYTES = 8 << 20
+BUCKET_TOKENS = 1_000_000
 DECIMALS = 6
 
+#: Bytes of partial sums that a task holds before it passes them on.
+SUM_BYTES = 16 << 20
+
 #: Stands after the last word of a document, so that every word is first in one bigram.
 END = np.uint64(0)
 U64, I64 = np.uint64, np.int64
+#: Words are told apart by so many bytes of their hash; between tasks they travel in these bytes.
+WORD_BYTES = 7
+WORD_MASK = (1 << 8 * WORD_BYTES) - 1
+
+
+def thin(hashes: np.ndarray) -> np.ndarray:
+    """Word hashes as rows of ``WORD_BYTES`` bytes."""
+    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+
+
+def wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
 
 
 def mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -60,13 +77,14 @@ def bigrams(bodies: list[bytes]):
         if row:
             words.append(-1)
     n, docs = len(known), max(1, len(bodies))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) | 1 for w in known), U64, n)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) & WORD_MASK | 1 for w in known), U64, n)
     hashes = np.append(hashes, END)
     ids = np.array(words, I64)
     ids[ids < 0] = n
     owner = np.repeat(np.arange(len(bodies)), sizes + (sizes > 0))
     start = np.nonzero(ids != n)[0]
     key = (ids[start] * (n + 1) + ids[start + 1]) * docs + owner[start] if len(start) else start
+    del words, ids, owner, start
     key, times = np.unique(key, return_counts=True)
     pair = key // docs
     return hashes, pair // (n + 1), pair % (n + 1), key % docs, times, sizes
@@ -197,6 +215,33 @@ class Writer:
         return out
 
 
+class Sums:
+    """Partial sums per pack over several buckets of a task, flushed at a bounded size."""
+
+    def __init__(self):
+        self.parts: dict[int, np.ndarray] = {}
+        self.bytes = 0
+
+    def add(self, uid: int, docs: np.ndarray, values: np.ndarray):
+        part = np.bincount(docs, values)
+        old = self.parts.get(uid)
+        if old is not None:
+            if len(old) > len(part):
+                part, old = old, part
+            else:
+                self.bytes += 8 * (len(part) - len(old))
+            part[:len(old)] += old
+        else:
+            self.bytes += 8 * len(part)
+        self.parts[uid] = part
+
+    def flush(self, writer: Writer, n_buckets: int, least: int):
+        if self.bytes >= least:
+            for uid, part in self.parts.items():
+                writer.add(SUMS, uid % n_buckets, uid, part)
+            self.parts, self.bytes = {}, 0
+
+
 def _groups(batches, column: str):
     """Rows sorted by a column -> (value, rows as dicts), one value at a time."""
     value, held = None, []
@@ -243,9 +288,11 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
             for i, (doc_id, n) in enumerate(zip(ids, sizes.tolist())):
                 writer.add(DOC, uid % n_buckets, uid, doc=i, n_words=n, doc_id=doc_id.as_py())
             if not len(first):
+                yield writer.batch()
                 continue
             h1, h2 = hashes[first], hashes[second]
             pair = mix(h1, h2)
+            del first, second
             hot_word, hot_pair = place_in(known.words, h1), place_in(known.pairs, pair)
             elsewhere = np.where(hot_pair >= 0, known.pair_counts[hot_pair] - times
                                  if len(known.pairs) else 0, 0)
@@ -267,8 +314,8 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
                 pairs_at = np.nonzero(new_p)[0]
                 firsts_at = np.nonzero(new_f[pairs_at])[0]
                 count = lambda starts, n: np.diff(np.append(starts, n)).astype(np.uint32)
-                writer.add(PACK, b, uid, f[pairs_at][firsts_at], count(firsts_at, len(pairs_at)),
-                           s[pairs_at], count(pairs_at, len(own)), doc[own].astype(np.uint16),
+                writer.add(PACK, b, uid, thin(f[pairs_at][firsts_at]), count(firsts_at, len(pairs_at)),
+                           thin(s[pairs_at]), count(pairs_at, len(own)), doc[own].astype(np.uint16),
                            times[own].astype(np.uint32))
             yield writer.batch()
         if writer and writer.rows:
@@ -287,6 +334,7 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
                 doc_type = batch.schema.field("doc_id").type
                 yield batch
 
+        sums = Sums()
         for bucket, group in _groups(typed(), "bucket"):
             writer = Writer(doc_type)
             for row in group:
@@ -294,12 +342,17 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
                     forward(writer, row)
             mine = [r for r in group if r["kind"] == PACK]
             if mine:
-                _count(writer, bucket, mine)
+                _count(writer, sums, bucket, mine)
+            sums.flush(writer, n_buckets, SUM_BYTES)
+            yield writer.batch()
+        if sums.parts:
+            writer = Writer(doc_type)
+            sums.flush(writer, n_buckets, 0)
             yield writer.batch()
 
-    def _count(writer, bucket, mine):
-        w1, n1 = _read(mine, "a", U64), _read(mine, "b", np.uint32)
-        w2, n2 = _read(mine, "c", U64), _read(mine, "d", np.uint32)
+    def _count(writer, sums, bucket, mine):
+        w1, n1 = [wide(r["a"]) for r in mine], _read(mine, "b", np.uint32)
+        w2, n2 = [wide(r["c"]) for r in mine], _read(mine, "d", np.uint32)
         doc = _cat(_read(mine, "e", np.uint16), np.uint16).astype(I64)
         times = _cat(_read(mine, "f", np.uint32), np.uint32).astype(I64)
         owner = np.repeat(np.arange(len(mine)), [int(x.sum()) for x in n2])
@@ -314,7 +367,7 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
         hot_at = place_in(known.words, words)
         if len(known.words):
             word_n = np.where(hot_at >= 0, known.word_counts[hot_at], word_n)
-        writer.add(TABLE, bucket, 0, words[hot_at < 0], word_n[hot_at < 0])
+        writer.add(TABLE, bucket, 0, thin(words[hot_at < 0]), word_n[hot_at < 0])
         entry = np.repeat(np.arange(len(second)), docs_of)
         elsewhere = total[entry] - times
         real = second[entry] != END
@@ -331,7 +384,7 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
         ends = np.concatenate([[0], np.cumsum([int(x.sum()) for x in n2])])
         for i, row in enumerate(mine):
             own = slice(ends[i], ends[i + 1])
-            writer.add(SUMS, row["uid"] % n_buckets, row["uid"], np.bincount(doc[own], value[own]))
+            sums.add(row["uid"], doc[own], value[own])
         rest = alone[hot_at < 0]
         wanted = second[entry[rest]]
         order = np.lexsort((wanted, wanted % U64(n_buckets)))
@@ -342,7 +395,7 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
             own, w = rest[edges[b]:edges[b + 1]], wanted[edges[b]:edges[b + 1]]
             starts = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
             here, small = np.unique(owner[own], return_inverse=True)
-            writer.add(WANTED, b, 0, w[starts], np.diff(np.append(starts, len(w))).astype(np.uint32),
+            writer.add(WANTED, b, 0, thin(w[starts]), np.diff(np.append(starts, len(w))).astype(np.uint32),
                        uids[here], small.astype(np.uint32), doc[own].astype(np.uint16),
                        times[own].astype(np.uint32))
 
@@ -355,23 +408,30 @@ def scores(docs: DataFrame, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS)
                 doc_type = batch.schema.field("doc_id").type
                 yield batch
 
-        for bucket, group in _groups(typed(), "bucket"):
+        sums = Sums()
+        for _, group in _groups(typed(), "bucket"):
             writer = Writer(doc_type)
             tables = [r for r in group if r["kind"] == TABLE]
-            words, counts = _cat(_read(tables, "a", U64), U64), _cat(_read(tables, "b", I64), I64)
+            words = _cat([wide(r["a"]) for r in tables], U64)
+            counts = _cat(_read(tables, "b", I64), I64)
             order = np.argsort(words)
             words, counts = words[order], counts[order]
             for row in group:
                 if row["kind"] in (SUMS, DOC):
                     forward(writer, row)
                 elif row["kind"] == WANTED:
-                    w, n, uids, owner, doc, times = (np.frombuffer(row[c], k) for c, k in zip(
-                        BINARY, (U64, np.uint32, I64, np.uint32, np.uint16, np.uint32)))
-                    c = np.repeat(counts[np.searchsorted(words, w)], n)
+                    n, uids, owner, doc, times = (np.frombuffer(row[c], k) for c, k in zip(
+                        BINARY[1:], (np.uint32, I64, np.uint32, np.uint16, np.uint32)))
+                    c = np.repeat(counts[np.searchsorted(words, wide(row["a"]))], n)
                     value = times * (math.log2(ALPHA) - log_total + np.log2(c))
                     for i, uid in enumerate(uids.tolist()):
                         own = owner == i
-                        writer.add(SUMS, 0, uid, np.bincount(doc[own].astype(I64), value[own]))
+                        sums.add(uid, doc[own].astype(I64), value[own])
+            sums.flush(writer, n_buckets, SUM_BYTES)
+            yield writer.batch()
+        if sums.parts:
+            writer = Writer(doc_type)
+            sums.flush(writer, n_buckets, 0)
             yield writer.batch()
 
     def add_up(batches):

@@ -34,7 +34,7 @@ def some_rows(seed):
     return rows + [(300, " ".join(rng.choices(names, k=30000)))]
 
 
-@pytest.mark.parametrize("hot,bucket,pack", [(1 << 18, 750_000, 8000), (64, 3000, 50), (4, 500, 7)])
+@pytest.mark.parametrize("hot,bucket,pack", [(1 << 16, 1_000_000, 5000), (64, 3000, 50), (4, 500, 7)])
 def test_equals_brute_force(spark, make_docs, monkeypatch, tmp_path, hot, bucket, pack):
     monkeypatch.setattr(lm, "PACK_DOCS", pack)
     rows = some_rows(hot)
