@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, decontaminate, exact_dedup, language, line_dedup, lm, quality, simhash,
-               suffix_dedup, url_filter)
+from . import (align, bpe, decontaminate, exact_dedup, filter_audit, language, line_dedup, lm,
+               quality, simhash, sketch, suffix_dedup, url_filter)
 from .common import cut, prepare
 
 QUERIES = {}
@@ -214,3 +214,92 @@ SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, len(parts) - coalesce(n_ke
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.n = d.n
 """
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+               max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t)
+                THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN first_id < w.doc_id THEN 16 ELSE 0 END AS mask
+  FROM w JOIN firsts USING (t) LEFT JOIN lab ON lab.doc_id = w.doc_id),
+l(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order,
+         [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM l a, l b, l c, l d, l e WHERE a.b + b.b + c.b + d.b + e.b = 31
+    AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS earlier
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+x AS (
+  SELECT part, filter_order, step, own, good, toxic, mask & own <> 0 AS fails,
+         mask & earlier <> 0 AS gone, mask FROM m, s),
+g AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (NOT fails AND NOT gone) AS kept,
+         count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+         count(*) FILTER (mask = own) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+
+@query
+def op12_document_fingerprints(spark, sf_dir):
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_document_fingerprints"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS (
+  SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER (ORDER BY doc_id)) AS next_t
+  FROM d WINDOW w AS (ORDER BY doc_id)),
+f AS (
+  SELECT doc_id, t, next_t, left(t, length(t) - length(t) // 2) || left(next_t, length(t) // 2) AS edited
+  FROM e),
+u AS (SELECT DISTINCT t FROM (SELECT t FROM f UNION ALL SELECT edited FROM f)),
+w AS (SELECT t, regexp_extract_all(t, '[^ 	-]+') AS ws FROM u),
+h AS (
+  SELECT t, md5(array_to_string(ws[i:i + 4], ' '))[1:16] AS x
+  FROM (SELECT t, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+s AS (
+  SELECT t, list_sort(list_distinct(list(x))) AS sk
+  FROM (SELECT t, x, min(x) OVER (PARTITION BY t) AS least FROM h)
+  WHERE x < '2000000000000000' OR x = least GROUP BY t),
+k AS (
+  SELECT f.doc_id, length(f.t) AS n_chars, sha256(f.edited) AS edited_sha256,
+         coalesce(a.sk, []) AS own, coalesce(b.sk, []) AS ed, coalesce(c.sk, []) AS nx
+  FROM f LEFT JOIN s a ON a.t = f.t LEFT JOIN s b ON b.t = f.edited LEFT JOIN s c ON c.t = f.next_t)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(own, '') AS fingerprint,
+       array_to_string(ed, '') AS edited_fingerprint,
+       CASE WHEN len(own) = 0 THEN CASE WHEN len(ed) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+            ELSE len(list_intersect(own, ed)) / len(own) END AS near_edited,
+       CASE WHEN len(own) = 0 THEN CASE WHEN len(nx) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+            ELSE len(list_intersect(own, nx)) / len(own) END AS near_next
+FROM k
+"""
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+    return align.alignment(table(spark, sf_dir, "documents"),
+                           public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
