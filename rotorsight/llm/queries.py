@@ -269,13 +269,15 @@ def op12_document_fingerprints(spark, sf_dir):
 ORACLES["op12_document_fingerprints"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 e AS (
-  SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER (ORDER BY doc_id)) AS next_t
+  SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next_t,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
   FROM d WINDOW w AS (ORDER BY doc_id)),
 f AS (
-  SELECT doc_id, t, next_t, left(t, length(t) - length(t) // 2) || left(next_t, length(t) // 2) AS edited
+  SELECT doc_id, next_id, t, next_t, left(t, length(t) - length(t) // 2) || left(next_t, length(t) // 2) AS edited
   FROM e),
 u AS (SELECT DISTINCT t FROM (SELECT t FROM f UNION ALL SELECT edited FROM f)),
-w AS (SELECT t, regexp_extract_all(t, '[^ 	-]+') AS ws FROM u),
+w AS (SELECT t, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM u),
 h AS (
   SELECT t, md5(array_to_string(ws[i:i + 4], ' '))[1:16] AS x
   FROM (SELECT t, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
@@ -284,10 +286,10 @@ s AS (
   FROM (SELECT t, x, min(x) OVER (PARTITION BY t) AS least FROM h)
   WHERE x < '2000000000000000' OR x = least GROUP BY t),
 k AS (
-  SELECT f.doc_id, length(f.t) AS n_chars, sha256(f.edited) AS edited_sha256,
+  SELECT f.doc_id, next_id, length(f.t) AS n_chars, sha256(f.edited) AS edited_sha256,
          coalesce(a.sk, []) AS own, coalesce(b.sk, []) AS ed, coalesce(c.sk, []) AS nx
   FROM f LEFT JOIN s a ON a.t = f.t LEFT JOIN s b ON b.t = f.edited LEFT JOIN s c ON c.t = f.next_t)
-SELECT doc_id, n_chars, edited_sha256, array_to_string(own, '') AS fingerprint,
+SELECT doc_id, next_id, n_chars, edited_sha256, array_to_string(own, '') AS fingerprint,
        array_to_string(ed, '') AS edited_fingerprint,
        CASE WHEN len(own) = 0 THEN CASE WHEN len(ed) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
             ELSE len(list_intersect(own, ed)) / len(own) END AS near_edited,

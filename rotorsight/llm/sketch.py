@@ -51,9 +51,21 @@ def containment(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def as_text(sketch: Column) -> Column:
-    """A sketch as one string: its hashes in order, ``DIGITS`` digits each."""
-    return F.array_join(sketch, "")
+def pack(sketch: Column) -> Column:
+    """A sketch as bytes, its hashes one after the other in order."""
+    return F.unhex(F.array_join(sketch, ""))
+
+
+def unpack(packed: Column) -> Column:
+    """The sketch that ``pack`` made bytes of."""
+    places = F.sequence(F.lit(0), F.octet_length(packed) - 1, F.lit(DIGITS // 2))
+    return F.when(F.octet_length(packed) == 0, F.expr(_EMPTY)).otherwise(F.transform(
+        places, lambda i: F.lower(F.hex(F.substring(packed, i + 1, F.lit(DIGITS // 2))))))
+
+
+def as_text(packed: Column) -> Column:
+    """A packed sketch as one string, ``DIGITS`` digits per hash."""
+    return F.lower(F.hex(packed))
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -63,70 +75,64 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
         name, keep(F.col("_hashes"))).drop("_words", "_hashes")
 
 
-def neighbours(texts: DataFrame) -> DataFrame:
-    """Distinct (k1, h) of ``texts`` -> (k1, h, n, copies, before): the row before it in order.
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Distinct rows (doc_id, k1, h, n) -> (k1, h, before): the row (k1, h, n) before it in order.
 
-    ``texts`` has doc_id, k1, h, n. The order is that of doc_id (nulls first), then hash; the row
-    before the first is the last. Ids alone are sorted, in ranges; every range hands its last row
-    to the next one, so only one row per range meets in one task.
+    The order is that of doc_id (nulls first), then hash; the row before the first is the last.
+    Ids alone are sorted, in ranges; every range hands its last row to the next one, so that only
+    one row per range meets in one task.
     """
-    thin = cut(texts.groupBy("doc_id", "k1", "h", "n").agg(F.count(F.lit(1)).alias("copies"))
-               .repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id()))
+    thin = cut(rows.distinct().repartitionByRange("doc_id", "h").withColumn(
+        "part", F.spark_partition_id()))
     order = Window.partitionBy("part").orderBy("doc_id", "h")
-    row = F.struct("k1", "h", "n")
     lasts = thin.groupBy("part").agg(F.max(F.struct("doc_id", "h", "k1", "n")).alias("x")).select(
         "part", F.struct("x.k1", "x.h", "x.n").alias("last"))
     parts = Window.orderBy("part")
     everything = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     borders = lasts.select("part", F.coalesce(
         F.lag("last").over(parts), F.last("last").over(everything)).alias("border"))
-    return thin.withColumn("before", F.lag(row).over(order)).join(borders, "part").select(
-        "k1", "h", "n", "copies", F.coalesce("before", "border").alias("before"))
+    return thin.withColumn("before", F.lag(F.struct("k1", "h", "n")).over(order)).join(
+        borders, "part").select("k1", "h", F.coalesce("before", "border").alias("before"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` its fingerprint, that of its edited text, and how alike they are.
 
     Columns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The edited text is the document without its last floor(n_chars / 2) code points,
-    followed by as many of the first ones of the next document (all, if it has fewer); after the
-    last document comes the first. near_edited and near_next are the estimated containments of the
-    document in the edited text and in the next document. Null texts count as empty; an empty text
-    has the empty fingerprint. Rows with equal ids follow in the order of their hashes, rows
-    without an id come first; rows that repeat as a whole share one place and one result. A text
-    of any length is one row, and the sketch keeps its share of it. An empty table gives an empty
-    result; other columns are not read.
-
-    Texts are shuffled once to meet the place of their neighbour, their halves once more to meet
-    the document that they belong to.
+    near_next, next_id. The edited text is the document without its last floor(n_chars / 2) code
+    points, followed by as many of the first ones of the next document (all, if it has fewer);
+    after the last document comes the first. near_edited and near_next are the estimated
+    containments of the document in the edited text and in the next document. Null texts count as
+    empty; an empty text has the empty fingerprint. Rows with equal ids follow in the order of
+    their hashes, rows without an id come first; rows that repeat as a whole share one place and
+    one result. A text of any length is one row, and the sketch keeps its share of it. An empty
+    table gives an empty result; other columns are not read.
+
+    Texts and sketches are shuffled once, by document; of each, the part that the document before
+    needs once more.
     """
     texts = docs.select("doc_id", id_text().alias("k1"), text_hash().alias("h"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    near = neighbours(texts.withColumn("n", F.length("text")).drop("text"))
-    rows = with_sketch(texts.join(near, ["k1", "h"]), "text", "sketch")
-    own = F.struct("k1", "h", "doc_id", "n", "copies", "sketch",
-                   F.expr("left(text, n - n div 2)").alias("head"),
-                   F.expr("cast(null as array<string>)").alias("next_sketch"),
-                   F.expr("cast(null as string)").alias("tail"))
-    kind = docs.schema["doc_id"].dataType
-    given = F.struct(F.col("before.k1").alias("k1"), F.col("before.h").alias("h"),
-                     F.lit(None).cast(kind).alias("doc_id"), F.expr("cast(null as int)").alias("n"),
-                     F.expr("cast(null as long)").alias("copies"),
-                     F.expr("cast(null as array<string>)").alias("sketch"),
-                     F.expr("cast(null as string)").alias("head"),
-                     F.col("sketch").alias("next_sketch"),
-                     F.expr("left(text, before.n div 2)").alias("tail"))
-    # Rows that repeat as a whole agree in all columns, so the maximum folds them.
-    met = rows.select(F.explode(F.array(own, given)).alias("x")).select("x.*").groupBy("k1", "h").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "n", "copies", "sketch", "head", "next_sketch",
-                                      "tail")))
-    edited = met.withColumn("edited", F.concat("head", "tail"))
-    done = with_sketch(edited, "edited", "edited_sketch").select(
+    near = neighbours(texts.select("doc_id", "k1", "h", F.length("text").alias("n")))
+    sketched = with_sketch(texts, "text", "sketch")
+    rows = sketched.groupBy("k1", "h").agg(
+        F.max(F.struct("doc_id", "text", pack(F.col("sketch")).alias("sketch"))).alias("own"),
+        F.count(F.lit(1)).alias("copies"))
+    # Both uses of rows read the same columns, so that Spark shuffles the texts once.
+    given = rows.filter("copies > 0").join(near, ["k1", "h"]).select(
+        "before.k1", "before.h", F.struct(
+            "own.doc_id", F.expr("left(own.text, before.n div 2)").alias("text"),
+            "own.sketch").alias("next")).groupBy("k1", "h").agg(F.max("next").alias("next"))
+    met = rows.filter("copies > 0").join(given, ["k1", "h"]).select(
+        "own.doc_id", "copies", F.length("own.text").alias("n"), F.col("own.sketch").alias("packed"),
+        unpack(F.col("own.sketch")).alias("sketch"), unpack(F.col("next.sketch")).alias("next_sketch"),
+        F.col("next.doc_id").alias("next_id"),
+        F.expr("left(own.text, length(own.text) - length(own.text) div 2) || next.text").alias("edited"))
+    return with_sketch(met, "edited", "edited_sketch").select(
         "doc_id", F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        as_text(F.col("packed")).alias("fingerprint"),
+        F.array_join("edited_sketch", "").alias("edited_fingerprint"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return done.drop("copy")
+        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_id",
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
