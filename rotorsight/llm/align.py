@@ -28,9 +28,9 @@ from .common import cut
 FREQUENT = 2.0 ** -17
 #: Bytes of pieces encoded at once; pieces whose links are counted at once; different pieces and
 #: pairs that a task keeps in memory.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 18
 PIECES = 1 << 19
-KNOWN = 1 << 19
+KNOWN = 3 << 17
 PAIRS = 1 << 19
 
 ROW = ("doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
