@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import limits as L
 from ..functions.scalars import evidence_ref, text_array
+from .terms import found_terms
 
 TOP_CLAUSES = 5
 
@@ -70,32 +71,18 @@ def builtin_topics(cases: DataFrame) -> DataFrame:
 def clause_scores(cases: DataFrame, clauses: DataFrame) -> DataFrame:
     """Score of every clause with at least one matching term: matched terms / terms.
 
-    A term matches when it is one of the case's rule codes or occurs in its text. Instead of
-    testing every case against every clause, terms are found by their first characters, as many
-    as the shortest term has: one equi-join with the pieces of that length in the text. What it
-    finds is checked against the whole term. The texts themselves take part in no join but the
-    last one, by case.
+    A term matches when it is one of the case's rule codes or occurs in its text. Rule codes are
+    compared by an equi-join, texts by automata over all terms: what comes back are matches, so
+    the join with the clauses meets nothing that does not count.
     """
     terms = clauses.select("doc_id", "chunk_id", F.posexplode(
         F.concat("rule_codes", "keywords")).alias("term_pos", "term"))
     sizes = clauses.select("doc_id", "chunk_id", F.size(F.concat("rule_codes", "keywords"))
                            .alias("n_terms"))
     usable = terms.filter(F.length("term") > 0)
-    shortest = F.coalesce(usable.agg(F.min(F.length("term"))).scalar(), F.lit(1))
     note = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("alarm_code", F.lit("")))
-    noted = cases.select("trace_id", "flags", note.alias("note")).withColumn("m", shortest)
-    starts = F.when(F.length("note") >= F.col("m"),
-                    F.sequence(F.lit(1), F.length("note") - F.col("m") + 1))
-    pieces = F.transform(F.coalesce(starts, F.array().cast("array<int>")),
-                         lambda i: F.substring(F.col("note"), i, F.col("m")))
-    codes = F.transform("flags", lambda c: F.substring(c, F.lit(1), F.col("m")))
-    probes = noted.select("trace_id", F.explode(F.array_distinct(F.concat(codes, pieces)))
-                          .alias("begin"))
-    keyed = usable.withColumn("m", shortest).withColumn(
-        "begin", F.substring("term", F.lit(1), F.col("m"))).drop("m")
-    found = probes.join(keyed, "begin").drop("begin").join(
-        noted.select("trace_id", "flags", "note"), "trace_id").filter(
-        F.array_contains("flags", F.col("term")) | F.contains("note", "term"))
+    found = found_terms(cases, "trace_id", note, usable.select("term")).union(
+        cases.select("trace_id", F.explode("flags"))).join(usable, "term")
     hits = found.groupBy("trace_id", "doc_id", "chunk_id").agg(
         F.countDistinct("term_pos").alias("hits"))
     return hits.join(sizes, ["doc_id", "chunk_id"]).withColumn(
