@@ -477,6 +477,14 @@ def search_ctes(parts: int, pre: str = "") -> str:
 
 SEARCH = search_ctes(4)
 oracle("topk_cosine", SEARCH, f"SELECT case_id, query_pos, chunk_id, rank, {rnd('score', 6)} AS score FROM rk WHERE rank < 5")
+oracle("indexed_exhaustive", "", f"""SELECT case_id, query_pos, chunk_id, rank, {rnd('score', 6)} AS score FROM (
+  SELECT CAST(q.label AS BIGINT) AS case_id, q.vec_id AS query_pos, c.vec_id AS chunk_id, s AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, c.vec_id) - 1 AS rank
+  FROM embeddings q, embeddings c, LATERAL (SELECT greatest(-1.0, least(1.0, list_dot_product(
+    CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))) AS s) WHERE q.vec_id % 100 = 0) WHERE rank < 15""")
+oracle("term_documents", "", """SELECT term, count(*) AS n_docs FROM (
+  SELECT DISTINCT term FROM (SELECT unnest(string_split(text, ' ')) AS term FROM benchmark) WHERE length(term) >= 6)
+  JOIN documents ON contains(text, term) GROUP BY term""")
 oracle("min_score_hits", SEARCH, "SELECT case_id, query_pos, chunk_id, rank FROM rk WHERE rank < 15 AND score >= 0.45")
 oracle("retrieval_report", SEARCH, f"""SELECT case_id, query_pos, returned, {rnd('top1', 6)} AS top1, {rnd('mean', 6)} AS mean, {rnd('lowest', 6)} AS lowest,
   {rnd('head_gap', 6)} AS head_gap, distinct_sources, low_confidence FROM rp""")

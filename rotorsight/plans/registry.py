@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import limits as L
@@ -10,8 +12,9 @@ from ..functions.scalars import (alarm_from_readings, data_url, image_type, iso,
 from ..functions import text as TX
 from ..operators import (alarms as A, attribution, cases as C, chunking, delivery as D,
                          documents as P, manual as K,
-                         measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S, vision as V)
-from ..session import configure, materialise
+                         measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S,
+                         terms as T, vector_index as VI, vision as V)
+from ..session import configure, materialise, shared_folder
 from ..sources import documents as DS, telemetry as TS
 from ..sources.config import RiskConfig, risk_matrix
 from . import diagnosis as X, knowledge, search, standin as N
@@ -414,6 +417,41 @@ def topk_cosine(spark, sf_dir):
                               stable_round("score", 6).alias("score")))
 
 
+def indexed_search(spark, sf_dir, n_lists, n_probe=None):
+    """Every hundredth vector against an index of all of them; probes as the recall needs."""
+    vectors = N.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    index = VI.build(vectors, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", n_lists)
+    queries = vectors.filter("chunk_id % 100 = 0").select(
+        F.col("label").cast("long").alias("case_id"), F.col("chunk_id").alias("query_pos"),
+        F.col("embedding").cast("array<double>").alias("query_vec"))
+    if n_probe is None:
+        n_probe = VI.enough_probes(index, vectors, queries, L.DEFAULT_RECALL_K)
+    found = VI.search(index, queries, L.DEFAULT_RECALL_K, n_probe)
+    return longs(found.select("case_id", "query_pos", "chunk_id", "rank",
+                              stable_round("score", 6).alias("score")))
+
+
+@query
+def indexed_top_k(spark, sf_dir):
+    """As many lists per query as a measured recall of 95 % needs; tests measure the result."""
+    return indexed_search(spark, sf_dir, 32)
+
+
+@query
+def indexed_exhaustive(spark, sf_dir):
+    """With all lists probed, codes and re-scoring give the exact result."""
+    return indexed_search(spark, sf_dir, 32, 32)
+
+
+@query
+def term_documents(spark, sf_dir):
+    """In how many documents each word of the benchmark occurs as a part of the text."""
+    words = N.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("term"))
+    found = T.found_terms(N.table(spark, sf_dir, "documents"), "doc_id", F.col("text"),
+                          words.filter(F.length("term") >= 6))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 @query
 def min_score_hits(spark, sf_dir):
     vectors = N.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
