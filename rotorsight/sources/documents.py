@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import limits as L
 from ..functions.scalars import image_type, strip
 from ..operators.runs import Series, number_runs, segment_number, stitch
 from ..session import materialise
+from .csv_files import read_rows as read_csv_rows
 
 PAGE_COLUMNS = ["source", "file_type", "part", "page", "sheet_name", "text"]
 ROWS_PER_SLICE = 4096
@@ -26,7 +23,8 @@ def suffix(path) -> Column:
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a folder with its suffix; contents are not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select("path", "length", suffix("path").alias("suffix")))
+            .select("path", "length", suffix("path").alias("suffix"),
+                    F.col("_metadata.file_path").alias("source")))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -59,35 +57,6 @@ def sheet_pages(rows: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("page"), "sheet_name", "text")
 
 
-CSV_RESULT = StructType([StructField("rows", ArrayType(ArrayType(StringType()))),
-                         StructField("error", StringType())])
-
-
-@F.pandas_udf(CSV_RESULT)
-def _parse_csv(contents: pd.Series) -> pd.DataFrame:
-    def parse(data):
-        for encoding in L.CSV_ENCODINGS:
-            try:
-                text = data.decode(encoding)
-            except UnicodeDecodeError:
-                continue
-            try:
-                return [r for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)], None
-            except csv.Error as broken:
-                return None, f"not readable as CSV: {broken}"
-        return None, "unknown encoding"
-    return pd.DataFrame([parse(d) for d in contents], columns=["rows", "error"])
-
-
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank rows of CSV files: (source, row_no, cells, header, error); row 0 is the header."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .filter(suffix("path").isin(L.CSV_SUFFIXES)))
-    parsed = files.select(F.col("path").alias("source"), _parse_csv("content").alias("p"))
-    return parsed.select("source", F.posexplode_outer("p.rows").alias("row_no", "cells"),
-                         F.get("p.rows", F.lit(0)).alias("header"), F.col("p.error").alias("error"))
-
-
 def csv_pages(rows: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """CSV rows as pages: consecutive rows with one value of the segment column, 50 at most.
 
@@ -137,6 +106,27 @@ def load_report(files: DataFrame, pages: DataFrame, failed: DataFrame | None = N
     return counts.withColumns({"docs_loaded": loaded.scalar(), "files_failed": errors})
 
 
+def load_outcomes(files: DataFrame, pages: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row per file: source, outcome (loaded, skipped, failed), reason, docs_loaded.
+
+    ``failed`` has source and error. A folder scan skips suffixes that no reader takes, among them
+    CSV files, unless pages or failures show that they were read on purpose.
+    """
+    known = L.PDF_SUFFIXES + L.EXCEL_SUFFIXES + L.MARKDOWN_SUFFIXES
+    # Readers write the same place with one slash or three.
+    place = F.regexp_replace("source", "^([a-z0-9]+):/+", "$1:/").alias("place")
+    docs = pages.groupBy(place).agg(F.count(F.lit(1)).alias("docs_loaded"))
+    errors = failed.filter("error is not null").groupBy(place).agg(F.min("error").alias("error"))
+    joined = files.select("source", "suffix", place).join(docs, "place", "left").join(
+        errors, "place", "left")
+    unread = ~F.col("suffix").isin(known) & F.col("docs_loaded").isNull()
+    outcome = F.when(F.col("error").isNotNull(), "failed").when(unread, "skipped").otherwise("loaded")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(
+        unread, F.concat(F.lit("no reader for suffix '"), "suffix", F.lit("'")))
+    return joined.select("source", outcome.alias("outcome"), reason.alias("reason"),
+                         F.coalesce("docs_loaded", F.lit(0)).alias("docs_loaded"))
+
+
 def build_report(files: int, pages: DataFrame, records: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row with the counts of every step."""
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
