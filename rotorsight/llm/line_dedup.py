@@ -16,6 +16,8 @@ MIN_SITES = 10
 #: Size of a sketch (2 ** LG_K registers) and its relative standard error.
 LG_K = 10
 ERROR = 1.04 / 2 ** (LG_K / 2)
+#: A character that is not white space.
+VISIBLE = "[^\\x20\\x09-\\x0D]"
 #: Estimates within so many standard errors of the threshold are counted exactly.
 DEVIATIONS = 6
 
@@ -25,7 +27,7 @@ def lines(docs: DataFrame) -> DataFrame:
     parts = docs.select(id_text().alias("k1"), text_hash().alias("k2"), "source",
                         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
                         .alias("place", "line"))
-    return parts.filter(F.trim("line") != "").select(
+    return parts.filter(F.col("line").rlike(VISIBLE)).select(
         "k1", "k2", "source", "place", F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -42,22 +44,25 @@ def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         # Written first: Spark splits hot lines in a join of plain tables.
         wide = cut(spread.filter("low <> high").select("h1", "h2"))
         seen = seen.join(wide, ["h1", "h2"], "left_semi")
-    sites = cut(seen.distinct())
-    sketched = sites.groupBy("h1", "h2").agg(
+    seen = cut(seen)
+    # Sketches are built where the lines are read and merged by the aggregation.
+    sketched = seen.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("n_sites"))
     band = max(1.0, DEVIATIONS * ERROR * min_sites)
     near = F.abs(F.col("n_sites") - min_sites) <= band
     sketched = cut(sketched)
-    exact = sites.join(sketched.filter(near).select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy(
-        "h1", "h2").agg(F.count(F.lit(1)).alias("n_sites"))
+    exact = seen.join(cut(sketched.filter(near).select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy(
+        "h1", "h2", "source").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(
+        F.count("one").alias("n_sites"))
     return sketched.filter(~near).union(exact).filter(F.col("n_sites") >= min_sites)
 
 
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text (of the lines that stay).
 
-    Lines are the parts between line feeds; those of white space only are never removed. The
-    places of removed lines are gathered per document, so lines themselves are never shuffled.
+    Lines are the parts between line feeds; those of white space only (also a lone carriage
+    return) are never removed. The places of removed lines are gathered per document, so lines
+    themselves are never shuffled; the work is linear in the lines of a document.
     Null texts count as empty; repeated rows have equal results. Other columns are not read.
     """
     rows = lines(docs)
@@ -68,8 +73,10 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
                         F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(places, ["k1", "k2"], "left").withColumn("parts", F.split("text", "\n", -1))
     gone = F.coalesce("gone", F.array().cast("array<int>"))
+    # A set difference is linear in the lines of a document.
+    stays = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), gone)
     return joined.select(
         "doc_id", F.size("parts").cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
-        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(
-            "parts", lambda x, i: ~F.array_contains(gone, i)), "\n")).alias("text"))
+        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(
+            stays, lambda i: F.get("parts", i)), "\n")).alias("text"))

@@ -206,7 +206,7 @@ ORACLES["op10_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, source, row_number() OVER () AS n,
                   string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT n, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM d),
-wide AS (SELECT line FROM l WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+wide AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
 kept AS (
   SELECT n, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n_kept
   FROM l WHERE line NOT IN (SELECT line FROM wide) GROUP BY n)
