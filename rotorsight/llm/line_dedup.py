@@ -24,9 +24,11 @@ DEVIATIONS = 6
 
 def lines(docs: DataFrame) -> DataFrame:
     """One row per line of one or more characters that are not white space: key, place, hashes."""
-    parts = docs.select(id_text().alias("k1"), text_hash().alias("k2"), "source",
-                        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-                        .alias("place", "line"))
+    # Keys first: beside the generator they would be computed once per line.
+    keyed = docs.select(id_text().alias("k1"), text_hash().alias("k2"), "source", "text")
+    parts = keyed.select("k1", "k2", "source",
+                         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+                         .alias("place", "line"))
     return parts.filter(F.col("line").rlike(VISIBLE)).select(
         "k1", "k2", "source", "place", F.xxhash64("line").alias("h1"),
         F.xxhash64(F.lit(1), "line").alias("h2"))
