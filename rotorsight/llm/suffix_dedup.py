@@ -8,11 +8,18 @@ with a different continuation within the depth that matters.
 
 The dictionary holds the distinct phrases, the parse says where they occur. Phrases that occur
 twice repeat as a whole. The others share strings at most with phrases of the same seed (the
-``SEED_BYTES`` bytes from the trigger on), so the suffixes of the phrases of one seed are put in
-order (a suffix array of that part of the dictionary, to a depth of ``LENGTH``), and neighbours
-whose common prefix reaches ``LENGTH`` are repeats. Because phrases overlap by the depth of the
-order, the parse only has to supply how often and where phrases occur; its own order decides no
-tie. Seeds with very many distinct phrases are ordered by Spark instead of in one task.
+``SEED_BYTES`` bytes from the trigger on). The strings of such phrases (suffixes of the dictionary
+to a depth of ``LENGTH``) fall into classes of equal ones in two refinements, both plain
+aggregations over all of them, so that no group of phrases ever meets in one task:
+
+* bands of ``WIDTH`` neighbouring strings, at fixed distances from the trigger. Bands that cover
+  equal bytes repeat as a whole, and one of them stands for all from there on; bands whose common
+  bytes occur in no other phrase repeat nowhere. Both are then decided.
+* the single strings of the bands left over.
+
+Because phrases overlap by that depth, the parse only has to supply how often and where phrases
+occur. Classes, not the order between them, are what decides; a sorted array of all suffixes is not
+kept. Phrases are told apart by 128 bits (seed and phrase), bands and strings by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,8 +38,8 @@ LENGTH = 400
 ROLL = 8
 GAP = 200
 SEED_BYTES = LENGTH - GAP
-#: Distinct phrases of one seed that are ordered in one task.
-SEED_PHRASES = 256
+#: Neighbouring strings of a phrase that are compared at once.
+WIDTH = 16
 
 
 def triggers(data: np.ndarray, gap: int = GAP) -> np.ndarray:
@@ -67,31 +74,6 @@ def phrases(data: bytes):
             for t, lo, hi in zip(at[lows].tolist(), lows, highs)]
 
 
-def repeats(group: list[tuple[bytes, int]]) -> list[np.ndarray]:
-    """Phrases of one seed with their counts -> per phrase, which of its strings repeat.
-
-    Orders all suffixes of at least ``LENGTH`` bytes to that depth; a string repeats if a
-    neighbour in the order has the same first ``LENGTH`` bytes, or its phrase occurs twice.
-    """
-    entries = sorted((data[q:q + LENGTH], i, q) for i, (data, _) in enumerate(group)
-                     for q in range(len(data) - LENGTH + 1))
-    flags = [np.full(len(data) - LENGTH + 1, n > 1) for data, n in group]
-    for (a, i, p), (b, j, q) in zip(entries, entries[1:]):
-        if a == b:
-            flags[i][p] = flags[j][q] = True
-    return flags
-
-
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last place of each run of set flags."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return list(zip(np.nonzero(edge == 1)[0].tolist(), (np.nonzero(edge == -1)[0] - 1).tolist()))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _parse(batches):
     names = ["k1", "k2", "seed", "phrase", "back", "low", "high"]
     for batch in batches:
@@ -114,42 +96,56 @@ def parse(texts: DataFrame) -> DataFrame:
         _parse, "k1 string, k2 long, seed long, phrase long, back int, low int, high int")
 
 
-def _order(batches):
-    """Rows (seed, phrase, n, body) sorted by seed -> (seed, phrase, first, last) of repeats."""
-    held: list = []
+def bands(body: bytes, back: int):
+    """Rows (first, last, narrow, wide) of the bands of a phrase whose trigger is at ``back``.
+
+    Strings start in first..last. ``narrow`` is a digest of the bytes that every string of the band
+    holds wherever it occurs, ``wide`` one of the bytes that the strings here cover.
+    """
+    digest, near = xxhash.xxh3_128_digest, back - (len(body) - LENGTH)
+    for start in range(near - near % WIDTH, back + 1, WIDTH):
+        end = start + WIDTH - 1
+        lo, hi = max(start, near), min(end, back)
+        yield (back - hi, back - lo, digest(body[back - start:back - end + LENGTH], seed=start),
+               digest(body[back - hi:back - lo + LENGTH], seed=lo * LENGTH + hi))
 
-    def solve(rows):
-        flags = repeats([(body, n) for _, _, n, body in rows])
-        return [(s, p, a, b) for (s, p, n, _), f in zip(rows, flags) if n == 1 for a, b in runs(f)]
 
-    def out(rows):
-        cols = list(zip(*rows)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-            names=["seed", "phrase", "first", "last"])
+_PLACE = "k1 string, k2 long, low int"
+
 
+def _bands(batches):
+    """Rows (k1, k2, low, once, back, body) -> (k1, k2, low, once, first, last, narrow, wide)."""
     for batch in batches:
-        found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if held and held[0][0] != row[0]:
-                found += solve(held)
-                held = []
-            held.append(row)
-        yield out(found)
-    if held:
-        yield out(solve(held))
-
-
-def _spread(batches):
-    """Rows (seed, phrase, n, body) -> (seed, phrase, n, place, digest) per string of a phrase."""
+        owner, rows = [], []
+        for i, (low, back, x) in enumerate(zip(
+                batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5))):
+            found = [(low + a, low + b, n, w) for a, b, n, w in bands(x.as_py(), back)]
+            owner.extend([i] * len(found))
+            rows.extend(found)
+        cols = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.select([0, 1, 2, 3]).take(pa.array(owner, pa.int64())).columns,
+             *(pa.array(c, t) for c, t in zip(cols, kinds))],
+            names=["k1", "k2", "low", "once", "first", "last", "narrow", "wide"])
+
+
+def _strings(batches):
+    """Rows (k1, k2, low, bands, body) -> (k1, k2, first, open, digest) per string of a band."""
     for batch in batches:
-        rows = [(s, p, n, q, xxhash.xxh3_128_digest(body[q:q + LENGTH]))
-                for s, p, n, body in zip(*(batch.column(i).to_pylist() for i in range(4)))
-                for q in range(len(body) - LENGTH + 1)]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                         names=["seed", "phrase", "n", "first", "digest"])
+        owner, rows = [], []
+        for i, (low, parts, x) in enumerate(zip(
+                batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4))):
+            body = x.as_py()
+            found = [(q, part["open"], xxhash.xxh3_128_digest(body[q - low:q - low + LENGTH]))
+                     for part in parts for q in range(part["first"], part["last"] + 1)]
+            owner.extend([i] * len(found))
+            rows.extend(found)
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [*batch.select([0, 1]).take(pa.array(owner, pa.int64())).columns,
+             *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary())))],
+            names=["k1", "k2", "first", "open", "digest"])
 
 
 def _cut_out(batches):
@@ -195,36 +191,42 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shared = cut(places.join(cut(seeds.select("seed", "mixed")), "seed"))
     whole = shared.filter("not mixed").select("k1", "k2", "low", "high")
     mixed = shared.filter("mixed").drop("mixed")
-    # The dictionary: each distinct phrase with its count and one place to read it from.
-    words = mixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
-        "k1", "k2", "low", "high")).alias("at"))
-    sizes = words.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases"))
-    words = cut(cut(words).join(cut(sizes), "seed"))
-    wanted = words.select("at.k1", "at.k2", F.struct(
-        *keys, "n", "n_phrases", "at.low", "at.high").alias("w")).groupBy("k1", "k2").agg(
-        F.collect_list("w").alias("ws"))
-    bodies = texts.join(wanted, ["k1", "k2"]).select(
-        "body", F.explode("ws").alias("w")).select(
-        "w.seed", "w.phrase", "w.n", "w.n_phrases", F.substring(
-            "body", F.col("w.low") + 1, F.col("w.high") - F.col("w.low") + LENGTH).alias("body"))
-    bodies = cut(bodies)
-    few = bodies.filter(F.col("n_phrases") <= SEED_PHRASES).select(*keys, "n", "body").repartition(
-        "seed").sortWithinPartitions("seed", "phrase").mapInArrow(
-        _order, "seed long, phrase long, first int, last int")
-    strings = bodies.filter(F.col("n_phrases") > SEED_PHRASES).select(*keys, "n", "body").mapInArrow(
-        _spread, "seed long, phrase long, n long, first int, digest binary")
-    counts = strings.groupBy("seed", "digest").agg(
-        F.count(F.lit(1)).alias("c"), F.max("n").alias("m")).filter("c > 1")
-    many = strings.filter("n = 1").join(counts.select("seed", "digest"), ["seed", "digest"]).select(
-        *keys, "first", F.col("first").alias("last"))
-    parts = few.union(many).groupBy(*keys).agg(
-        F.collect_list(F.struct("first", "last")).alias("parts"))
-    found = mixed.join(words.select(*keys, "n").join(parts, keys, "left"), keys)
-    twice = found.filter("n > 1").select("k1", "k2", "low", "high")
-    once = found.filter("n = 1").select("k1", "k2", "low", F.explode("parts").alias("p")).select(
-        "k1", "k2", (F.col("low") + F.col("p.first")).alias("low"),
-        (F.col("low") + F.col("p.last")).alias("high"))
-    return whole.union(twice).union(once)
+    # The dictionary: each distinct phrase with one place to read it from, and whether it is alone.
+    words = cut(mixed.groupBy("seed", "phrase").agg(
+        (F.count(F.lit(1)) == 1).alias("once"),
+        F.min(F.struct("k1", "k2", "low", "high", "back")).alias("at")).select("once", "at.*"))
+    place = ["k1", "k2", "low"]
+    # Joined by place, not by phrase: a phrase may hold very many places, a place holds one phrase.
+    twice = mixed.join(words.filter("once").select(*place), place, "left_anti").select(
+        *place, "high")
+    wanted = words.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("low", "high", "back", "once")).alias("ws"))
+    bodies = cut(texts.join(wanted, ["k1", "k2"]).select(
+        "k1", "k2", "body", F.explode("ws").alias("w")).select(
+        "k1", "k2", "w.low", "w.once", "w.back", F.substring(
+            "body", F.col("w.low") + 1, F.col("w.high") - F.col("w.low") + LENGTH).alias("body")))
+    parts = cut(bodies.mapInArrow(
+        _bands, f"{_PLACE}, once boolean, first int, last int, narrow binary, wide binary"))
+    classes = cut(parts.groupBy("narrow", "wide").agg(
+        F.count(F.lit(1)).alias("n"), F.min("once").alias("once"),
+        F.min(F.struct(*place, "first", "last")).alias("at")))
+    equal = parts.filter("once").join(
+        cut(classes.filter("n > 1").select("wide")), "wide").select("k1", "k2", "first", "last")
+    # Bands that share their common bytes with others: one of each class goes on.
+    alone = F.col("once") & (F.col("n") == 1)
+    near = cut(classes.groupBy("narrow").agg(
+        F.count(F.lit(1)).alias("n"), F.max(alone).alias("open")).filter("n > 1 and open"))
+    rest = classes.withColumn("open", alone).join(near.select("narrow"), "narrow").select(
+        "at.*", "open").groupBy(*place).agg(
+        F.collect_list(F.struct("first", "last", "open")).alias("bands"))
+    strings = cut(bodies.select(*place, "body").join(rest, place).select(
+        *place, "bands", "body").mapInArrow(
+        _strings, "k1 string, k2 long, first int, open boolean, digest binary"))
+    seen = cut(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+               .select("digest"))
+    single = strings.filter("open").join(seen, "digest").select(
+        "k1", "k2", "first", F.col("first").alias("last"))
+    return whole.union(twice).union(equal).union(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

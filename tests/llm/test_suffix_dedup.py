@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from rotorsight.llm import suffix_dedup as S
 
 
@@ -50,11 +52,43 @@ def test_equals_brute_force(spark, make_docs):
     check(spark, make_docs, rows_of(1))
 
 
-def test_hot_seeds_are_ordered_by_spark(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(S, "SEED_PHRASES", 2)
+@pytest.mark.parametrize("width", [1, 7, 200])
+def test_any_width_of_bands(spark, make_docs, monkeypatch, width):
+    monkeypatch.setattr(S, "WIDTH", width)
     check(spark, make_docs, rows_of(2))
 
 
+def test_many_phrases_of_one_seed(spark, make_docs):
+    """Neighbours at every distance of one passage: equal, longer, shorter and broken ones."""
+    rng = random.Random(5)
+    passage = words(rng, 200)[:700]
+    rows = []
+    for i in range(320):
+        a, b = rng.randint(0, 300), rng.randint(400, 700)
+        text = passage[a:b]
+        if i % 5 == 0:
+            text = text[:len(text) // 2] + "#" + text[len(text) // 2:]
+        rows.append((i, words(rng, 20) + text + words(rng, 20)))
+    check(spark, make_docs, rows)
+
+
+def test_passages_of_fifty_words_by_their_length(spark, make_docs):
+    """Fifty words over 400 bytes leave all their documents, fifty shorter words stay."""
+    rng = random.Random(6)
+    pick = lambda n, a, b: " ".join(
+        "".join(rng.choice("abcdefgh") for _ in range(rng.randint(a, b))) for _ in range(n))
+    long, short = pick(52, 8, 12), pick(52, 3, 5)
+    assert len(long) >= S.LENGTH > len(short) + 4
+    rows = [(i, pick(30, 3, 9) + f"\n{(long, short)[i % 2]}\n" + pick(30, 3, 9)) for i in range(12)]
+    got = {r.doc_id: r for r in S.remove_repeats(make_docs(rows)).collect()}
+    for i, text in rows:
+        assert (long if i % 2 == 0 else short) in text
+        assert got[i].n_removed >= len(long) if i % 2 == 0 else got[i].n_removed == 0
+        assert (long.encode() in got[i].kept) is False
+        assert (short.encode() in got[i].kept) is (i % 2 == 1)
+    check(spark, make_docs, rows)
+
+
 def test_passage_in_many_documents(spark, make_docs):
     rng = random.Random(3)
     passage = words(rng, 100)[:420]
