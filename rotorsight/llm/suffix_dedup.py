@@ -99,14 +99,16 @@ def parse(texts: DataFrame) -> DataFrame:
 def bands(body: bytes, back: int):
     """Rows (first, last, narrow, wide) of the bands of a phrase whose trigger is at ``back``.
 
-    Strings start in first..last. ``narrow`` is a digest of the bytes that every string of the band
-    holds wherever it occurs, ``wide`` one of the bytes that the strings here cover.
+    Strings start in first..last. ``narrow`` is a hash of the bytes that every string of the band
+    holds wherever it occurs, ``wide`` a digest of the bytes that the strings here cover. Equal
+    hashes of different bytes cost a comparison, no more.
     """
-    digest, near = xxhash.xxh3_128_digest, back - (len(body) - LENGTH)
+    hashed, digest, near = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, \
+        back - (len(body) - LENGTH)
     for start in range(near - near % WIDTH, back + 1, WIDTH):
         end = start + WIDTH - 1
         lo, hi = max(start, near), min(end, back)
-        yield (back - hi, back - lo, digest(body[back - start:back - end + LENGTH], seed=start),
+        yield (back - hi, back - lo, hashed(body[back - start:back - end + LENGTH], seed=start),
                digest(body[back - hi:back - lo + LENGTH], seed=lo * LENGTH + hi))
 
 
@@ -123,10 +125,11 @@ def _bands(batches):
             owner.extend([i] * len(found))
             rows.extend(found)
         cols = list(zip(*rows)) if rows else [()] * 4
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        narrow = pa.array(np.array(cols[2], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [*batch.select([0, 1, 2, 3]).take(pa.array(owner, pa.int64())).columns,
-             *(pa.array(c, t) for c, t in zip(cols, kinds))],
+             pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), narrow,
+             pa.array(cols[3], pa.binary())],
             names=["k1", "k2", "low", "once", "first", "last", "narrow", "wide"])
 
 
@@ -206,12 +209,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         "k1", "k2", "w.low", "w.once", "w.back", F.substring(
             "body", F.col("w.low") + 1, F.col("w.high") - F.col("w.low") + LENGTH).alias("body")))
     parts = cut(bodies.mapInArrow(
-        _bands, f"{_PLACE}, once boolean, first int, last int, narrow binary, wide binary"))
+        _bands, f"{_PLACE}, once boolean, first int, last int, narrow long, wide binary"))
     classes = cut(parts.groupBy("narrow", "wide").agg(
         F.count(F.lit(1)).alias("n"), F.min("once").alias("once"),
         F.min(F.struct(*place, "first", "last")).alias("at")))
     equal = parts.filter("once").join(
-        cut(classes.filter("n > 1").select("wide")), "wide").select("k1", "k2", "first", "last")
+        classes.filter("n > 1").select("wide"), "wide").select("k1", "k2", "first", "last")
     # Bands that share their common bytes with others: one of each class goes on.
     alone = F.col("once") & (F.col("n") == 1)
     near = cut(classes.groupBy("narrow").agg(
