@@ -112,8 +112,10 @@ def append(df: DataFrame, path: str) -> None:
 def replace_device(df: DataFrame, path: str) -> None:
     """Replace the devices present in ``df`` and leave every other device alone.
 
-    Dynamic overwrite swaps whole ``device_id`` partitions at commit, with all their days, so a
-    failed job changes nothing.
+    Dynamic overwrite swaps whole ``device_id`` partitions at commit, with all their days, one
+    after another: a job that fails before its commit changes nothing, but who reads during the
+    commit, or after a crash in it, may see some devices new and some old. Tables written by
+    ``snapshots.replace_devices`` change in one step.
     """
     (_placed(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("device_id").parquet(path))
