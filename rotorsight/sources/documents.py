@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import limits as L
 from ..functions.scalars import image_type, strip
 from ..operators.runs import Series, number_runs, segment_number, stitch
 from ..session import materialise
+from . import chunk_table
 from .csv_files import read_rows as read_csv_rows
 
 PAGE_COLUMNS = ["source", "file_type", "part", "page", "sheet_name", "text"]
@@ -136,33 +135,17 @@ def build_report(files: int, pages: DataFrame, records: DataFrame, chunks: DataF
                           "records": count(records)})
 
 
-VERSION = "version string, at timestamp"
-
-
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The current version of the chunk table."""
-    latest = spark.read.schema(VERSION).parquet(f"{path}/versions").agg(
-        F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{path}/{latest}")
-
-
-def _publish(table: DataFrame, path: str) -> None:
-    """Write a new version folder, then append its name to the list of versions.
-
-    Readers see the old version until the one-row append is there, and after a failure at any
-    point the old version is still complete.
-    """
-    version = f"chunks-{uuid.uuid4().hex}"
-    table.write.parquet(f"{path}/{version}")
-    table.sparkSession.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode(
-        "append").parquet(f"{path}/versions")
+    return chunk_table.read(spark, path)
 
 
 def write_chunks(spark: SparkSession, fresh: DataFrame, path: str, stored: bool) -> None:
-    """Upsert into the chunk table as a new version of it."""
-    from ..operators.chunking import upsert
-    _publish(upsert(read_chunks(spark, path), fresh) if stored else fresh, path)
+    """Upsert into the chunk table; without ``stored`` the table holds the fresh chunks alone."""
+    if stored:
+        chunk_table.upsert(fresh, path)
+    else:
+        chunk_table.rebuild(fresh, path)
 
 
 def rebuild_chunks(fresh: DataFrame, path: str) -> bool:
@@ -170,7 +153,7 @@ def rebuild_chunks(fresh: DataFrame, path: str) -> bool:
     fresh = materialise(fresh)
     if fresh.isEmpty():
         return False
-    _publish(fresh, path)
+    chunk_table.rebuild(fresh, path)
     return True
 
 
