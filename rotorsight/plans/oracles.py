@@ -210,6 +210,15 @@ e2 AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts) - 1 AS seg FRO
 
 # ---- cases -----------------------------------------------------------------------------------------
 
+def sealed(parts, name, rows):
+    """Digest per case of the rows: fields as length and text, sums of four parts of SHA-256."""
+    text = " || ".join(f"coalesce(length({p}) || ':' || {p}, '-')" for p in parts)
+    sums = ", ':', ".join(f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)) AS VARCHAR)"
+                          for at in (1, 16, 31, 46))
+    return f"""{name}d AS (SELECT trace_id, count(*) AS n_{name}, sha256(concat(CAST(count(*) AS VARCHAR), ':', {sums})) AS {name}_sha256
+  FROM (SELECT trace_id, sha256({text}) AS h FROM {rows}) GROUP BY 1)"""
+
+
 CASES = T + f""",
 cb AS (SELECT device_id AS dev_id, dev, CAST(floor(epoch(timestamp) / 240) AS BIGINT) AS b FROM t GROUP BY 1, 2, 3),
 cs AS (SELECT *, b + dev AS k, dev_id || '-' || b AS trace_id,
@@ -259,6 +268,18 @@ vv AS (SELECT cs.trace_id, coalesce(images, 0) AS images, coalesce(n_findings, 0
     coalesce(minor, false) AS minor,
     CASE WHEN images IS NULL THEN 'NO_IMAGE' WHEN all_failed THEN 'FAILED' WHEN n_findings > 0 THEN 'DEFECT_FOUND' ELSE 'NO_DEFECT' END AS vision_status
     FROM cs LEFT JOIN vs USING (trace_id) LEFT JOIN vf USING (trace_id))"""
+_text = lambda c: f"CAST({c} AS VARCHAR)"
+_frame = [_text("epoch_us(timestamp)"), "device_id", *[_text(f"CAST(CAST({c} AS DECIMAL(28, 9)) * CAST(1000000000 AS DECIMAL(10, 0)) AS DECIMAL(38, 0))")
+          for c in L.READINGS], "operating_state", "alarm_code"]
+_none = "sha256('0:0:0:0:0')"
+oracle("case_input_digests", CASES + "," + PHOTOS.split("ab AS")[0].rstrip().rstrip(",") + ", " + ", ".join([
+    sealed(_frame, "telemetry", "cf"), sealed(["user_query", "alarm_code"], "notes", "cs"),
+    sealed(["image_id", _text("pos")], "photos", "ph")]) + f""",
+dg AS (SELECT trace_id, coalesce(n_telemetry, 0) AS n_telemetry, coalesce(telemetry_sha256, {_none}) AS telemetry_sha256, n_notes, notes_sha256,
+  coalesce(n_photos, 0) AS n_photos, coalesce(photos_sha256, {_none}) AS photos_sha256
+  FROM cs LEFT JOIN telemetryd USING (trace_id) LEFT JOIN notesd USING (trace_id) LEFT JOIN photosd USING (trace_id))""",
+       """SELECT *, sha256('notes:' || notes_sha256 || chr(10) || 'photos:' || photos_sha256 || chr(10) || 'telemetry:' || telemetry_sha256)
+  AS inputs_sha256 FROM dg""")
 oracle("findings", T + "," + PHOTOS.split("vs AS")[0].rstrip().rstrip(","),
        "SELECT trace_id, pos, CAST(0 AS BIGINT) AS obs_pos, image_id, defect_type, severity, location, confidence, evidence FROM fnd")
 oracle("rejected_observations", T + "," + PHOTOS.split("fnd AS")[0].rstrip().rstrip(","),

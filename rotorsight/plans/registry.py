@@ -12,7 +12,8 @@ from ..functions.scalars import (alarm_from_readings, data_url, image_type, iso,
 from ..functions import text as TX
 from ..operators import (alarms as A, attribution, cases as C, chunking, delivery as D,
                          documents as P, manual as K,
-                         measures as M, retrieval as Q, rules as R, runs as U, safety, segments as S,
+                         measures as M, provenance as PV, retrieval as Q, rules as R, runs as U,
+                         safety, segments as S,
                          terms as T, vector_index as VI, vision as V)
 from ..session import configure, materialise, shared_folder
 from ..sources import documents as DS, telemetry as TS
@@ -215,6 +216,14 @@ def case_windows(spark, sf_dir):
         F.coalesce("frames", F.lit(0)).alias("frames"), "first_frame", "last_frame"))
 
 
+@query
+def case_input_digests(spark, sf_dir):
+    """What each case was judged on, as hashes over all its frames, notes and photos."""
+    cases, frames, images = case_inputs(spark, sf_dir)
+    return longs(PV.case_digests(C.default_windows(cases), frames,
+                                 photos=images.select("trace_id", "pos", "image_id")))
+
+
 @query
 def coverage_quality(spark, sf_dir):
     cases, frames, _ = case_inputs(spark, sf_dir)
