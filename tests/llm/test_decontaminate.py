@@ -1,4 +1,4 @@
-"""Benchmark windows against brute force, in one block and in many."""
+"""Benchmark windows against brute force, with hot shingles and long words too."""
 
 import random
 import re
@@ -45,9 +45,9 @@ def case():
     return rows, items
 
 
-def run(spark, make_docs, rows, items, **kw):
+def run(spark, make_docs, rows, items):
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, hits string")
-    got = D.contamination(make_docs(rows), bench, **kw).drop("k1", "k2").collect()
+    got = D.contamination(make_docs(rows), bench).drop("k1", "k2").collect()
     return sorted(map(tuple, got), key=str)
 
 
@@ -56,9 +56,31 @@ def test_equals_brute_force(spark, make_docs):
     assert run(spark, make_docs, rows, items) == brute(rows, items)
 
 
-def test_blocks_give_the_same(spark, make_docs):
+def test_hot_shingles_and_full_filter(spark, make_docs, monkeypatch):
     rows, items = case()
-    assert run(spark, make_docs, rows, items, block_bytes=60) == brute(rows, items)
+    rows += [(100 + i, "so " + items[0][1] + f" end{i}") for i in range(40)]
+    monkeypatch.setattr(D, "HOT_SHARE", 0.01)
+    monkeypatch.setattr(D, "SALTS", 3)
+    monkeypatch.setattr(D, "PLACES", 2)
+    monkeypatch.setattr(D, "MAX_SLOTS_LOG", 1)
+    assert run(spark, make_docs, rows, items) == brute(rows, items)
+
+
+def test_long_words_are_told_apart(spark, make_docs):
+    long = "z" * 100000
+    items = [(1, f"one {long} two"), (2, f"one {long}y two"), (3, "é" * 40 + " b")]
+    rows = [(1, f"x One {long} two"), (2, f"one {long}y two {long}"), (3, "É" * 40 + " b"),
+            (4, "é" * 40 + " B"), (5, None), (6, f"two {long} one")]
+    assert run(spark, make_docs, rows, items) == brute(rows, items)
+
+
+def test_filter_never_loses_a_shingle(spark):
+    import numpy as np
+    values = np.random.default_rng(5).integers(-2 ** 63, 2 ** 63 - 1, 5000)
+    table = D.bloom(spark.createDataFrame([(int(v),) for v in values], "shingle long"), len(values))
+    assert D.passes(table, values).all()
+    others = np.random.default_rng(6).integers(-2 ** 63, 2 ** 63 - 1, 20000)
+    assert D.passes(table, others).mean() < 0.05
 
 
 def test_empty_tables_and_clean(spark, make_docs):
