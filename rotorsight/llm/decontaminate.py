@@ -203,15 +203,13 @@ def _places(rows: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
 def salted_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """Inner join; rows of ``many`` with a hot key are dealt out, ``few`` repeats rows of these.
 
-    Fewer than ``1 / HOT_SHARE`` keys can be hot, whatever the size, so these are broadcast.
+    Fewer than ``1 / HOT_SHARE`` keys can be hot, whatever the size, so they are plain values.
     """
-    hot = F.broadcast(cut(hot_keys(many, [key], HOT_SHARE).select(
-        key, F.lit(SALTS).alias("salts"))))
-    salts = F.coalesce("salts", F.lit(1))
-    left = many.join(hot, key, "left").withColumn("salt", F.expr(
-        "cast(pmod(xxhash64(k1, k2), coalesce(salts, 1)) as int)")).drop("salts")
-    right = few.join(hot, key, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    hot = [r[key] for r in hot_keys(many, [key], HOT_SHARE).select(key).collect()]
+    salts = F.when(F.col(key).isin(hot), SALTS).otherwise(1)
+    left = many.withColumn("salts", salts).withColumn(
+        "salt", F.expr("cast(pmod(xxhash64(k1, k2), salts) as int)")).drop("salts")
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [key, "salt"]).drop("salt")
 
 
