@@ -75,15 +75,64 @@ def _fingerprints(batches):
             names=["doc_id", "k1", "k2", "n_points", *out])
 
 
+def _chunk_prints(batches):
+    """Rows (k1, k2, no, chunk) -> (k1, k2, no, size, f1, f2) of the chunk without white space."""
+    for batch in batches:
+        chunks = [c.as_buffer().to_pybytes().translate(None, SPACE) for c in batch.column(3)]
+        prints = [fingerprint(c) for c in chunks]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array([len(c) for c in chunks], pa.int64()),
+             pa.array([f for f, _ in prints], pa.int64()),
+             pa.array([f for _, f in prints], pa.int64())],
+            names=["k1", "k2", "no", "size", "f1", "f2"])
+
+
+def _combined(batches):
+    """Rows (k1, k2, chunks in order) -> (k1, k2, n_bytes, f1, f2) of the concatenation."""
+    for batch in batches:
+        out = []
+        for chunks in batch.column(2):
+            total, n = (0, 0), 0
+            for c in chunks.as_py():
+                total = combine(total, (c["f1"], c["f2"]), c["size"])
+                n += c["size"]
+            out.append((n, *total))
+        columns = list(zip(*out)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns]],
+            names=["k1", "k2", "n_bytes", "f1", "f2"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: id, row key ``(k1, k2)``, code points, fingerprint, SHA-256 of the normalised text."""
+    """Per row: id, row key ``(k1, k2)``, code points, fingerprint, SHA-256 of the normalised text.
+
+    A text of one chunk is hashed where it is read. The chunks of a longer one are dealt out, hashed
+    by any task, and their hashes combine in order, so a huge text is not one task's loop. (Its
+    SHA-256 cannot be composed and is one pass in the JVM.)
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", id_text().alias("k1"), text_hash().alias("k2"),
                        F.char_length(text).cast("long").alias("n_points"),
                        text.cast("binary").alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, k1 string, k2 long, n_points long, "
-                                          "n_bytes long, f1 long, f2 long, text_sha256 string")
+    one = F.octet_length("body") <= CHUNK
+    short = rows.filter(one).mapInArrow(
+        _fingerprints, f"doc_id {kind}, k1 string, k2 long, n_points long, "
+                       "n_bytes long, f1 long, f2 long, text_sha256 string")
+    long = rows.filter(~one)
+    places = F.sequence(F.lit(0), F.expr(f"cast((octet_length(body) - 1) div {CHUNK} as int)"))
+    chunks = long.select("k1", "k2", "body", F.explode(places).alias("no")).select(
+        "k1", "k2", "no", F.substring("body", F.col("no") * CHUNK + 1, F.lit(CHUNK)).alias("chunk"))
+    hashed = chunks.repartition("k1", "k2", "no").mapInArrow(
+        _chunk_prints, "k1 string, k2 long, no int, size long, f1 long, f2 long")
+    # Rows that repeat an id and a text give the same chunks; the set holds each of them once.
+    whole = hashed.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(
+        F.struct("no", "size", "f1", "f2"))).alias("chunks")).mapInArrow(
+        _combined, "k1 string, k2 long, n_bytes long, f1 long, f2 long")
+    norm = F.regexp_replace(F.col("body").cast("string"), r"[\x20\x09-\x0D]+", "")
+    heads = long.select("doc_id", "k1", "k2", "n_points",
+                        F.sha2(norm.cast("binary"), 256).alias("text_sha256"))
+    return short.unionByName(heads.join(whole, ["k1", "k2"]))
 
 
 KEY = ["f1", "f2", "n_bytes"]

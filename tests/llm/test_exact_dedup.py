@@ -56,6 +56,23 @@ def test_chunk_hashes_combine():
         assert X.combine(X.fingerprint(left), X.fingerprint(right), len(right)) == whole
 
 
+def test_chunks_of_one_text_are_hashed_by_many_tasks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 1 << 10)
+    monkeypatch.setattr(X, "_POWERS", [])
+    rng = random.Random(4)
+    text = "".join(rng.choices("ab é\n\t漢", k=100000))
+    rows = [(1, text), (1, text), (2, text.replace(" ", "")), (3, text + "x"), (4, " " * 5000),
+            (5, None), (6, "short")]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "").encode()
+    got = X.fingerprints(make_docs(rows)).collect()
+    want = [(d, len(t or ""), len(norm(t)), *X.fingerprint(norm(t)),
+             hashlib.sha256(norm(t)).hexdigest()) for d, t in rows]
+    assert sorted((r["doc_id"], r["n_points"], r["n_bytes"], r["f1"], r["f2"], r["text_sha256"])
+                  for r in got) == sorted(want)
+    duplicates = X.exact_duplicates(make_docs(rows)).drop("k1", "k2").collect()
+    assert sorted(map(tuple, duplicates), key=str) == brute(rows)
+
+
 def test_collisions_do_not_merge(spark, make_docs, monkeypatch):
     """With a fingerprint that sees the length only, texts of one length are still told apart."""
     monkeypatch.setattr(X, "fingerprint", lambda data: (0, 0))
