@@ -5,7 +5,7 @@ to the next one. Chunks are split into pre-tokens on their own, in parallel. Whe
 its successor find the same boundary in the overlap, the two splits have resynchronised: up to
 there the first one counts, from there on the second. The pieces between such places are
 encoded one by one. If an overlap has no common boundary (a single pre-token may span it), the
-text is put together again and encoded as one piece. Decoding concatenates the tokens' bytes.
+two chunks at that seam stay in one piece. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from .common import id_text, text_hash
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
+#: Characters whose classes are the same in every Unicode version that has them: printable ASCII,
+#: Latin-1 letters, kana, Chinese characters, Hangul, their punctuation and full-width signs.
+STABLE = ("!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u3001-\u3003\u3008-\u3011\u3041-\u3094"
+          "\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e")
 #: Code points before the end of a chunk where a split may still depend on what follows.
 UNSURE = 4
 
@@ -35,19 +39,20 @@ class Codec:
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks,
                                          special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.stable = regex.compile(f"[{STABLE}]")
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     def boundaries(self, text: str) -> list[int]:
-        """Ends of pre-tokens between two printable ASCII characters, the first not a space.
+        """Ends of pre-tokens between two ``STABLE`` characters; the second may be white space.
 
         A token of white space may depend on what follows, so its end is not used; other
         characters are left out because pattern libraries differ in their Unicode versions.
         """
         ends = (m.end() for m in self.pattern.finditer(text))
-        return [e for e in ends if e < len(text) and "!" <= text[e - 1] <= "~"
-                and (" " <= text[e] <= "~" or text[e] == "\n")]
+        return [e for e in ends if e < len(text) and self.stable.match(text[e - 1])
+                and (text[e] in " \n" or self.stable.match(text[e]))]
 
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.encoder.encode_to_numpy(text, disallowed_special=()), np.int32)
@@ -98,7 +103,8 @@ def stitched(chunks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Chunk rows (k1, k2, no, last, chunk) -> pieces (k1, k2, no, text) that encode alone.
 
     ``chunk`` of all but the last holds the overlap too. The seam search is a lead over the
-    chunks of one text, which are few and hold no other text.
+    chunks of one text, which are few and hold no other text. A chunk without a seam to the next
+    one gives all its own code points to the piece that the next one goes on with.
     """
     of_text = Window.partitionBy("k1", "k2").orderBy("no")
     seams = _boundaries(chunks, ranks_path, pattern).withColumn(
@@ -106,19 +112,14 @@ def stitched(chunks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             "tail", F.lead("head").over(of_text)))))
     seams = seams.withColumns({
         "begin": F.coalesce(F.lag("seam").over(of_text), F.lit(0)),
-        "lost": F.max((F.col("no") < F.col("last")) & F.col("seam").isNull())
-        .over(Window.partitionBy("k1", "k2"))})
-    end = F.when(F.col("no") < F.col("last"), CHUNK + F.col("seam")).otherwise(
+        "piece": F.count("seam").over(of_text.rowsBetween(Window.unboundedPreceding, -1))})
+    end = F.when(F.col("no") < F.col("last"), CHUNK + F.coalesce("seam", F.lit(0))).otherwise(
         F.char_length("chunk"))
-    pieces = seams.filter(~F.col("lost")).select(
-        "k1", "k2", "no", F.substring("chunk", F.col("begin") + 1, end - F.col("begin"))
-        .alias("text"))
-    own = F.when(F.col("no") < F.col("last"), F.substring("chunk", F.lit(1), F.lit(CHUNK))) \
-        .otherwise(F.col("chunk"))
-    whole = seams.filter("lost").groupBy("k1", "k2").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("no", own.alias("own")))), lambda x: x["own"]), "")
-        .alias("text")).select("k1", "k2", F.lit(0).alias("no"), "text")
-    return pieces.union(whole)
+    parts = seams.select("k1", "k2", F.col("piece").cast("int").alias("piece"), F.struct(
+        "no", F.substring("chunk", F.col("begin") + 1, end - F.col("begin")).alias("text")).alias("p"))
+    return parts.groupBy("k1", "k2", "piece").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("p")), lambda x: x["text"]), "").alias("text")).select(
+        "k1", "k2", F.col("piece").alias("no"), "text")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
