@@ -15,10 +15,13 @@ from rotorsight.llm.queries import quality_model, table, tokenizer
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least one half stay."""
+    """Documents whose quality score is at least one half stay.
+
+    Rows are written with their statistics, which are the dear part, so these are computed once.
+    """
     prepare(spark)
-    _, model = quality_model(spark, sf_dir, docs)
-    return docs.filter(quality.score(model) >= 0.5)
+    rows, model = quality_model(spark, sf_dir, docs, F.struct(*docs.columns).alias("row"))
+    return rows.filter(quality.score_of_stats(model) >= 0.5).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

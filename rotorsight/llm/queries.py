@@ -105,9 +105,12 @@ def op4_byte_bpe(spark, sf_dir):
         .alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256"))
 
 
-def quality_model(spark, sf_dir, docs):
-    """Statistics of all documents once, the model from the labelled ones that are not held out."""
-    rows = cut(docs.select("doc_id", quality.stats().alias("stats")))
+def quality_model(spark, sf_dir, docs, *more):
+    """Statistics of all documents once, the model from the labelled ones that are not held out.
+
+    ``more`` columns are written beside the statistics.
+    """
+    rows = cut(docs.select("doc_id", quality.stats().alias("stats"), *more))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return rows, quality.fit(rows.filter(remainder(3) != 1).join(labels, "doc_id"))
 
