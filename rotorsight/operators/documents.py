@@ -1,14 +1,20 @@
 """From pages to structured records: clean, find headings and tables, cut into blocks.
 
 A page row is (source, file_type, part, page, sheet_name, text): ``part`` numbers the pages,
-sheets or segments of one source. Lines are ordered only inside a part. What reaches across parts
+sheets or segments of one source, one row each. Lines are ordered only inside a part. What reaches across parts
 (section path, block numbers) is carried by ``runs.prefix`` over one small row per part, so a
 source with very many pages is never gathered in one task.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
+                               StructField, StructType)
 
 from .. import limits as L
 from ..functions.scalars import strip
@@ -26,10 +32,10 @@ def normalise_pages(pages: DataFrame) -> DataFrame:
 
 def edge_lines(text="text") -> Column:
     """Distinct non-blank lines among the first and last three of a page."""
-    lines = F.split(F.col(text), "\n")
-    k = L.HEADER_WINDOW
-    last = F.slice(lines, F.greatest(F.lit(1), F.size(lines) - k + 1), k)
-    stripped = F.transform(F.concat(F.slice(lines, 1, k), last), lambda x: strip(x))
+    # Only the edges are split, not the page.
+    edge = lambda k: F.split(F.substring_index(F.col(text), "\n", k), "\n")
+    stripped = F.transform(F.concat(edge(L.HEADER_WINDOW), edge(-L.HEADER_WINDOW)),
+                           lambda x: strip(x))
     return F.array_distinct(F.filter(stripped, lambda x: x != ""))
 
 
@@ -53,19 +59,139 @@ def header_lines(pages: DataFrame, ratio: float = L.HEADER_MIN_RATIO) -> DataFra
 def drop_header_lines(pages: DataFrame, ratio: float = L.HEADER_MIN_RATIO) -> DataFrame:
     """Pages without the repeated lines; ``removed`` lists what was taken out.
 
-    The header list (at most ten strings) is a scalar subquery, the removal is row-local.
+    The header list (at most ten strings) is found once and is a scalar subquery, the removal is
+    row-local. Only pages that hold one of the strings anywhere are taken apart.
     """
-    listed = header_lines(pages, ratio).agg(F.collect_set("line").alias("lines"))
+    listed = materialise(header_lines(pages, ratio).agg(F.collect_set("line").alias("lines")))
     lines = F.split("text", "\n")
     is_header = lambda x: F.array_contains(F.col("headers"), strip(x))
+    suspect = F.exists("headers", lambda h: F.contains("text", h))
     removed = F.array_sort(F.array_distinct(F.transform(
         F.filter(lines, is_header), lambda x: strip(x))))
     kept = strip(F.array_join(F.filter(lines, lambda x: ~is_header(x)), "\n"))
-    return (pages.withColumn("headers", listed.scalar()).withColumn("removed", removed)
+    none = F.when(F.col("text").isNotNull(), F.array().cast("array<string>"))
+    return (pages.withColumn("headers", listed.scalar())
+            .withColumn("removed", F.when(suspect, removed).otherwise(none))
             .withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text")))
             .drop("headers"))
 
 
+KINDS = ["text", "table", "list"]
+_MD, _PIPE, _SEPARATOR, _ITEM = 1, 2, 4, 8
+
+
+class _Lines(NamedTuple):
+    """All non-blank lines of some pages in a row; counts start anew on every page."""
+
+    page: np.ndarray        # which page of the batch
+    number: np.ndarray      # the line's place on its page
+    level: np.ndarray       # heading level by its form, or 0
+    heading: np.ndarray     # and not an entry of a table of contents
+    kind: np.ndarray        # place in KINDS
+    starts: np.ndarray      # opens a block
+    block: np.ndarray
+    heading_no: np.ndarray
+    chars: np.ndarray
+
+
+def _judge(levels: pa.ListArray, flags: pa.ListArray, chars: pa.ListArray) -> _Lines:
+    """Headings, kinds and blocks of the lines of each page, from the marks of single lines."""
+    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = chars.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.arange(len(page)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    level, flag, length = flat(levels), flat(flags), flat(chars)
+    shown = length > 0
+    page, number, level, flag, length = (x[shown] for x in (page, number, level, flag, length))
+    first = np.diff(page, prepend=-1) != 0
+
+    def follows(value):
+        return ~first & (value == np.roll(value, 1))
+
+    def total(opens, value):
+        """Sum of a value over the run that each line is in; runs begin where ``opens`` says."""
+        run = np.cumsum(opens)
+        return np.bincount(run, weights=value, minlength=1)[run]
+
+    def count(value):
+        running = np.cumsum(value)
+        return running - (running - value)[first][np.cumsum(first) - 1] if len(value) else running
+
+    pipe, ones = flag & _PIPE > 0, np.ones(len(page))
+    in_toc = total(~(follows(level) & (level > 0)), ones) >= L.TOC_RUN_MIN
+    markdown = total(first, flag & _MD) > 0
+    next_pipe = pipe & follows(pipe) & (np.diff(number, prepend=-1) == 1)
+    in_table = pipe & (total(~next_pipe, flag & _SEPARATOR) > 0)
+    heading = (level > 0) & (markdown | ~in_toc)
+    kind = np.where(heading, 0, np.where(in_table, 1, np.where(flag & _ITEM > 0, 2, 0)))
+    starts = heading | ~follows(kind)
+    return _Lines(page, number, level, heading, kind, starts, count(starts.astype(np.int64)),
+                  count(heading.astype(np.int64)), length)
+
+
+def _listed(pages: int, page: np.ndarray, fields: dict[str, pa.Array]) -> pa.ListArray:
+    ends = np.cumsum(np.bincount(page, minlength=pages)) if pages else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], ends]), pa.int32()),
+        pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _list_of(**fields) -> ArrayType:
+    return ArrayType(StructType([StructField(k, v) for k, v in fields.items()]))
+
+
+def _kinds(codes: np.ndarray) -> pa.Array:
+    return pa.array(KINDS).take(pa.array(codes))
+
+
+@F.arrow_udf(_list_of(line_no=IntegerType(), level=IntegerType(), heading=BooleanType(),
+                      type=StringType(), block=LongType(), heading_no=LongType()))
+def _line_marks(levels: pa.Array, flags: pa.Array, chars: pa.Array) -> pa.Array:
+    x = _judge(levels, flags, chars)
+    return _listed(len(chars), x.page, {
+        "line_no": pa.array(x.number, pa.int32()),
+        "level": pa.array(x.level, pa.int32(), mask=x.level == 0), "heading": pa.array(x.heading),
+        "type": _kinds(x.kind), "block": pa.array(x.block), "heading_no": pa.array(x.heading_no)})
+
+
+@F.arrow_udf(_list_of(block=LongType(), at=IntegerType(), lines=IntegerType(), size=LongType(),
+                      level=IntegerType(), type=StringType(), heading_no=LongType()))
+def _block_marks(levels: pa.Array, flags: pa.Array, chars: pa.Array) -> pa.Array:
+    """Blocks with their first line and number of lines (blank ones too), size and heading level."""
+    x = _judge(levels, flags, chars)
+    at = np.nonzero(x.starts)[0]
+    last = np.append(at[1:], len(x.page))[:len(at)] - 1
+    held = np.concatenate([[0], np.cumsum(x.chars + 1)])
+    return _listed(len(chars), x.page[at], {
+        "block": pa.array(x.block[at]), "at": pa.array(x.number[at], pa.int32()),
+        "lines": pa.array(x.number[last] - x.number[at] + 1, pa.int32()),
+        "size": pa.array(held[last + 1] - held[at] - 1),
+        "level": pa.array(x.level[at], pa.int32(), mask=~x.heading[at]),
+        "type": _kinds(x.kind[at]), "heading_no": pa.array(x.heading_no[at])})
+
+
+def page_lines(text="text") -> Column:
+    """Stripped lines of a page, blank ones included; none of a null text."""
+    return F.coalesce(F.transform(F.split(F.col(text), "\n"), lambda x: strip(x)),
+                      F.array().cast("array<string>"))
+
+
+def _marked(pages: DataFrame, marks) -> DataFrame:
+    """Pages with ``lines`` and what ``marks`` makes of the form of every line. Row-local.
+
+    The texts stay in the JVM: only three numbers per line go to the Python worker.
+    """
+    bit = lambda line, pattern, flag: F.when(matches(line, pattern), flag).otherwise(0)
+    flags = lambda x: (
+        bit(x, L.MD_HEADING_PATTERN, _MD) + F.when(~matches(x, L.TABLE_ROW_PATTERN), 0).otherwise(
+            _PIPE + bit(x, L.TABLE_SEPARATOR_PATTERN, _SEPARATOR))
+        + bit(x, L.LIST_ITEM_PATTERN, _ITEM))
+    lines = pages.withColumn("lines", page_lines())
+    return lines.withColumn("marks", marks(
+        F.transform("lines", lambda x: F.coalesce(heading_level(x), F.lit(0))),
+        F.transform("lines", flags), F.transform("lines", lambda x: F.length(x))))
+
+
 def classify_lines(pages: DataFrame) -> DataFrame:
     """Non-blank lines with heading level, type and block number within their part.
 
@@ -74,54 +200,33 @@ def classify_lines(pages: DataFrame) -> DataFrame:
     * adjacent pipe lines are a table only if one of them is a separator line;
     * a block starts at a heading and where the line type changes.
 
-    All windows share one partitioning and one order: a single shuffle of the lines.
+    A part is one row, so its lines are judged where they are read: no shuffle.
     """
-    raw = pages.select(*PART, "file_type", "page", "sheet_name",
-                       F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = raw.withColumn("line", strip("line")).filter(F.col("line") != "").withColumns({
-        "level": heading_level("line"), "is_md": matches("line", L.MD_HEADING_PATTERN),
-        "is_pipe": matches("line", L.TABLE_ROW_PATTERN),
-        "is_sep": matches("line", L.TABLE_SEPARATOR_PATTERN),
-        "is_item": matches("line", L.LIST_ITEM_PATTERN), "chars": F.length("line")})
-    lines = lines.withColumn("title", F.when(F.col("level").isNotNull(), clean_title("line")))
-    here, by_line = W.partitionBy(*PART), W.partitionBy(*PART).orderBy("line_no")
-    lag = lambda c: F.lag(c).over(by_line)
-    same_level = F.coalesce(F.col("level") == lag("level"), F.lit(False))
-    same_table = F.coalesce(F.col("is_pipe") & lag("is_pipe")
-                            & (lag("line_no") == F.col("line_no") - 1), F.lit(False))
-    runs = lines.withColumns({
-        "toc_run": F.sum((~same_level).cast("int")).over(by_line),
-        "pipe_run": F.sum((~same_table).cast("int")).over(by_line),
-        "part_md": F.max("is_md").over(here)})
-    judged = runs.withColumns({
-        "toc_size": F.count(F.lit(1)).over(W.partitionBy(*PART, "toc_run")),
-        "has_sep": F.max("is_sep").over(W.partitionBy(*PART, "pipe_run"))}).withColumns({
-            "heading": F.col("level").isNotNull() & (
-                F.col("part_md") | (F.col("toc_size") < L.TOC_RUN_MIN))}).withColumn(
-        "type", F.when(F.col("heading"), "text").when(F.col("is_pipe") & F.col("has_sep"), "table")
-        .when(F.col("is_item"), "list").otherwise("text"))
-    starts = F.col("heading") | F.coalesce(lag("type") != F.col("type"), F.lit(True))
-    return judged.withColumn("starts", starts.cast("int")).withColumns({
-        "block": F.sum("starts").over(by_line),
-        "heading_no": F.sum(F.col("heading").cast("int")).over(by_line)}).select(
-        *PART, "file_type", "page", "sheet_name", "line_no", "line", "title", "chars", "level",
-        "heading", "type", "block", "heading_no")
-
-
-def outline(lines: DataFrame) -> DataFrame:
-    """One small row per part: number of blocks, its headings, and its longest blocks.
-
-    Reads lines without their text, so only a few flags per line are read. A block starts with at
-    most one heading.
+    rows = _marked(pages, _line_marks).select(
+        *PART, "file_type", "page", "sheet_name", F.explode(F.transform("marks", lambda m: F.struct(
+            m.alias("m"), F.get("lines", m["line_no"]).alias("line")))).alias("x"))
+    rows = rows.select(*PART, "file_type", "page", "sheet_name", "x.m.*", "x.line")
+    return rows.select(
+        *PART, "file_type", "page", "sheet_name", "line_no", "line",
+        F.when(F.col("level").isNotNull(), clean_title("line")).alias("title"),
+        F.length("line").alias("chars"), "level", "heading", "type", "block", "heading_no")
+
+
+def outline(pages: DataFrame) -> DataFrame:
+    """One small row per part with text: its blocks, its headings, and its longest blocks.
+
+    Row-local and without the text; ``marks`` says where each block lies among the lines. A block
+    starts with at most one heading.
     """
-    blocks = lines.groupBy(*PART, "block").agg(
-        (F.sum("chars") + F.count(F.lit(1)) - 1).alias("size"),
-        F.max("heading_no").alias("heading_no"),
-        F.max(F.when(F.col("heading"), F.struct("heading_no", "level", "title"))).alias("head"))
-    return materialise(blocks.groupBy(*PART).agg(
-        F.max("block").alias("blocks"), F.array_sort(F.collect_list("head")).alias("heads"),
-        F.max("size").alias("longest"),
-        F.max(F.when(F.col("heading_no") > 0, F.col("size"))).alias("longest_titled")))
+    titled = lambda m: m["level"].isNotNull()
+    sizes = lambda test: F.array_max(F.transform(F.filter("marks", test), lambda m: m["size"]))
+    heads = F.transform(F.filter("marks", titled), lambda m: F.struct(
+        m["heading_no"].alias("heading_no"), m["level"].alias("level"),
+        clean_title(F.get("lines", m["at"])).alias("title")))
+    return materialise(_marked(pages, _block_marks).filter(F.size("marks") > 0).select(
+        *PART, F.size("marks").cast("long").alias("blocks"), "marks", heads.alias("heads"),
+        sizes(lambda m: F.lit(True)).alias("longest"),
+        sizes(lambda m: m["heading_no"] > 0).alias("longest_titled")))
 
 
 def heading_paths(parts: DataFrame) -> DataFrame:
@@ -171,34 +276,36 @@ def locator_json() -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """Semantic blocks with section path, type, ordinal and stable id.
 
-    Lines are classified and shuffled once and written; the outline reads their flags only, the
-    blocks their text. Everything carried between parts is small. Blocks before the first heading
-    of a source that has headings (cover, contents) are dropped.
+    The outline of every part is written without its text; everything carried between parts is
+    small. The texts are read once more and meet it in one shuffle, a row per part. Blocks before
+    the first heading of a source that has headings (cover, contents) are dropped.
     """
-    lines = materialise(classify_lines(pages))
-    parts = outline(lines)
-    paths = materialise(heading_paths(parts))
-    last_path = paths.groupBy(*PART).agg(F.max_by("path", "heading_no").alias("open_path"))
-    units = materialise(parts.drop("heads").join(last_path, PART, "left"))
+    parts = outline(pages)
+    paths = materialise(heading_paths(parts).groupBy(*PART).agg(F.transform(F.array_sort(
+        F.collect_list(F.struct("heading_no", "path"))), lambda x: x["path"]).alias("paths")))
+    units = materialise(parts.drop("heads", "marks").join(paths.select(
+        *PART, F.element_at("paths", -1).alias("open_path")), PART, "left"))
     before = materialise(prefix(units, ["source"], "part", {"blocks": "sum", "open_path": "last"}))
     # A source is titled when a block that is long enough stands under some heading.
     under = F.greatest("longest_titled", F.when(F.col("seen").isNotNull(), F.col("longest")))
     titled = (units.join(before.select(*PART, F.col("open_path").alias("seen")), PART)
               .groupBy("source").agg(F.coalesce(F.max(under >= L.MIN_RECORD_CHARS), F.lit(False))
                                      .alias("titled")))
-    context = before.join(titled, "source")
-    blocks = lines.groupBy(*PART, "block").agg(
-        F.first("file_type").alias("file_type"), F.first("page").alias("page"),
-        F.first("sheet_name").alias("sheet_name"), F.first("type").alias("content_type"),
-        F.max("heading_no").alias("heading_no"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
-                                 lambda x: x["line"]), "\n").alias("raw_text"))
+    context = (before.join(titled, "source").join(parts.select(*PART, "marks"), PART)
+               .join(paths, PART, "left"))
+    texts = pages.select(*PART, "file_type", "page", "sheet_name", page_lines().alias("lines"))
     empty = F.array().cast("array<string>")
-    numbered = (blocks.join(context, PART)
-                .join(paths.select(*PART, "heading_no", "path"), [*PART, "heading_no"], "left")
-                .withColumns({"ordinal": F.col("blocks") + F.col("block"),
-                              "section_path": F.coalesce("path", "open_path", empty),
-                              "char_count": F.length("raw_text")}))
+    block = lambda m: F.struct(
+        (F.col("blocks") + m["block"]).alias("ordinal"), m["type"].alias("content_type"),
+        F.coalesce(F.get("paths", (m["heading_no"] - 1).cast("int")), "open_path", empty)
+        .alias("section_path"),
+        F.array_join(F.filter(F.slice("lines", m["at"] + 1, m["lines"]), lambda x: x != ""), "\n")
+        .alias("raw_text"))
+    numbered = texts.join(context, PART).select(
+        *PART, "file_type", "page", "sheet_name", "titled",
+        F.explode(F.transform("marks", block)).alias("b")).select(
+        *PART, "file_type", "page", "sheet_name", "titled", "b.*").withColumn(
+        "char_count", F.length("raw_text"))
     kept = numbered.filter((F.col("char_count") >= L.MIN_RECORD_CHARS)
                            & ((F.size("section_path") > 0) | ~F.col("titled")))
     return kept.select(

@@ -600,8 +600,7 @@ def text_quality(spark, sf_dir):
 
 @query
 def heading_paths(spark, sf_dir):
-    lines = P.classify_lines(pages_of(spark, sf_dir))
-    return longs(P.heading_paths(P.outline(lines)).select(
+    return longs(P.heading_paths(P.outline(pages_of(spark, sf_dir))).select(
         "source", "part", "heading_no", "level", "title", "depth",
         F.array_join("path", " > ").alias("path")))
 
