@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -19,19 +21,37 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def holds(text: Column, *signs: str) -> Column:
+    """Does a text hold one of some literal strings?"""
+    return reduce(or_, [F.contains(text, F.lit(s)) for s in signs])
+
+
 def normalise(text) -> Column:
     """Zero-width characters, HTML entities, Markdown escapes and superfluous space removed.
 
-    Only texts with an ampersand reach the Python worker; for the others it sees a null.
+    Only texts with an ampersand before something like a name reach the Python worker; for the
+    others it sees a null.
     """
-    plain = replaced(col(text), "[\ufeff\u200b\u200c\u200d]", "")
-    plain = F.coalesce(_unescape(F.when(F.contains(plain, F.lit("&")), plain)), plain)
-    return fold_space(F.replace(plain, F.lit("\u00a0"), F.lit(" ")))
+    plain = replaced(col(text), "[\ufeff\u200b\u200c\u200d]", "",
+                     lambda x: holds(x, "\ufeff", "\u200b", "\u200c", "\u200d"))
+    entity = bound(plain, lambda x: F.when(holds(x, "&") & x.rlike("&[^\t\n\f <&;]"), x))
+    plain = F.coalesce(_unescape(entity), plain)
+    return fold_space(replaced(plain, "\u00a0", " ", lambda x: holds(x, "\u00a0")))
+
 
+def replaced(text: Column, pattern: str, replacement: str, where=None) -> Column:
+    """``regexp_replace`` that copies a text only where something matches.
 
-def replaced(text: Column, pattern: str, replacement: str) -> Column:
-    """``regexp_replace`` that copies a text only where something matches."""
-    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+    ``where`` may be a cheaper test that passes every text with a match.
+    """
+    test = where or (lambda x: x.rlike(pattern))
+    return bound(text, lambda x: F.when(test(x), F.regexp_replace(x, pattern, replacement))
+                 .otherwise(x))
 
 
 def fold_space(text: Column) -> Column:
@@ -40,10 +60,11 @@ def fold_space(text: Column) -> Column:
     A run is matched only if it is not a single space already, so ordinary text is not rewritten.
     """
     runs = U + r"(?:[^\S\n ]| (?=[^\S\n]))[^\S\n]*"
-    steps = [(r"\\([_*#\[\]()~`])", "$1"), (r"(?dm)[ \t]+$", ""), (runs, " "), (r"\n{3,}", "\n\n")]
-    for pattern, replacement in steps:
-        text = replaced(text, pattern, replacement)
-    return strip(text)
+    at_end = lambda x: holds(x, " \n", "\t\n") | F.endswith(x, F.lit(" ")) | F.endswith(x, F.lit("\t"))
+    text = replaced(text, r"\\([_*#\[\]()~`])", "$1", lambda x: holds(x, "\\"))
+    text = replaced(text, r"(?dm)[ \t]+$", "", at_end)
+    text = replaced(text, runs, " ")
+    return strip(replaced(text, r"\n{3,}", "\n\n", lambda x: holds(x, "\n\n\n")))
 
 
 def matches(value, pattern: str) -> Column:
