@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,49 +17,42 @@ LIST_ITEM = re.compile(L.LIST_ITEM_PATTERN)
 TABLE_SEPARATOR = re.compile(L.TABLE_SEPARATOR_PATTERN)
 
 
-def _pieces(text: str, separators: list[str]):
-    """Parts no longer than the chunk size where the separators allow; a separator opens a part."""
-    level = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+def _stretches(text: str, separators: list[str]):
+    """Stretches of a text with the ends of their parts, from 0; parts of one stretch may be packed.
+
+    A separator opens a part. A part as long as a chunk is cut by the finer separators, of which
+    the last is empty and cuts between characters, and is never packed with its neighbours.
+    """
+    level = next(i for i, s in enumerate(separators) if not s or s in text)
     mark, finer = separators[level], separators[level + 1:]
     if not mark:
-        yield from ((c, True) for c in text)
+        yield text, range(len(text) + 1)
         return
     first, *rest = text.split(mark)
-    for part in ([first] if first else []) + [mark + r for r in rest]:
-        if len(part) < L.CHUNK_SIZE:
-            yield part, True
-        elif finer:
-            yield None, False            # parts on either side are never packed together
-            yield from _pieces(part, finer)
-            yield None, False
-        else:
-            yield part, False
+    sizes = ([len(first)] if first else []) + [len(mark) + n for n in map(len, rest)]
+    ends, low = [0, *accumulate(sizes)], 0
+    for i in [i for i, n in enumerate(sizes) if n >= L.CHUNK_SIZE] + [len(sizes)]:
+        if i > low:
+            yield text[ends[low]:ends[i]], [e - ends[low] for e in ends[low:i + 1]]
+        if i < len(sizes):
+            yield from _stretches(text[ends[i]:ends[i + 1]], finer)
+        low = i + 1
 
 
 def split_text(text: str) -> list[str]:
-    """Pack parts into chunks of at most 500 characters that repeat up to 80 of the one before."""
-    chunks, held, size = [], [], 0
-
-    def emit():
-        joined = "".join(held).strip()
-        if joined:
-            chunks.append(joined)
-
-    for part, packable in _pieces(text, L.SEPARATORS):
-        if not packable:
-            emit()
-            held, size = [], 0
-            if part:
-                chunks.append(part)
-            continue
-        if size + len(part) > L.CHUNK_SIZE and held:
-            emit()
-            while size > L.CHUNK_OVERLAP or (size and size + len(part) > L.CHUNK_SIZE):
-                size -= len(held.pop(0))
-        held.append(part)
-        size += len(part)
-    emit()
-    return [c for c in chunks if c.strip()]
+    """Pack parts into chunks of at most 500 characters that repeat up to 80 of the one before.
+
+    A step per chunk, not per part: the ends of parts are searched.
+    """
+    chunks = []
+    for held, ends in _stretches(text, L.SEPARATORS):
+        low = 0
+        while (high := bisect_right(ends, ends[low] + L.CHUNK_SIZE) - 1) < len(ends) - 1:
+            chunks.append(held[ends[low]:ends[high]])
+            room = min(L.CHUNK_OVERLAP, L.CHUNK_SIZE - (ends[high + 1] - ends[high]))
+            low = bisect_left(ends, ends[high] - room, low, high)
+        chunks.append(held[ends[low]:])
+    return [c for c in map(str.strip, chunks) if c]
 
 
 def _packed(items: list[str]) -> list[list[str]]:
@@ -134,10 +129,12 @@ def flat_metadata(rows: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored chunks with the fresh ones over them, one row per chunk id.
 
-    A partial aggregate: many copies of one chunk are reduced before the shuffle.
+    A partial aggregate: many copies of one chunk are reduced before the shuffle. Every column is
+    an aggregate of its own under one order of the rows (version, then a hash of the row, so that
+    all columns come from one copy), so columns that nobody reads are neither sorted nor shuffled.
     """
     columns = [c for c in fresh.columns if c != "chunk_id"]
     both = stored.select("chunk_id", *columns).withColumn("version", F.lit(0)).unionByName(
         fresh.withColumn("version", F.lit(1)))
-    newest = F.max_by(F.struct(*columns), "version").alias("r")
-    return both.groupBy("chunk_id").agg(newest).select("chunk_id", "r.*")
+    ranked = both.withColumn("rank", F.struct("version", F.xxhash64(*columns)))
+    return ranked.groupBy("chunk_id").agg(*[F.max_by(c, "rank").alias(c) for c in columns])

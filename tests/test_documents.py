@@ -136,3 +136,42 @@ def test_stand_in_pages_keep_every_line(spark):
     assert total[1] >= total[0]
     held = lambda line: F.exists(F.split("page_text", "\n"), lambda x: F.contains(x, line))
     assert both.filter(F.exists(F.split("text", "\n"), lambda line: ~held(line))).count() == 0
+
+
+def plan_of(df, step="executedPlan"):
+    return getattr(df._jdf.queryExecution(), step)().toString()
+
+
+def test_upsert_moves_only_the_columns_that_are_read(spark):
+    schema = "chunk_id string, text string, n int"
+    stored = spark.createDataFrame([("a", "old", 1), ("b", "kept", 2)], schema)
+    fresh = spark.createDataFrame([("a", "x", 3), ("a", "y", 4), ("c", "new", 5)], schema)
+    table = chunking.upsert(stored, fresh)
+    rows = {r.chunk_id: (r.text, r.n) for r in table.collect()}
+    assert rows.pop("a") in {("x", 3), ("y", 4)}, "all columns come from one fresh copy"
+    assert rows == {"b": ("kept", 2), "c": ("new", 5)}
+    grouped = [x for x in plan_of(table.select("chunk_id", "n"), "optimizedPlan").split("\n")
+               if "Aggregate" in x]
+    assert grouped and not any("text" in x for x in grouped)
+
+
+def test_a_text_is_normalised_in_single_steps(spark):
+    texts = ["a&#8203;b", "A & B", "x&amp;y", "&", "& ;&&lt", "t \t\nu ", "p\\*q​", " r  s"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(normalise("text"))
+    assert [r[0] for r in df.collect()] == ["a​b", "A & B", "x&y", "&", "& ;&<", "t\nu", "p*q", "r s"]
+    assert plan_of(df, "optimizedPlan").count("RegExpReplace") + plan_of(df).count("(?dm)") <= 2
+
+
+def test_lines_are_judged_where_they_are_read(spark):
+    pages = [("m", "pdf", i, i, None, t) for i, t in enumerate([
+        "1 a\n1 b\n\n1 c\nx", "# a\n# b\n# c", "| a |\n\n| b |\n|---|", None, " \n ", "- i\nw\n2.1 z"])]
+    lines = documents.classify_lines(spark.createDataFrame(pages, PAGE_SCHEMA))
+    got = [tuple(r) for r in lines.orderBy("part", "line_no").select(
+        "part", "line_no", "heading", "type", "block", "heading_no").collect()]
+    assert got == [
+        (0, 0, False, "text", 1, 0), (0, 1, False, "text", 1, 0), (0, 3, False, "text", 1, 0),
+        (0, 4, False, "text", 1, 0), (1, 0, True, "text", 1, 1), (1, 1, True, "text", 2, 2),
+        (1, 2, True, "text", 3, 3), (2, 0, False, "text", 1, 0), (2, 2, False, "table", 2, 0),
+        (2, 3, False, "table", 2, 0), (5, 0, False, "list", 1, 0), (5, 1, False, "text", 2, 0),
+        (5, 2, True, "text", 3, 1)]
+    assert "Exchange" not in plan_of(lines)
