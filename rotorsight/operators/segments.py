@@ -16,8 +16,8 @@ CENTRE = {"flow_rate": L.RATED_FLOW, "press_out": L.RATED_PRESS_OUT, "temp_de":
 MAXIMA = ["temp_de", "temp_nde", "vib_rms_de", "vib_rms_nde", "motor_current"]
 
 
-def rolling_stats(rows: DataFrame, part: list[str], ts: str) -> DataFrame:
-    """Add ``cv_flow``, ``cv_press`` and ``ramp``: trailing variation and temperature slope.
+def rolling_stats(rows: DataFrame, part: list[str], ts: str, ramps: bool = True) -> DataFrame:
+    """Add ``cv_flow``, ``cv_press`` and (with ``ramps``) ``ramp``: variation, temperature slope.
 
     Frames stay inside a run. Each window function is computed once as a column of its own;
     readings are never null (see ``sources.telemetry.violations``), so ``rn`` is the frame size.
@@ -28,21 +28,28 @@ def rolling_stats(rows: DataFrame, part: list[str], ts: str) -> DataFrame:
     values = {"flow": "flow_rate", "press": "press_out"}
     moments = {f"_{k}_mean": F.avg(v).over(cv_window) for k, v in values.items()}
     moments |= {f"_{k}_sd": F.stddev_samp(v).over(cv_window) for k, v in values.items()}
-    moments["_slope"] = F.regr_slope("temp_de", "x").over(slope_window)
+    if ramps:
+        moments["_slope"] = F.regr_slope("temp_de", "x").over(slope_window)
     cv = {f"cv_{k}": F.when((F.col("rn") >= L.CV_MIN_ROWS) & (F.col(f"_{k}_mean") > 1e-6),
                             F.col(f"_{k}_sd") / F.col(f"_{k}_mean") * 100) for k in values}
-    cv["ramp"] = F.when(F.col("rn") >= L.SLOPE_WINDOW_ROWS, F.col("_slope"))
+    if ramps:
+        cv["ramp"] = F.when(F.col("rn") >= L.SLOPE_WINDOW_ROWS, F.col("_slope"))
     return rows.withColumns(moments).withColumns(cv).drop(*moments)
 
 
-def telemetry_runs(frames: DataFrame, series: Series = Series(), alarms: bool = False) -> DataFrame:
-    """Reduce frames to runs of one state within a slice. One shuffle; written out once."""
+def telemetry_runs(frames: DataFrame, series: Series = Series(), alarms: bool = False,
+                   ramps: bool = True) -> DataFrame:
+    """Reduce frames to runs of one state within a slice. One shuffle; written out once.
+
+    Without ``ramps`` no rolling slope is computed, and ``segment_metrics`` has no
+    ``ramp_start_time``; no rule reads it.
+    """
     part = [*series.keys, "slice"]
     minutes = (F.unix_micros(series.ts)
                - F.col("slice") * F.lit(series.slice_seconds * 1_000_000)) / 60e6
     rows = number_runs(frames, series).withColumns(
         {"last_run": F.max("run").over(W.partitionBy(*part)), "x": minutes})
-    rows = rolling_stats(rows, part, series.ts)
+    rows = rolling_stats(rows, part, series.ts, ramps)
 
     n = F.count(F.lit(1))
     edge_row = F.struct(F.col(series.ts).alias("t"), F.col("flow_rate").alias("flow"),
@@ -63,7 +70,8 @@ def telemetry_runs(frames: DataFrame, series: Series = Series(), alarms: bool =
         *[F.max(F.when(full_frame, F.col(c))).alias(f"{c}_full") for c in ("cv_flow", "cv_press")],
         *[F.max(F.when(~full_frame, F.col(c))).alias(f"{c}_short")
           for c in ("cv_flow", "cv_press")],
-        F.min(F.when(F.col("ramp") >= L.SLOPE_SHARP, F.col(series.ts))).alias("ramp_time"),
+        *([F.min(F.when(F.col("ramp") >= L.SLOPE_SHARP, F.col(series.ts))).alias("ramp_time")]
+          if ramps else []),
         F.array_sort(F.collect_list(F.when(is_head, edge_row))).alias("head"),
         F.array_sort(F.collect_list(F.when(is_tail, edge_row))).alias("tail"),
     ]
@@ -124,8 +132,8 @@ def edge_windows(joined: DataFrame) -> DataFrame:
             .withColumn("past", edge(past))
             .withColumns({"past_rows": F.size("past"),
                           "strip": F.array_sort(F.concat("past", "head"))})
-            .withColumns({"cv_flow_edge": edge(cv("flow")), "cv_press_edge": edge(cv("press")),
-                          "ramp_edge": edge(ramp)})
+            .withColumns({"cv_flow_edge": edge(cv("flow")), "cv_press_edge": edge(cv("press"))}
+                         | ({"ramp_edge": edge(ramp)} if "ramp_time" in joined.columns else {}))
             .drop("past", "past_rows", "strip", "halo", "head"))
 
 
@@ -186,8 +194,9 @@ def segment_metrics(runs: DataFrame, series: Series = Series()) -> DataFrame:
         r(F.max("motor_current_max"), 2).alias("max_motor_current"),
         r(peak("cv_flow"), 2).alias("cv_flow_peak"),
         r(peak("cv_press"), 2).alias("cv_press_peak"),
-        F.min(F.least("ramp_time", "ramp_edge")).alias("ramp_start_time"),
     ]
+    if "ramp_time" in runs.columns:
+        aggs.append(F.min(F.least("ramp_time", "ramp_edge")).alias("ramp_start_time"))
     return (parts.groupBy(*keys, "seg_index").agg(*aggs)
             .withColumn("duration_sec", F.expr("unix_seconds(`end`) - unix_seconds(`start`)")))
 

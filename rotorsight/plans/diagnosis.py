@@ -19,9 +19,12 @@ def analyse_telemetry(cases: DataFrame, frames: DataFrame) -> DataFrame:
     Reads the frames once; everything after the runs works on their small output.
     """
     series = C.CASE_SERIES
-    runs = segments.telemetry_runs(C.case_frames(cases, frames), series, alarms=True)
-    # A few rows per case, read by the overall figures and by the rule list.
-    seg = materialise(rules.judge(segments.segment_metrics(runs, series)))
+    runs = segments.telemetry_runs(C.case_frames(cases, frames), series, alarms=True,
+                                   ramps=False)
+    # A few rows per case, read by the overall figures and by the rule list; ramp starts and the
+    # figures that only the rules read are not kept.
+    seg = materialise(rules.judge(segments.segment_metrics(runs, series)).select(
+        *series.keys, "seg_index", "state", "start", "end", "data_points", "rule_hits"))
     overall = segments.overall_metrics(runs, seg, series).select("trace_id", *OVERALL)
     codes = rules.window_codes(seg, ["trace_id"]).withColumnRenamed("rule_codes", "flags")
     alarms = runs.groupBy("trace_id").agg(

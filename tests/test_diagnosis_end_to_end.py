@@ -130,3 +130,21 @@ def test_reviews_and_pluggable_scorer(spark):
     assert (none.returned, none.top1, none.low_confidence) == (0, 0.0, False)
     assert spark.range(1).select(retrieval.cosine(
         F.array(F.lit(.6), F.lit(.8)), F.array(F.lit(.8), F.lit(.6)))).first()[0] == 0.96
+
+
+def test_case_analysis_leaves_out_ramp_starts_and_keeps_every_rule(spark, monkeypatch):
+    from rotorsight.operators import cases as C, rules, segments
+    from rotorsight.plans import diagnosis, standin
+
+    made, real = [], segments.telemetry_runs
+    monkeypatch.setattr(segments, "telemetry_runs",
+                        lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    frames = standin.load_telemetry(spark, "/root/testdata/sf0.001")
+    cases = C.default_windows(standin.cases(frames))
+    got = diagnosis.analyse_telemetry(cases, frames).select("trace_id", "flags")
+    assert "ramp_time" not in made[0].columns
+    whole = segments.segment_metrics(real(C.case_frames(cases, frames), C.CASE_SERIES), C.CASE_SERIES)
+    assert "ramp_start_time" in whole.columns
+    want = rules.window_codes(rules.judge(whole), ["trace_id"])
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.filter("size(flags) > 0").count() > 0
